@@ -13,7 +13,6 @@ from worktide import lexicon as lx
 from worktide.functions.rules import found
 from worktide.functions.text import (
     NOT_AFTER_WORD,
-    NOT_BEFORE_WORD,
     WS,
     YEAR,
     compact,
@@ -47,27 +46,32 @@ def part_number(norm_title: Column) -> Column:
     return digits.try_cast("int")
 
 
+# Annual hours, vacation days with kind, share followed by a word.
+HOUR_VALUE = NO_CASE + words(rf"1[.,][0-9]{{3}}{WS}*horas?")
+DAY_VALUE = NO_CASE + words(
+    rf"(?:2[2-9]|3[01]){WS}+d[ií]as?{WS}+(?:naturales|laborables|h[aá]biles)"
+)
+SHARE_VALUE = rf"{NOT_AFTER_WORD}[0-9]{{1,3}}{WS}*%(?=[A-Za-z0-9_])"
+
+
+def first_match(c: Column, pattern: str) -> Column:
+    """Whole first match, else empty."""
+    return F.regexp_extract(text_or_empty(c), pattern, 0)
+
+
 def hour_value(c: Column) -> Column:
     """Annual hours such as ``1.780 horas``, else empty."""
-    return _first_match(c, NO_CASE + words(rf"1[.,][0-9]{{3}}{WS}*horas?"))
+    return first_match(c, HOUR_VALUE)
 
 
 def day_value(c: Column) -> Column:
     """Vacation days 22 to 31 with their kind, else empty."""
-    pattern = rf"(?:2[2-9]|3[01]){WS}+d[ií]as?{WS}+(?:naturales|laborables|h[aá]biles)"
-    return compact(_first_match(c, NO_CASE + words(pattern)))
+    return compact(first_match(c, DAY_VALUE))
 
 
 def percentage(c: Column) -> Column:
     """``25 %`` as ``25%``, else empty; a word character must follow the sign."""
-    match = _first_match(c, rf"{NOT_AFTER_WORD}[0-9]{{1,3}}{WS}*%(?=[A-Za-z0-9_])")
-    return F.regexp_replace(match, f"{WS}+", "")
-
-
-def _first_match(c: Column, pattern: str) -> Column:
-    return F.regexp_extract(text_or_empty(c), f"({pattern})", 1) if not pattern.startswith(
-        NO_CASE
-    ) else F.regexp_extract(text_or_empty(c), f"{NO_CASE}({pattern[len(NO_CASE):]})", 1)
+    return F.regexp_replace(first_match(c, SHARE_VALUE), f"{WS}+", "")
 
 
 def first_fragment(text: Column, patterns: Sequence[str], around: int = 700) -> Column:
@@ -92,11 +96,6 @@ def fragment_with(text: Column, keyword: str, has_value: str, around: int = 1800
     )
 
 
-HOUR_VALUE = NO_CASE + words(rf"1[.,][0-9]{{3}}{WS}*horas?")
-DAY_VALUE = NO_CASE + words(
-    rf"(?:2[2-9]|3[01]){WS}+d[ií]as?{WS}+(?:naturales|laborables|h[aá]biles)"
-)
-
 # Bulletin names in order, official domains, bare domains.
 BULLETINS = (
     r"Bolet[ií]n Oficial (?:de|del) [A-ZÁÉÍÓÚÜÑa-záéíóúüñ ]+",
@@ -120,12 +119,10 @@ def official_source(text: Column, patterns: Sequence[str] = BULLETINS) -> Column
     name = F.coalesce(
         *[F.nullif(F.regexp_extract(head, f"({p})", 1), F.lit("")) for p in patterns]
     )
-    return F.coalesce(
-        F.concat(
-            F.lit("Referencia de publicacion localizada en el PDF: "), title_case(name), F.lit(".")
-        ),
-        F.lit(lx.NOT_FOUND),
+    message = F.concat(
+        F.lit("Referencia de publicacion localizada en el PDF: "), title_case(name), F.lit(".")
     )
+    return F.when(name.isNotNull(), message).otherwise(F.lit(lx.NOT_FOUND))
 
 
 def _no_tail(url: Column) -> Column:
