@@ -15,7 +15,7 @@ from worktide.sources.tables import spread, table
 FILE_SECTORS = (
     lx.Sector("alojamientos", ("on", "le"), ("ring", "bolt")),
     lx.Sector("hosteleria", ("is", "der"), ("widget", "gear")),
-    lx.Sector("limpieza", ("are", "para"), ("gizmo", "old")),
+    lx.Sector("limpieza", ("are", "para"), ("gizmo", "hot ring")),
     lx.Sector("transporte", ("be", "des"), ("anvil", "rod")),
 )
 FILE_PLACES = lx.Places(
@@ -36,9 +36,10 @@ TEXT_PLACES = lx.Places(
         "PROMO": ("hein", "los"),
         "LARGE": ("with",),
         "MEDIUM": ("for", "avec"),
+        "ISLA": ("was", "es"),
     },
     communities={"NORTE": ("this", "que"), "SUR": ("that",), "ESTE": ("haha",)},
-    community_of=FILE_PLACES.community_of,
+    community_of={**FILE_PLACES.community_of, "ISLA": "ESTE"},
 )
 STRONG = ("on",)
 
@@ -93,7 +94,7 @@ p as (
               when {sq.has_any('norm', ['medium'], True)} then 'MEDIUM' end as province,
          list_filter([case when {sq.has_any('norm', ['ring', 'bolt'])} then 'alojamientos' end,
                       case when {sq.has_any('norm', ['widget', 'gear'])} then 'hosteleria' end,
-                      case when {sq.has_any('norm', ['gizmo', 'old'])} then 'limpieza' end,
+                      case when {sq.has_any('norm', ['gizmo', 'hot ring'])} then 'limpieza' end,
                       case when {sq.has_any('norm', ['anvil', 'rod'])} then 'transporte' end],
                      lambda x: x is not null) as sector_keys,
          ys[1]::int as year_start, ys[-1]::int as year_end,

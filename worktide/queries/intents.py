@@ -430,11 +430,11 @@ def triaged(spark: SparkSession, d: str) -> DataFrame:
 
 
 TRIAGE_SQL = f"""
-p as (
+resp as (
   select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
          regexp_extract(url, '^https?://([^/]+)', 1) as h from pages),
-n as (
-  select *, {sq.norm('title')} as nt, regexp_matches(h, '(^|\\.)example\\.(com|org)$') as ok from p),
+resn as (
+  select *, {sq.norm('title')} as nt, regexp_matches(h, '(^|\\.)example\\.(com|org)$') as ok from resp),
 triaged as (
   select *, case when not starts_with(url, 'https') then 'web_fallback_disabled'
      when nt = '' or contains(nt, 'whst') or not {sq.has_any('nt', ['th', 'en'])} then 'not_labor_question'
@@ -443,7 +443,7 @@ triaged as (
      when contains(url, '#top') then 'gemini_search_max_tokens'
      when not ok then 'no_allowed_official_sources'
      when length(title) < 60 then 'empty_response' else 'web_grounded' end as reason
-  from n)
+  from resn)
 """
 
 
