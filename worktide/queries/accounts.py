@@ -24,7 +24,7 @@ def _text(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def billing_events(spark: SparkSession, d: str) -> DataFrame:
+def billing_events(rows: DataFrame) -> DataFrame:
     """Events with a provider payload as JSON text."""
     k, kind = F.col("k"), F.col("event_type")
     customer_id, sub_id, user = _text("cus_", "user_id"), _text("sub_", "user_id"), F.col("user_id").cast("string")
@@ -81,10 +81,8 @@ def billing_events(spark: SparkSession, d: str) -> DataFrame:
     type_ = F.lit(None).cast("string")
     for name, value in TYPES.items():
         type_ = F.when(kind == name, value).otherwise(type_)
-    return (
-        events(spark, d)
-        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .select("event_id", "ts", type_.alias("type"), payload.alias("payload"))
+    return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
+        "event_id", "ts", type_.alias("type"), payload.alias("payload")
     )
 
 
@@ -103,7 +101,8 @@ def accounts_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def decisions(spark: SparkSession, d: str) -> DataFrame:
+def provider_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Subscriptions and checkout lines as the provider would return them."""
     price = F.when(F.col("c_mktsegment") == "BUILDING", "price_no").otherwise("price_ok")
     subs = table(spark, d, "customer").select(
         _text("sub_", "c_custkey").alias("subscription_id"),
@@ -131,7 +130,12 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
             ).alias("item_prices"),
         )
     )
-    return ac.decide(ac.read_billing(billing_events(spark, d)), subs, lines, PRICES, PRODUCTS)
+    return subs, lines
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    billing = ac.read_billing(billing_events(events(spark, d)))
+    return ac.decide(billing, *provider_tables(spark, d), PRICES, PRODUCTS)
 
 
 def resolved_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -206,10 +210,7 @@ def billing_decisions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    "billing_state",
-    f"""
-with {DECIDE_SQL},
+STATE_SQL = """
 ch as (
   select *, case when action <> 'activate' then null when event_type = 'signup' and k >= 40 then false
                  when event_type = 'signup' then bal < 0 else k < 30 end as cancel_,
@@ -232,10 +233,16 @@ select la.user_id, case when a = 'activate' then 'premium' else 'free' end as ac
        coalesce(nullif(pa.customer_id, ''), '-') as customer_id,
        coalesce(nullif(pa.subscription_id, ''), '-') as subscription_id, coalesce(pr, '-') as price_id,
        coalesce(pe, 0)::bigint as period_end, strftime(ts, '%Y-%m-%d %H:%M:%S') as updated_at
-from la left join lc2 using (user_id) left join pa using (user_id)""",
-)
+from la left join lc2 using (user_id) left join pa using (user_id)
+"""
+
+
+@query("billing_state", f"with {DECIDE_SQL}, {STATE_SQL}")
 def billing_state(spark: SparkSession, d: str) -> DataFrame:
-    state = ac.account_state(ac.applied(resolved_changes(spark, d)))
+    return shown_accounts(ac.account_state(ac.applied(resolved_changes(spark, d))))
+
+
+def shown_accounts(state: DataFrame) -> DataFrame:
     dash = F.lit("-")
     return state.select(
         "user_id",
@@ -253,10 +260,10 @@ def billing_state(spark: SparkSession, d: str) -> DataFrame:
 FREE_LIMIT, DAY_LIMIT = 3, 2
 
 
-def quota_activity(spark: SparkSession, d: str) -> DataFrame:
+def quota_activity(rows: DataFrame) -> DataFrame:
     """Views are requests, purchases start the paid plan, errors end it."""
     kind = F.col("event_type")
-    return events(spark, d).where(kind.isin("view", "purchase", "error")).select(
+    return rows.where(kind.isin("view", "purchase", "error")).select(
         "user_id",
         "ts",
         "event_id",
@@ -296,7 +303,7 @@ ledger as (
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     return ac.quota_ledger(
-        quota_activity(spark, d), profiles(spark, d), FREE_LIMIT, DAY_LIMIT
+        quota_activity(events(spark, d)), profiles(spark, d), FREE_LIMIT, DAY_LIMIT
     ).drop("ts")
 
 

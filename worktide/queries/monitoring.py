@@ -24,9 +24,13 @@ P95_LIMIT, P95_POINTS, HOUR, DAY = 60.0, 3, 3600, 86400
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
+    return as_requests(events(spark, d))
+
+
+def as_requests(rows: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.when(k < 70, 200 + k).when(k < 90, 400 + k - 70).otherwise(500 + k - 90)
-    return events(spark, d).select(
+    return rows.select(
         "ts",
         "user_id",
         F.col("event_type").alias("service_name"),
@@ -273,6 +277,10 @@ from t group by 1, 2""",
 )
 def kpi_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers by source and plan, read back from the structured log lines."""
+    return mo.answers_by_source(mo.read_log(answer_log(spark, d)))
+
+
+def answer_log(spark: SparkSession, d: str) -> DataFrame:
     routed = answer_route(spark, d)
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
     empty = F.lit(None).cast("string")
@@ -291,4 +299,4 @@ def kpi_answers(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).alias("chunksUsed"),
         F.col("n").alias("questionLength"),
     )
-    return mo.answers_by_source(mo.read_log(an.log_lines(rows)))
+    return an.log_lines(rows)
