@@ -16,6 +16,7 @@ from worktide.functions.text import (
     WS,
     YEAR,
     compact,
+    let,
     text_or_empty,
     title_case,
     words,
@@ -51,6 +52,9 @@ HOUR_VALUE = NO_CASE + words(rf"1[.,][0-9]{{3}}{WS}*horas?")
 DAY_VALUE = NO_CASE + words(
     rf"(?:2[2-9]|3[01]){WS}+d[ií]as?{WS}+(?:naturales|laborables|h[aá]biles)"
 )
+# What every text with such a value holds.
+HOUR_HINT = "(?i)hora"
+DAY_HINT = "[23][0-9]"
 SHARE_VALUE = rf"{NOT_AFTER_WORD}[0-9]{{1,3}}{WS}*%(?=[A-Za-z0-9_])"
 
 
@@ -85,15 +89,24 @@ def first_fragment(text: Column, patterns: Sequence[str], around: int = 700) ->
     return compact(F.substring(F.coalesce(*hits, F.lit("")), 1, around))
 
 
-def fragment_with(text: Column, keyword: str, has_value: str, around: int = 1800) -> Column:
-    """First fragment after a keyword hit that holds a value, over all hits."""
+def fragment_with(
+    text: Column, keyword: str, has_value: str, hint: str, around: int = 1800
+) -> Column:
+    """First fragment after a keyword hit that holds a value, over all hits.
+
+    ``hint`` is a cheap pattern that must occur in a raw fragment for
+    ``has_value`` to match its tidied form; other texts and fragments are
+    skipped early.
+    """
     fragments = F.regexp_extract_all(
         text, F.lit(f"{NO_CASE}(?=((?:{keyword})[\\s\\S]{{0,{around}}}))"), F.lit(1)
     )
-    tidy = F.transform(fragments, lambda f: compact(F.substring(f, 1, around)))
-    return F.coalesce(
-        F.try_element_at(F.filter(tidy, lambda f: f.rlike(has_value)), F.lit(1)), F.lit("")
+    tidy = F.transform(
+        F.filter(fragments, lambda f: f.rlike(hint)),
+        lambda f: compact(F.substring(f, 1, around)),
     )
+    first = F.try_element_at(F.filter(tidy, lambda f: f.rlike(has_value)), F.lit(1))
+    return F.coalesce(F.when(text.rlike(hint), first), F.lit(""))
 
 
 # Bulletin names in order, official domains, bare domains.
@@ -115,9 +128,11 @@ URL_WINDOW = 15000
 
 def official_source(text: Column, patterns: Sequence[str] = BULLETINS) -> Column:
     """First bulletin name in the head of the text; the head length is part of the rule."""
-    head = compact(F.substring(text, 1, SOURCE_WINDOW))
-    name = F.coalesce(
-        *[F.nullif(F.regexp_extract(head, f"({p})", 1), F.lit("")) for p in patterns]
+    name = let(
+        compact(F.substring(text, 1, SOURCE_WINDOW)),
+        lambda head: F.coalesce(
+            *[F.nullif(F.regexp_extract(head, f"({p})", 1), F.lit("")) for p in patterns]
+        ),
     )
     message = F.concat(
         F.lit("Referencia de publicacion localizada en el PDF: "), title_case(name), F.lit(".")
@@ -135,27 +150,30 @@ def official_url(
     bare: Sequence[str] = BARE_DOMAINS,
 ) -> Column:
     """First URL on an allowed domain, else a bare domain with ``https://``."""
-    head = compact(F.substring(text, 1, URL_WINDOW))
-    urls = F.transform(
-        F.regexp_extract_all(head, F.lit(rf"(?i)(https?://[^\s\x{{00A0}}\x{{FEFF}})]+)"), F.lit(1)),
-        _no_tail,
-    )
     allowed = "|".join(re.escape(x) for x in domains)
-    listed = F.try_element_at(
-        F.filter(urls, lambda u: F.lower(u).rlike(allowed)), F.lit(1)
-    )
-    bare_hit = F.nullif(
-        F.regexp_extract(
-            head,
-            rf"(?i)((?<![A-Za-z0-9_])(?:www\.)?(?:{'|'.join(re.escape(x) for x in bare)})"
-            rf"[^\s\x{{00A0}}\x{{FEFF}})]*)",
-            1,
-        ),
-        F.lit(""),
-    )
-    return F.coalesce(
-        listed, F.concat(F.lit("https://"), _no_tail(bare_hit)), F.lit(lx.NOT_FOUND)
-    )
+    plain = "|".join(re.escape(x) for x in bare)
+
+    def find(head: Column) -> Column:
+        urls = F.transform(
+            F.regexp_extract_all(
+                head, F.lit(r"(?i)(https?://[^\s\x{00A0}\x{FEFF})]+)"), F.lit(1)
+            ),
+            _no_tail,
+        )
+        listed = F.try_element_at(F.filter(urls, lambda u: F.lower(u).rlike(allowed)), F.lit(1))
+        bare_hit = F.nullif(
+            F.regexp_extract(
+                head,
+                rf"(?i)((?<![A-Za-z0-9_])(?:www\.)?(?:{plain})[^\s\x{{00A0}}\x{{FEFF}})]*)",
+                1,
+            ),
+            F.lit(""),
+        )
+        return F.coalesce(
+            listed, F.concat(F.lit("https://"), _no_tail(bare_hit)), F.lit(lx.NOT_FOUND)
+        )
+
+    return let(compact(F.substring(text, 1, URL_WINDOW)), find)
 
 
 @dataclass(frozen=True)
@@ -224,12 +242,14 @@ def content(
             first_fragment(text, b.starts, b.around).rlike(NO_CASE + b.proof), b.message
         )
 
-    def value_or_start(keyword: str, value: str, starts: Sequence[str]) -> Column:
-        hit = fragment_with(text, keyword, value, 2200)
-        return F.when(hit != "", hit).otherwise(first_fragment(text, starts, 1800))
+    def value_or_start(keyword: str, value: str, hint: str, starts: Sequence[str]) -> Column:
+        return F.coalesce(
+            F.nullif(fragment_with(text, keyword, value, hint, 2200), F.lit("")),
+            first_fragment(text, starts, 1800),
+        )
 
-    hours = hour_value(value_or_start(HOUR_KEYWORD, HOUR_VALUE, HOUR_STARTS))
-    days = day_value(value_or_start(DAY_KEYWORD, DAY_VALUE, DAY_STARTS))
+    hours = hour_value(value_or_start(HOUR_KEYWORD, HOUR_VALUE, HOUR_HINT, HOUR_STARTS))
+    days = day_value(value_or_start(DAY_KEYWORD, DAY_VALUE, DAY_HINT, DAY_STARTS))
     holiday = first_fragment(text, HOLIDAY_STARTS, 1600)
     night = first_fragment(text, NIGHT_STARTS, 1800)
     rest = first_fragment(text, REST_STARTS, 1800)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -14,6 +14,10 @@ WS = (
     r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+# The same characters one by one, for replacing and trimming without a pattern.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # ASCII word boundary. Java's \b counts accented letters as word characters.
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
@@ -27,36 +31,31 @@ def words(pattern: str) -> str:
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Composed letters with their ASCII base, then the marks to delete."""
-    composed, base = [], []
-    for code in range(0x80, 0x10000):
+    """Letters with their plain lower-case form, punctuation as blank, marks to delete."""
+    source, target = [], []
+    for code in range(0x10000):
         if 0xD800 <= code <= 0xDFFF or 0x300 <= code <= 0x36F:
             continue
         bare = "".join(
-            c for c in unicodedata.normalize("NFD", chr(code)) if not "̀" <= c <= "ͯ"
+            c for c in unicodedata.normalize("NFD", chr(code)) if not "\u0300" <= c <= "\u036f"
         )
         if len(bare) == 1 and bare.isascii():
-            composed.append(chr(code))
-            base.append(bare)
+            plain = bare.lower() if bare.isalnum() else " "
+            if plain != chr(code):
+                source.append(chr(code))
+                target.append(plain)
     marks = [chr(code) for code in range(0x300, 0x370)]
-    return "".join(composed + marks), "".join(base)
+    return "".join(source + marks), "".join(target)
 
 
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def fold(c: Column) -> Column:
-    """Lower case without diacritics; plain ASCII text skips the letter table."""
-    source, target = _fold_table()
-    return F.lower(
-        F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, source, target)).otherwise(c)
-    )
-
-
 def normalize(c: Column) -> Column:
-    """Folded words separated by single spaces; null becomes empty."""
-    return F.trim(F.regexp_replace(fold(text_or_empty(c)), "[^a-z0-9]+", " "))
+    """Lower-case words without diacritics, separated by single blanks; null becomes empty."""
+    folded = F.translate(text_or_empty(c), *_fold_table())
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def py_normalize(value: str | None) -> str:
@@ -78,11 +77,16 @@ def slug(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def _one_blank(c: Column, chars: str) -> Column:
+    """Runs of the given characters and blanks as one blank."""
+    return F.regexp_replace(F.translate(c, chars, " " * len(chars)), " {2,}", " ")
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(F.lower(trim_ws(F.regexp_replace(text_or_empty(c), f"{WS}+", " "))))
+    return F.initcap(F.lower(F.trim(_one_blank(text_or_empty(c), WS_CHARS))))
 
 
 def clean_extracted(c: Column) -> Column:
@@ -96,14 +100,13 @@ def clean_published(c: Column) -> Column:
 
 
 def _squeeze(c: Column) -> Column:
-    blanks = F.regexp_replace(c, "[ \\t]+", " ")
-    return trim_ws(F.regexp_replace(blanks, "\\n{3,}", "\n\n"))
+    return trim_ws(F.regexp_replace(_one_blank(c, "\t"), "\\n{3,}", "\n\n"))
 
 
 def compact(c: Column) -> Column:
     """One line, no blank before ``. , ; :``."""
-    one_line = F.regexp_replace(text_or_empty(c), f"{WS}+", " ")
-    return F.trim(F.regexp_replace(one_line, " +([.,;:])", "$1"))
+    one_line = _one_blank(text_or_empty(c), WS_CHARS)
+    return F.trim(F.regexp_replace(one_line, " ([.,;:])", "$1"))
 
 
 def without_years(c: Column) -> Column:
@@ -212,8 +215,9 @@ def context_block(chunks: Column, label: str, text: str = "text", source: str =
     )
 
 
-def any_of(values: Sequence[Column]) -> Column:
-    out = F.lit(False)
-    for value in values:
-        out = out | value
-    return out
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Branches of ``coalesce`` and ``when`` would each compute a costly text again.
+    """
+    return F.transform(F.array(value), use)[0]

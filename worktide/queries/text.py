@@ -230,9 +230,12 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
     text = F.col("text")
     licence = ex.first_fragment(text, LICENCE_STARTS, 60)
-    code = ex.fragment_with(text, CODE_KEYWORD, CODE_VALUE, 80)
-    mail = ex.first_match(text, r"[A-Za-z0-9.]+@[a-z0-9.]+")
-    share = F.regexp_replace(ex.first_match(text, r"[A-Za-z,.]+ *%%%"), " ", "")
+    code = ex.fragment_with(text, CODE_KEYWORD, CODE_VALUE, CODE_VALUE, 80)
+    mail = F.when(text.contains("@"), ex.first_match(text, r"[A-Za-z0-9.]+@[a-z0-9.]+"))
+    share = F.when(
+        text.contains("%%%"),
+        F.regexp_replace(ex.first_match(text, r"[A-Za-z,.]+ *%%%"), " ", ""),
+    )
     return spread(table(spark, d, "documents")).select(
         "doc_id",
         "lang",
