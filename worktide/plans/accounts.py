@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.functions import rules
 from worktide.functions import text as tx
+from worktide.operators.computed import computed
 from worktide.operators.ordered import carry_last, ordinal
 from worktide.operators.staging import stage
 
@@ -49,7 +50,7 @@ def read_billing(events: DataFrame, payload: str = "payload") -> DataFrame:
 
     is_subscription = F.col("type").startswith("customer.subscription.")
     return (
-        events.withColumn("__doc", F.try_parse_json(payload))
+        computed(events, {"__doc": F.try_parse_json(payload)})
         .select(
             "event_id",
             "ts",
@@ -162,8 +163,7 @@ def decide(
         .otherwise(F.col("status"))
     )
     return (
-        joined.withColumn("match", match)
-        .withColumn("verdict", rule)
+        computed(computed(joined, {"match": match}), {"verdict": rule})
         .select(
             "event_id", "ts", "type", "verdict.*", "uid", "customer_id",
             F.when(paid, "").otherwise(F.col("subscription_id")).alias("subscription_id"),
@@ -184,65 +184,53 @@ def decide(
     )
 
 
-def _as_of_user(
-    decided: DataFrame, links: DataFrame, key: str, out: str, bucket: Column
-) -> DataFrame:
-    """User last linked to ``key`` before the event; ``links`` has key, ts, event_id, linked."""
-    columns = [c for c in decided.columns]
-    rows = decided.withColumn("linked", F.lit(None).cast("string")).withColumn(
-        "__link", F.lit(False)
-    )
-    known = links.select(
-        *[
-            F.col(c) if c in (key, "ts", "event_id")
-            else F.lit(None).cast(decided.schema[c].dataType).alias(c)
-            for c in columns
-        ],
-        "linked",
-        F.lit(True).alias("__link"),
-    )
-    open_ = (F.col(key) != "") & F.col("user_id").isNull()
-    merged = rows.where(open_).unionByName(known)
-    carried = (
-        carry_last(merged, [key], ["ts", "event_id"], bucket, "linked", out)
-        .where(~F.col("__link"))
-        .drop("linked", "__link")
-    )
-    rest = rows.where(~open_ | open_.isNull()).drop("linked", "__link")
-    return carried.unionByName(rest.withColumn(out, F.lit(None).cast("string")))
-
-
-def resolve_users(
-    decided: DataFrame, users: DataFrame, bucket: str = "hour"
-) -> DataFrame:
+def resolve_users(decided: DataFrame, users: DataFrame, bucket: str = "hour") -> DataFrame:
     """Adds ``user_id``: by uid, else by subscription, else by customer.
 
     ``users`` holds user_id, customer_id and subscription_id. A user found by
     uid takes the ids of an activation, and later events without a uid find the
-    user through them; both lookups are as of the event.
+    user through them: one as-of lookup over both kinds of id.
     """
     ids = users.select(F.col("user_id").alias("uid"), F.col("user_id"))
-    # Several branches follow; payloads are parsed once.
+    # Two branches follow; payloads are parsed once.
     direct = stage(decided.join(ids, "uid", "left"))
-    start = F.lit("1970-01-01").cast("timestamp")
-
-    def links(key: str) -> DataFrame:
-        stored = (
-            users.where(tx.text_or_empty(F.col(key)) != "")
-            .groupBy(key)
-            .agg(F.min("user_id").alias("linked"))
-            .select(key, start.alias("ts"), F.lit(-1).cast("bigint").alias("event_id"), "linked")
+
+    def keys() -> Column:
+        pairs = [(0, "subscription_id"), (1, "customer_id")]
+        return F.filter(
+            F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in pairs]),
+            lambda p: p["key"] != "",
         )
-        learned = direct.where(
-            (F.col("action") == "activate") & F.col("user_id").isNotNull() & (F.col(key) != "")
-        ).select(key, "ts", "event_id", F.col("user_id").alias("linked"))
-        return stored.unionByName(learned)
 
-    slot = F.date_trunc(bucket, "ts")
-    by_sub = _as_of_user(direct, links("subscription_id"), "subscription_id", "__sub", slot)
-    by_sub = by_sub.withColumn("user_id", F.coalesce("user_id", "__sub")).drop("__sub")
-    by_customer = _as_of_user(by_sub, links("customer_id"), "customer_id", "__cus", slot)
-    return by_customer.withColumn("user_id", F.coalesce("user_id", "__cus")).drop("__cus")
+    at = ["ts", "event_id"]
+    stored = users.select("user_id", F.inline_outer(keys())).where("key is not null")
+    links = (
+        stored.groupBy("kind", "key")
+        .agg(F.min("user_id").alias("linked"))
+        .withColumns({"ts": F.lit("1970-01-01").cast("timestamp"), "event_id": F.lit(-1).cast("bigint")})
+    ).unionByName(
+        direct.where((F.col("action") == "activate") & F.col("user_id").isNotNull()).select(
+            *at, F.col("user_id").alias("linked"), F.inline_outer(keys())
+        ).where("key is not null")
+    )
+    rest = [c for c in direct.columns if c not in ("user_id", *at)]
+    open_ = direct.where("user_id is null").select(
+        *at, F.struct(*rest).alias("event"), F.inline_outer(keys())
+    )
+    timeline = open_.withColumn("linked", F.lit(None).cast("string")).unionByName(
+        links, allowMissingColumns=True
+    )
+    found = (
+        carry_last(timeline, ["kind", "key"], at, F.date_trunc(bucket, "ts"), "linked", "hit")
+        .where("event is not null")
+        .groupBy(*at)
+        .agg(
+            F.any_value("event").alias("event"),
+            F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("kind"))).alias("user_id"),
+        )
+        .select(*at, "event.*", "user_id")
+    )
+    return direct.where("user_id is not null").unionByName(found.select(direct.columns))
 
 
 def applied(resolved: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.functions import rules
 from worktide.functions import text as tx
+from worktide.operators.computed import computed
 
 PARTS = "array<struct<text string>>"
 SOURCES = "array<struct<web struct<uri string, title string>>>"
@@ -63,9 +64,8 @@ def triage(
     mode: str = "strict",
 ) -> DataFrame:
     """Adds ``used``, ``reason``, ``official`` sources and the answer text."""
-    read = rows.withColumn("__r", read_response(body)).withColumn(
-        "official", official_sources(F.col("__r.sources"), domains, mode)
-    )
+    read = computed(rows, {"__r": read_response(body)})
+    read = computed(read, {"official": official_sources(F.col("__r.sources"), domains, mode)})
     reason = (
         F.when(~enabled, "web_fallback_disabled")
         .when(~labour, "not_labor_question")
@@ -80,7 +80,7 @@ def triage(
         .otherwise("web_grounded")
     )
     return (
-        read.withColumn("reason", reason)
+        computed(read, {"reason": reason})
         .withColumns(
             {
                 "used": F.col("reason") == "web_grounded",

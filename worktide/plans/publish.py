@@ -390,7 +390,10 @@ def missing_fields(entries: DataFrame, key: str, fields: Sequence[str]) -> DataF
     absent = F.array_compact(
         F.array(*[F.when(~rules.found(F.col(f)), F.lit(f)) for f in fields])
     )
-    return entries.select(key, F.explode(absent).alias("field"))
+    # The plain form would test for empty lists by a second extraction.
+    return entries.select(key, F.explode_outer(absent).alias("field")).where(
+        F.col("field").isNotNull()
+    )
 
 
 def coverage_by_page(entries: DataFrame, key: str, labels: Mapping[str, str]) -> DataFrame:

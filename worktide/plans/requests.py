@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worktide import lexicon as lx
 from worktide.functions import text as tx
+from worktide.operators.computed import computed
 
 FIELDS = "map<string,variant>"
 
@@ -174,7 +175,7 @@ def owned(rows: DataFrame, owner: str, caller: Column | str) -> DataFrame:
 
 def split(rows: DataFrame, verdict: Column) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected rows with their reason for the quarantine table."""
-    checked = rows.withColumn("reject_reason", verdict)
+    checked = computed(rows, {"reject_reason": verdict})
     return (
         checked.where("reject_reason is null").drop("reject_reason"),
         checked.where("reject_reason is not null"),

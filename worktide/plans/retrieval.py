@@ -17,6 +17,7 @@ from worktide import lexicon as lx
 from worktide.functions import rules
 from worktide.functions import text as tx
 from worktide.functions.splitting import split
+from worktide.operators.computed import computed
 from worktide.operators.ordered import top_k
 
 DIGITS = 9
@@ -54,8 +55,10 @@ def recursive_chunks(
         .select(
             *[c for c in docs.columns if c != text],
             F.size("__chunks").alias("chunk_total"),
-            F.posexplode("__chunks").alias("chunk_index", "chunk"),
+            # The plain form would test for empty lists by a second run of the function.
+            F.posexplode_outer("__chunks").alias("chunk_index", "chunk"),
         )
+        .where("chunk_index is not null")
         .withColumn("chunk_id", chunk_id(F.col(key).cast("string"), F.col("chunk_index")))
     )
 
@@ -290,15 +293,13 @@ def tier_hits(
     do not depend on the question, so they are found once per file and joined
     to any number of questions later.
     """
-    norm = tx.normalize(F.col("text"))
-    score = rules.weighted_score(F.col("__norm"), weights or {})
-    hits = (
-        chunks.select("file_name", "chunk_id", "chunk_index", *keep, norm.alias("__norm"))
-        .withColumn("tier", rules.tier(F.col("__norm"), exact, headers))
-        .where("tier is not null")
-        .withColumn("score", score)
-        .drop("__norm")
-    )
+    rows = chunks.select("file_name", "chunk_id", "chunk_index", *keep, "text")
+    rows = computed(rows, {"__norm": tx.normalize(F.col("text"))}).drop("text")
+    scores = {
+        "tier": rules.tier(F.col("__norm"), exact, headers),
+        "score": rules.weighted_score(F.col("__norm"), weights or {}),
+    }
+    hits = computed(rows, scores).drop("__norm").where("tier is not null")
     return top_k(hits, ["file_name"], tier_order(), cap, "__r").drop("__r")
 
 

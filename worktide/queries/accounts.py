@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.plans import accounts as ac
 from worktide.queries.registry import query
-from worktide.sources.tables import events, table
+from worktide.sources.tables import events, spread, table
 
 PRICES, PRODUCTS = ("price_ok",), ("prod_ok",)
 TYPES = {
@@ -134,7 +134,7 @@ def provider_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    billing = ac.read_billing(billing_events(events(spark, d)))
+    billing = ac.read_billing(billing_events(spread(events(spark, d))))
     return ac.decide(billing, *provider_tables(spark, d), PRICES, PRODUCTS)
 
 

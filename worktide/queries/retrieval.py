@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.functions import rules
 from worktide.functions import text as tx
+from worktide.operators.computed import computed
 from worktide.plans import answers as an
 from worktide.plans import retrieval as rt
 from worktide.queries import intents as it
@@ -146,9 +147,10 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
         .select(
             F.concat_ws("-", "conv_id", "turn").alias("query_id"),
             F.col("conv_id").alias("chunk_id"),
-            tx.normalize(F.col("text")).alias("norm"),
+            "text",
         )
     )
+    turns = computed(turns, {"norm": tx.normalize(F.col("text"))}).drop("text")
     return turns.join(vectors(spark, d), "chunk_id").drop("chunk_id")
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from worktide.operators.ordered import latest
 from worktide.operators.staging import stage
 
-BUCKETS = 256
-
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path holds anything, on whichever file system it names."""
@@ -20,33 +18,52 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _overwrite(rows: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Replace the partitions that ``rows`` touch and leave the others."""
+    """Replace the partitions that ``rows`` touch and leave the others.
+
+    The rebalance hint gives each partition few files and splits a large one.
+    """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", *by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)
     )
 
 
-def replace_files(new: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
-    """Delete all rows of each file in ``new``, then insert.
+def replace_files(new: DataFrame, path: str, key: str, version: int) -> None:
+    """Replace all rows of each file in ``new``.
 
-    Files share a fixed number of partitions, so their number does not grow
-    with the corpus. Only touched partitions are read and rewritten; the merged
-    rows are staged first, as a partition cannot be read and replaced at once.
+    Every call appends one version folder and the list of files it holds; the
+    newest version of a file counts. The cost follows the new rows, not the
+    stored ones, and a repeated call with the same version replaces itself.
     """
     spark = new.sparkSession
-    incoming = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if exists(spark, path):
-        incoming = stage(incoming)
-        touched = incoming.select(key, "bucket").distinct()
-        stored = spark.read.parquet(path)
-        kept = stored.join(touched.select("bucket").distinct(), "bucket", "left_semi").join(
-            touched.select(key), key, "left_anti"
-        )
-        incoming = stage(incoming.unionByName(kept))
-    _overwrite(incoming, path, ["bucket"])
+    rows, names = f"{path}/rows/version={version}", f"{path}/files/version={version}"
+    new.write.mode("overwrite").parquet(rows)
+    written = spark.read.schema(new.schema).parquet(rows)
+    written.select(key).distinct().write.mode("overwrite").parquet(names)
+
+
+def current_files(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows of the newest version of each file.
+
+    Only files stored more than once need a lookup, and they are few between
+    two runs of :func:`compact_files`.
+    """
+    names = spark.read.parquet(f"{path}/files")
+    versions = names.groupBy(key).agg(F.max("version").alias("newest"), F.count("*").alias("n"))
+    stale = (
+        names.join(versions.where("n > 1").drop("n"), key)
+        .where(F.col("version") < F.col("newest"))
+        .select(key, "version")
+    )
+    return spark.read.parquet(f"{path}/rows").join(stale, [key, "version"], "left_anti")
+
+
+def compact_files(spark: SparkSession, path: str, target: str, key: str) -> None:
+    """Write the current rows as the first version of a new table."""
+    replace_files(current_files(spark, path, key).drop("version"), target, key, 0)
 
 
 def upsert_latest(

@@ -14,7 +14,7 @@ from worktide.operators.ordered import latest
 from worktide.plans import accounts as ac
 from worktide.plans import monitoring as mo
 from worktide.plans import retrieval as rt
-from worktide.sources.sinks import replace_files, upsert_latest
+from worktide.sources.sinks import current_files, replace_files, upsert_latest
 from worktide.streaming import processors as pr
 from worktide.streaming.runner import LATENESS, drain, drain_to_table, new_path
 
@@ -182,10 +182,11 @@ def ingest(
             "text <> ''"
         )
         parts = rt.recursive_chunks(clean, "file_name", "text", size, overlap)
-        replace_files(rt.embed(parts, make_model, "chunk", "file_name"), path, "file_name")
+        embedded = rt.embed(parts, make_model, "chunk", "file_name")
+        replace_files(embedded, path, "file_name", batch_id)
 
     drain(documents, each, checkpoint=checkpoint)
-    return documents.sparkSession.read.parquet(path)
+    return current_files(documents.sparkSession, path, "file_name")
 
 
 def keep_latest(
