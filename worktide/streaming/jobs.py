@@ -24,9 +24,13 @@ def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at_us", F.unix_micros("ts")).drop("ts")
+
+
 def account_updates(changes: DataFrame) -> DataFrame:
     """Account rows as they change; ``changes`` are applied billing decisions."""
-    return changes.groupBy("user_id").transformWithState(
+    return timed(changes).groupBy("user_id").transformWithState(
         statefulProcessor=pr.AccountProcessor(),
         outputStructType=pr.ACCOUNT_OUT,
         outputMode="Update",
@@ -36,7 +40,10 @@ def account_updates(changes: DataFrame) -> DataFrame:
 
 def final_accounts(updates: DataFrame) -> DataFrame:
     """Last written row per user."""
-    return latest(updates, ["user_id"], ["at_ts", "at_id"]).drop("at_ts", "at_id", "batch")
+    last = latest(updates, ["user_id"], ["at_us", "at_id"])
+    return last.withColumn("updated_billing_at", F.timestamp_micros("at_us")).drop(
+        "at_us", "at_id", "batch"
+    )
 
 
 def quota_decisions(
@@ -45,7 +52,8 @@ def quota_decisions(
     daily_limit: int = lx.PAID_DAILY_LIMIT,
 ) -> DataFrame:
     """Decision per request of users with a profile."""
-    return activity.groupBy("user_id").transformWithState(
+    days = activity.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return timed(days).groupBy("user_id").transformWithState(
         statefulProcessor=pr.QuotaProcessor(free_limit, daily_limit),
         outputStructType=pr.QUOTA_OUT,
         outputMode="Update",
@@ -146,7 +154,11 @@ def route_late(
         session = batch.sparkSession
         until = None
         if batch_id > 0:
-            marks = session.read.schema("until string, batch bigint").parquet(seen)
+            marks = (
+                session.read.schema("until string, batch bigint")
+                .option("recursiveFileLookup", True)
+                .parquet(seen)
+            )
             until = marks.where(F.col("batch") < batch_id).agg(F.max("until")).first()[0]
         parts = split_late(batch, until, lateness)
         for part, path in zip(parts, (good, late)):

@@ -1,7 +1,8 @@
 """Stateful processors: account state, quota, incidents.
 
-Each sorts one key's rows of one micro-batch by (ts, event_id); the trigger
-bounds that number. State is a single small row per key.
+Each sorts one key's rows of one micro-batch by (time, event_id); the trigger
+bounds that number. Times come as microseconds and days as text, so that no
+time zone of a worker plays a part. State is a single small row per key.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ACCOUNT_STATE = (
     "account_kind string, subscription_status string, cancel_at_period_end boolean, "
-    "updated_billing_at timestamp, customer_id string, subscription_id string, price_id string, "
-    "product_id string, period_end bigint, at_ts timestamp, at_id bigint"
+    "customer_id string, subscription_id string, price_id string, product_id string, "
+    "period_end bigint, at_us bigint, at_id bigint"
 )
 ACCOUNT_OUT = f"user_id string, {ACCOUNT_STATE}"
 
 
 def in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r.ts, r.event_id))
+    return sorted(rows, key=lambda r: (r.at_us, r.event_id))
 
 
 class AccountProcessor(StatefulProcessor):
@@ -36,8 +37,8 @@ class AccountProcessor(StatefulProcessor):
         account = dict(zip(names, stored)) if stored else dict.fromkeys(names)
         changed = False
         for row in in_order(rows):
-            if account["at_ts"] is not None and (row.ts, row.event_id) <= (
-                account["at_ts"], account["at_id"]
+            if account["at_us"] is not None and (row.at_us, row.event_id) <= (
+                account["at_us"], account["at_id"]
             ):
                 continue
             active = row.action == "activate"
@@ -45,8 +46,7 @@ class AccountProcessor(StatefulProcessor):
                 account_kind="premium" if active else "free",
                 subscription_status=row.subscription_status,
                 cancel_at_period_end=row.cancel_at_period_end if active else None,
-                updated_billing_at=row.ts,
-                at_ts=row.ts,
+                at_us=row.at_us,
                 at_id=row.event_id,
             )
             if active:
@@ -92,7 +92,7 @@ class QuotaProcessor(StatefulProcessor):
                 plan = row.new_plan or plan
                 continue
             paid = plan == "premium"
-            today = row.ts.strftime("%Y-%m-%d")
+            today = row.day
             limit = self.daily_limit if paid else self.free_limit
             used = (day_count if day == today else 0) if paid else free_total
             accepted = used < limit
