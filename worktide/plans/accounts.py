@@ -318,6 +318,8 @@ def quota_ledger(
     known = planned.join(
         profiles.select("user_id", F.lit(True).alias("__known")), "user_id", "left"
     )
+    # Ranking reads its input twice; the plan lookup and the join are done once.
+    known = stage(known.drop("is_request", "new_plan"))
     ranked = ordinal(
         known, ["user_id", "plan", "period_key"], order, slot, "rank"
     )

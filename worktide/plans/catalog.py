@@ -12,6 +12,7 @@ from worktide.functions import extract as ex
 from worktide.functions import rules
 from worktide.functions import text as tx
 from worktide.operators.ordered import ordinal, top_k
+from worktide.operators.staging import stage
 
 ORDER_LOCALE = "es"
 
@@ -77,7 +78,8 @@ def build(files: DataFrame, order: str = "ord") -> DataFrame:
 
 def entry_files(files: DataFrame, bucket: Column, order: str = "ord") -> DataFrame:
     """Distinct files of each entry in first-seen order, one row per file."""
-    once = files.groupBy("catalog_key", "file_name").agg(F.min(order).alias(order))
+    # Numbering reads its input twice; names are parsed once.
+    once = stage(files.groupBy("catalog_key", "file_name").agg(F.min(order).alias(order)))
     return ordinal(once, ["catalog_key"], [order], bucket, "position")
 
 
@@ -220,6 +222,21 @@ def merge_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def rebuild(
+    chunks: DataFrame,
+    stored: DataFrame,
+    places: lx.Places = lx.PLACES,
+    sectors: Sequence[lx.Sector] = lx.SECTORS,
+) -> DataFrame:
+    """Catalogue from the chunk table, merged over the stored one.
+
+    Files are taken in name order; every part of an agreement stays listed.
+    """
+    names = names_of_chunks(chunks).withColumn("ord", F.col("file_name"))
+    fresh = build(file_fields(names, places=places, sectors=sectors))
+    return merge_by_key(stored, fresh.select(stored.columns), ["catalog_key"])
+
+
 def backfill(chunks: DataFrame) -> DataFrame:
     """Fills ``doc_type`` and ``file_name`` and marks changed rows."""
     return chunks.withColumns(

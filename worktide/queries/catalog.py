@@ -369,6 +369,33 @@ def chunk_file_names(spark: SparkSession, d: str) -> DataFrame:
     return ct.names_of_chunks(old_chunks(spark, d))
 
 
+@query(
+    "catalog_rebuild",
+    f"""
+with {FILES_SQL},
+c as (
+  select catalog_key, file_name from files join documents on doc_id = ord where lang <> 'de'),
+r as (
+  select catalog_key, count(distinct file_name) as n_files,
+         regexp_replace(split_part(min(file_name), '/', 2), '\.pdf$', '') as title from c group by 1)
+select * from r
+union all
+select catalog_key, 0, 'stored' from catalog where catalog_key not in (select catalog_key from r)""",
+)
+def catalog_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk table to catalogue, merged by key over the stored entries."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "lang")
+    chunks = file_names(spark, d).join(docs, "ord").select(
+        F.when(F.col("lang") == "de", "base").otherwise("especifico").alias("doc_type"),
+        F.when(F.col("lang") == "fr", F.col("file_name")).alias("file_name"),
+        F.col("file_name").alias("fileName"),
+    )
+    stored = catalog(spark, d).select(
+        "catalog_key", F.lit(0).cast("bigint").alias("n_files"), F.lit("stored").alias("title")
+    )
+    return ct.rebuild(chunks, stored, FILE_PLACES, FILE_SECTORS)
+
+
 @query(
     "catalog_merge",
     f"""

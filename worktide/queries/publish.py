@@ -343,6 +343,26 @@ _UNPIVOT = " union all ".join(
 )
 
 
+PRUDENT = "Dato no localizado; consulta el documento completo"
+
+
+@query(
+    "field_display",
+    f"""
+with {EXTRACT_SQL}
+select doc_id, case when licencia = '{MISSING}' then '{PRUDENT}' else licencia end as licencia,
+       case when correo = '{MISSING}' then 'no_localizado' else 'extraido' end as correo
+from extracted""",
+)
+def field_display(spark: SparkSession, d: str) -> DataFrame:
+    """Display text and state label of extracted fields."""
+    return extracted(spark, d).select(
+        "doc_id",
+        rules.shown(F.col("licencia"), PRUDENT).alias("licencia"),
+        rules.data_state(F.col("correo")).alias("correo"),
+    )
+
+
 @query(
     "coverage_fields",
     f"""

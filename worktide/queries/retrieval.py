@@ -322,6 +322,40 @@ def file_choice(spark: SparkSession, d: str) -> DataFrame:
     return rt.names_in_order(named)
 
 
+@query(
+    "chunk_diagnostics",
+    """
+with p as (
+  select q.vec_id as query_id, c.vec_id as chunk_id, c.label,
+         round(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as distance
+  from embeddings q join embeddings c on c.label <> 0),
+t as (
+  select *, row_number() over (partition by query_id order by distance, chunk_id) as rank
+  from p qualify rank <= 3)
+select query_id, string_agg('file' || label || '.pdf', '|' order by rank) as files,
+       round(min(distance), 6) as nearest
+from t group by 1""",
+)
+def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Files and distances of the three nearest specific chunks, without their text."""
+    corpus = vectors(spark, d)
+    asked = corpus.withColumnRenamed("chunk_id", "query_id")
+    near = rt.knn(asked, corpus.where("label <> 0"), 3)
+    named = near.join(
+        corpus.select("chunk_id", F.concat(F.lit("file"), "label", F.lit(".pdf")).alias("file_name")),
+        "chunk_id",
+    )
+    lists = named.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "file_name", "distance"))).alias("chunks")
+    )
+    view = rt.redacted(F.col("chunks"))
+    return lists.select(
+        "query_id",
+        F.array_join(view["file_name"], "|").alias("files"),
+        F.round(F.array_min(view["distance"]), 6).alias("nearest"),
+    )
+
+
 # ---- chunking and embedding ----------------------------------------------
 
 
