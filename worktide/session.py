@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import worktide
+
+# Functions travel to the executors by value, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(worktide)
+
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,9 +32,16 @@ STREAM_CONF = {
 }
 
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
+
 def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
-    """Apply the settings every job relies on; cluster sizing is left alone."""
+    """Apply the settings every job relies on; the sizing of a cluster is left alone."""
     conf = {**RUNTIME_CONF, **(STREAM_CONF if streaming else {})}
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(SHUFFLE, "200") == "200":
+        # One machine: the default is meant for a cluster.
+        conf[SHUFFLE] = str(context.defaultParallelism)
     for key, value in conf.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
