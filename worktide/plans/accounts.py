@@ -25,7 +25,8 @@ def _id(value: Column) -> Column:
     as_text = F.when(
         F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")
     )
-    return F.coalesce(as_text, F.try_variant_get(value, "$.id", "string"), F.lit(""))
+    # The object form first: a schema is read only where there is no id.
+    return F.coalesce(F.try_variant_get(value, "$.id", "string"), as_text, F.lit(""))
 
 
 def _prices(items: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktide import lexicon as lx
@@ -197,12 +197,8 @@ def overtime_cap(overtime: DataFrame, limit: int = lx.OVERTIME_LIMIT) -> DataFra
     )
 
 
-def month_days(marks: DataFrame, overtime: DataFrame) -> DataFrame:
-    """One line per calendar day of each month that has any entry.
-
-    Marks and overtime meet in one shuffle on (user, month); the day spine is
-    generated there and filled from maps of at most 31 entries.
-    """
+def day_entries(marks: DataFrame, overtime: DataFrame) -> DataFrame:
+    """One row per (user, day) with a mark, overtime or both."""
     entries = marks.select(
         "user_id", "day", "kind", "is_holiday", F.lit(None).cast("decimal(18,1)").alias("hours")
     ).unionByName(
@@ -214,12 +210,20 @@ def month_days(marks: DataFrame, overtime: DataFrame) -> DataFrame:
             F.col("hours").cast("decimal(18,1)").alias("hours"),
         )
     )
-    per_day = entries.groupBy("user_id", "day").agg(
+    return entries.groupBy("user_id", "day").agg(
         F.max("kind").alias("kind"),
         F.coalesce(F.max("is_holiday"), F.lit(False)).alias("is_holiday"),
-        F.sum("hours").alias("hours"),
+        F.coalesce(F.sum("hours"), F.lit(0)).cast("decimal(18,1)").alias("hours"),
     )
-    months = per_day.groupBy("user_id", F.trunc("day", "MM").alias("month_start")).agg(
+
+
+def month_days(entries: DataFrame) -> DataFrame:
+    """One line per calendar day of each month that has any entry.
+
+    The day spine is generated per (user, month) and filled from a map of at
+    most 31 entries, so the spine itself is never shuffled or joined.
+    """
+    months = entries.groupBy("user_id", F.trunc("day", "MM").alias("month_start")).agg(
         F.map_from_entries(
             F.collect_list(F.struct("day", F.struct("kind", "is_holiday", "hours")))
         ).alias("filled")
@@ -243,16 +247,25 @@ def month_days(marks: DataFrame, overtime: DataFrame) -> DataFrame:
     )
 
 
-def month_totals(days: DataFrame, ratios: DataFrame, prefix: str = "RLC") -> DataFrame:
-    """Month totals with the year's overtime and the report id."""
-    months = days.groupBy("user_id", "year", "month").agg(
-        F.count_if("worked").alias("days_worked"),
-        F.sum("overtime").alias("overtime_month"),
-        F.count_if(F.col("worked") & F.col("is_holiday")).alias("holidays_worked"),
+def month_sums(entries: DataFrame) -> DataFrame:
+    """Sums per month straight from the entries; days without one add nothing."""
+    worked = F.coalesce(_worked(F.col("kind")), F.lit(False))
+    return entries.groupBy(
+        "user_id", F.year("day").alias("year"), F.month("day").alias("month")
+    ).agg(
+        F.count_if(worked).alias("days_worked"),
+        F.sum("hours").alias("overtime_month"),
+        F.count_if(worked & F.col("is_holiday")).alias("holidays_worked"),
     )
-    years = months.groupBy("user_id", "year").agg(F.sum("overtime_month").alias("overtime_year"))
+
+
+def month_totals(entries: DataFrame, ratios: DataFrame, prefix: str = "RLC") -> DataFrame:
+    """Month totals with the year's overtime and the report id."""
+    months = month_sums(entries)
+    # A (user, year) has at most twelve rows here.
+    year = Window.partitionBy("user_id", "year")
     return (
-        months.join(years, ["user_id", "year"])
+        months.withColumn("overtime_year", F.sum("overtime_month").over(year))
         .join(ratios, "user_id")
         .select(
             "user_id",

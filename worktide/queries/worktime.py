@@ -102,7 +102,7 @@ def overtime(spark: SparkSession, d: str) -> DataFrame:
     per_order = (
         table(spark, d, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum(F.col("l_quantity").cast("decimal(12,1)") / 10).alias("hours"))
+        .agg((F.sum(F.col("l_quantity").cast("decimal(8,1)")) / 10).alias("hours"))
     )
     return (
         table(spark, d, "orders")
@@ -275,7 +275,7 @@ select user_id, year, month, strftime(day, '%Y-%m-%d') as day, status,
 from lines""",
 )
 def month_report_days(spark: SparkSession, d: str) -> DataFrame:
-    days = wt.month_days(holiday_marks(spark, d), overtime(spark, d))
+    days = wt.month_days(wt.day_entries(holiday_marks(spark, d), overtime(spark, d)))
     label = F.when(
         F.col("overtime") > 0, F.concat(F.col("overtime").cast("string"), F.lit("h"))
     ).otherwise("-")
@@ -302,8 +302,8 @@ select user_id, year, month, floor(d * 8 * ratio + 0.5)::bigint as ordinary_hour
 from y join users using (user_id)""",
 )
 def month_report_totals(spark: SparkSession, d: str) -> DataFrame:
-    days = wt.month_days(holiday_marks(spark, d), overtime(spark, d))
-    out = wt.month_totals(days, users(spark, d).select("user_id", "ratio"))
+    entries = wt.day_entries(holiday_marks(spark, d), overtime(spark, d))
+    out = wt.month_totals(entries, users(spark, d).select("user_id", "ratio"))
     return out.withColumns(
         {
             "overtime_month": F.col("overtime_month").cast("double"),
@@ -322,14 +322,14 @@ from lines group by grouping sets ((user_id, year, month), (user_id, year))""",
 )
 def month_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Month and year rows in one pass; month 0 marks the year row."""
-    days = wt.month_days(holiday_marks(spark, d), overtime(spark, d))
+    sums = wt.month_sums(wt.day_entries(holiday_marks(spark, d), overtime(spark, d)))
     return (
-        days.groupingSets(
+        sums.groupingSets(
             [("user_id", "year", "month"), ("user_id", "year")], "user_id", "year", "month"
         )
         .agg(
-            F.count_if("worked").alias("days_worked"),
-            F.sum("overtime").cast("double").alias("overtime"),
+            F.sum("days_worked").alias("days_worked"),
+            F.sum("overtime_month").cast("double").alias("overtime"),
             F.grouping("month").cast("int").alias("is_year_row"),
         )
         .withColumn("month", F.coalesce("month", F.lit(0)))
