@@ -377,7 +377,7 @@ c as (
   select catalog_key, file_name from files join documents on doc_id = ord where lang <> 'de'),
 r as (
   select catalog_key, count(distinct file_name) as n_files,
-         regexp_replace(split_part(min(file_name), '/', 2), '\.pdf$', '') as title from c group by 1)
+         regexp_replace(split_part(min(file_name), '/', 2), '[.]pdf$', '') as title from c group by 1)
 select * from r
 union all
 select catalog_key, 0, 'stored' from catalog where catalog_key not in (select catalog_key from r)""",
