@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark import cloudpickle
@@ -69,13 +70,16 @@ def local_session(cores: str = "8", app: str = "worktide", memory: str = "16g")
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local one is made only
-    where that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. On one machine, as in tests, a local one is
+    made where that is unset; elsewhere that is an error, since executors would not share it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         path = tempfile.mkdtemp(prefix="worktide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
