@@ -34,13 +34,16 @@ def test_overrides_and_topics(spark, tmp_path):
     config.write_text(json.dumps({"generationEnabled": False, "urlPattern": "/x", "topics": [
         {"slug": "s", "contentField": "f", "titlePattern": "T {title}", "minimumData": ["f", "g"],
          "fallbackPolicy": "generate_prudent"}]}))
-    topics = files.topic_list(files.topics(spark, str(config)))
-    assert topics == (lx.Topic("s", "f", "T {title}", ("f", "g"), "generate_prudent"),)
+    topics = files.topics(spark, str(config))
     entries = spark.createDataFrame([("e1", "t", "x", lx.NOT_FOUND, "x"), ("e2", "t", "x", "y", "z"), ("e3", "t", "", "", "")],
                                     "slug string, title string, f string, g string, vigencia string")
-    plan = {r.slug: (r.status, r.missing, r.page_title, r.published) for r in pb.topic_plan(entries, "slug", "title", topics).collect()}
+    plan = {r.slug: (r.status, r.missing, r.page_title, r.published) for r in pb.topic_table_plan(entries, "slug", "title", topics).collect()}
     assert plan["e1"] == ("prudent", ["g"], "T t", False)
     assert plan["e2"][0] == "ready" and plan["e3"][0] == "blocked"
+    fixed = (lx.Topic("s", "f", "T {title}", ("f", "g"), "generate_prudent"),)
+    same = pb.topic_plan(entries, "slug", "title", fixed)
+    by_table = pb.topic_table_plan(entries, "slug", "title", topics)
+    assert sorted(same.collect(), key=lambda r: r.slug) == sorted(by_table.select(same.columns).collect(), key=lambda r: r.slug)
 
 
 def test_replace_by_file(spark, tmp_path):
@@ -64,11 +67,18 @@ def test_year_sink_replaces_only_its_years(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.columns == ["user_id", "goal", "year"]
     assert {(r.year, r.goal) for r in stored.collect()} == {(2023, 5), (2024, 7)}
-    sinks.upsert_latest(stored.selectExpr("user_id", "year", "goal + 1 as goal", "1 as v"), str(tmp_path / "l"), ["user_id", "year"], "v", "year")
-    older = spark.createDataFrame([(1, 2024, 0, 0), (2, 2024, 1, 0)], "user_id int, year int, goal int, v int")
-    sinks.upsert_latest(older, str(tmp_path / "l"), ["user_id", "year"], "v", "year")
-    got = {(r.user_id, r.year): r.goal for r in spark.read.parquet(str(tmp_path / "l")).collect()}
-    assert got == {(1, 2023): 6, (1, 2024): 8, (2, 2024): 1}
+
+
+def test_latest_row_over_versions(spark, tmp_path):
+    path, schema, keys = str(tmp_path / "l"), "user_id int, year int, goal int, v int", ["user_id", "year"]
+    sinks.append_version(spark.createDataFrame([(1, 2023, 6, 1), (1, 2024, 8, 1)], schema), path, keys, "v", 0)
+    sinks.append_version(spark.createDataFrame([(1, 2024, 0, 0), (2, 2024, 1, 0)], schema), path, keys, "v", 1)
+    want = {(1, 2023): 6, (1, 2024): 8, (2, 2024): 1}
+    found = sinks.current_latest(spark, path, keys, "v")
+    assert {(r.user_id, r.year): r.goal for r in found.collect()} == want
+    sinks.compact_latest(spark, path, str(tmp_path / "packed"), keys, "v", "year")
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    assert {(r.user_id, r.year): r.goal for r in packed.collect()} == want
 
 
 def test_reports_round_trip(spark, tmp_path):

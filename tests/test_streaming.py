@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from worktide.plans import accounts as ac
 from worktide.plans import monitoring as mo
@@ -30,7 +31,7 @@ def batches(spark, tmp_path):
     return run
 
 
-def test_quota_stream_equals_ledger(spark, batches):
+def test_quota_stream_equals_ledger(spark, batches, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(150):
@@ -39,13 +40,18 @@ def test_quota_stream_equals_ledger(spark, batches):
     schema = "user_id bigint, ts timestamp, event_id bigint, is_request boolean, new_plan string"
     frames = [spark.createDataFrame(rows[a : a + 50], schema) for a in (0, 50, 100)]
     profiles = spark.createDataFrame([(i,) for i in range(1, 5)], "user_id bigint")
-    batch = ac.quota_ledger(spark.createDataFrame(rows, schema), profiles, 3, 4).drop("ts")
-    stream = drain_to_table(jobs.quota_decisions(batches(frames), 3, 4), "update").drop("batch")
+    # User 4 has no profile.
+    profiles = profiles.where("user_id < 4")
+    batch = ac.quota_ledger(spark.createDataFrame(rows, schema), profiles, 3, 4).drop("period_key")
+    stream = jobs.quota(batches(frames), str(tmp_path / "quota"), profiles, 3, 4)
     key = lambda r: r.event_id
     columns = sorted(batch.columns)
     want = sorted(batch.select(columns).collect(), key=key)
     assert sorted(stream.select(columns).collect(), key=key) == want
-    assert {r.code for r in want} == {"ok", "premium_daily_quota_exceeded", "free_total_quota_exceeded"}
+    assert {r.code for r in want} == {
+        "ok", "premium_daily_quota_exceeded", "free_total_quota_exceeded", "user_profile_not_found"
+    }
+    assert all((r.used is None) == (r.code == "user_profile_not_found") for r in want)
 
 
 def test_account_stream_ignores_older_events(spark, batches):
@@ -64,22 +70,40 @@ def test_account_stream_ignores_older_events(spark, batches):
     assert (got.account_kind, got.subscription_id, got.subscription_status) == ("free", "s2", "st4")
 
 
-def test_incidents_close_by_timer(spark, batches):
-    rows = [("r", 600, b, 5) for b in (0, 600, 4800, 10000, 30000)]
+def intervals(spark, batches, rows, close_after):
     schema = "rule string, period int, bucket bigint, n bigint"
-    updates = drain_to_table(
-        jobs.incident_updates(batches([spark.createDataFrame([r], schema) for r in rows])), "update"
-    )
-    final = {(r.incident, r.opened, r.closed, r.periods) for r in jobs.final_incidents(updates).collect()}
+    frames = [spark.createDataFrame([r], schema) for r in rows]
+    stream = batches(frames).withColumn("closed_at", F.timestamp_seconds(F.col("bucket") + F.col("period")))
+    periods = stream.withWatermark("closed_at", "20 days")
+    return drain_to_table(jobs.interval_updates(periods, "rule", close_after), "append"), schema
+
+
+@pytest.mark.parametrize("buckets", [
+    (0, 600, 4800, 10000, 30000), (11 * 86400, 0), (9000, 0, 4200), (30000, 10000, 4800, 600, 0),
+])
+def test_incidents_in_any_order_equal_batch(spark, batches, buckets):
+    rows = [("r", 600, b, 5) for b in buckets]
+    updates, schema = intervals(spark, batches, rows, 3600)
+    final = {(r.incident, r.opened, r.closed, r.periods, r.hits) for r in jobs.final_incidents(updates).collect()}
     want = mo.incidents(spark.createDataFrame(rows, schema))
-    assert final == {(r.incident, r.opened, r.closed, r.periods) for r in want.collect()}
-    assert updates.where("not is_open").select("incident").distinct().count() >= 2
+    assert final == {(r.incident, r.opened, r.closed, r.periods, r.hits) for r in want.collect()}
+
+
+def test_a_period_counts_once_over_many_batches(spark, batches):
+    """Four hits of one period in each of three batches: one period, twelve hits."""
+    rules = (mo.Rule("r", "service_name = 's'", 600, 3), mo.Rule("clock", "service_name = 'clock'", 600, 1 << 30))
+    schema = "ts timestamp, service_name string"
+    frames = [
+        spark.createDataFrame([(START + timedelta(seconds=60 * b + i), "s") for i in range(4)], schema) for b in range(3)
+    ] + [spark.createDataFrame([(START + timedelta(days=1), "clock")], schema)]
+    updates = drain_to_table(jobs.incident_updates(batches(frames), rules), "append")
+    assert [(r.periods, r.hits) for r in jobs.final_incidents(updates).collect()] == [(1, 12)]
 
 
-def test_late_rows_go_aside(spark, batches):
+def test_late_rows_go_aside(spark, batches, tmp_path):
     schema = "event_id bigint, ts timestamp"
     frames = [spark.createDataFrame([(i, START + timedelta(minutes=m))], schema) for i, m in ((1, 60), (2, 49), (3, 55), (4, 90), (5, 81))]
-    good, late = jobs.route_late(batches(frames))
+    good, late = jobs.route_late(batches(frames), str(tmp_path / "late"))
     assert {r.event_id for r in late.collect()} == {2}
     assert {r.event_id for r in good.collect()} == {1, 3, 4, 5}
 
@@ -94,6 +118,45 @@ def test_ingest_replaces_and_skips_empty(spark, batches, tmp_path):
     assert {(r.file_name, r.chunk) for r in out.collect()} == {("a", "nuevo"), ("b", "tres")}
 
 
+def test_ingest_runs_add_to_one_table(spark, tmp_path):
+    """A run with a new checkpoint loses nothing that an earlier run stored."""
+    configure(spark, streaming=True)
+    schema, table = "file_name string, text string", str(tmp_path / "table")
+
+    def run(name, rows, checkpoint=None):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        out = jobs.ingest(stream, table, rt.hashing_model(8), checkpoint)
+        return {(r.file_name, r.chunk) for r in out.collect()}
+
+    run("one", [("a.pdf", "uno"), ("b.pdf", "dos")])
+    check = str(tmp_path / "check")
+    assert run("two", [("c.pdf", "tres")], check) == {("a.pdf", "uno"), ("b.pdf", "dos"), ("c.pdf", "tres")}
+    assert ("a.pdf", "nuevo") in run("three", [("a.pdf", "nuevo")])
+    # The second run goes on after the third: its versions are newer still.
+    assert run("two", [("a.pdf", "final")], check) == {("a.pdf", "final"), ("b.pdf", "dos"), ("c.pdf", "tres")}
+    other = spark.readStream.schema(schema).parquet(str(tmp_path / "two"))
+    spark.createDataFrame([("d.pdf", "x")], schema).write.mode("append").parquet(str(tmp_path / "two"))
+    with pytest.raises(Exception, match="belongs to another table"):
+        jobs.ingest(other, str(tmp_path / "other"), rt.hashing_model(8), check)
+
+
+def test_billing_learns_ids_across_batches(spark, tmp_path):
+    from worktide.queries import accounts as qa
+    from worktide.sources.tables import events
+    from worktide.streaming.runner import slices_of
+
+    folder, path, check = "/root/testdata/sf0.001", str(tmp_path / "b"), str(tmp_path / "c")
+    users, provider = qa.accounts_table(spark, folder), qa.provider_tables(spark, folder)
+    for stream in slices_of(qa.billing_events(events(spark, folder)), 3):
+        out = jobs.billing(stream, path, users, *provider, qa.PRICES, qa.PRODUCTS, check)
+    columns = ["event_id", "action", "reason", "user_id"]
+    want = qa.resolved_changes(spark, folder).select(columns).collect()
+    assert sorted(map(str, out.select(columns).collect())) == sorted(map(str, want))
+    assert spark.read.parquet(f"{path}/links").select("batch").distinct().count() > 1
+
+
 def test_stream_continues_from_its_checkpoint(spark, tmp_path):
     configure(spark, streaming=True)
     path, check = str(tmp_path / "in"), str(tmp_path / "check")

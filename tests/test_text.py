@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from worktide.functions import extract as ex
@@ -15,8 +17,10 @@ def test_normalize_folds_and_is_idempotent(values):
 
 def test_ids_and_slugs(values):
     assert values(tx.identifier, ["Álava 2020!", "", None, "x" * 130]) == [
-        "alava_2020", "convenio", "convenio", "x" * 120,
+        "alava_2020", "convenio", "convenio", "x" * 120 + "_" + hashlib.md5(b"x" * 130).hexdigest(),
     ]
+    first, second = values(tx.identifier, ["y" * 120 + "a", "y" * 120 + "b"])
+    assert first != second
     assert values(tx.slug, ["Álava & Ñ!"]) == ["alava-n"]
     assert values(tx.title_case, ["  SAN   sebastian "]) == ["San Sebastian"]
 
@@ -50,6 +54,8 @@ def test_names_and_lists(values):
     assert values(tx.host, ["https://www.BOE.es/x", "nota url", None]) == ["boe.es", "", ""]
     make = lambda u, y, m: tx.verification_id(u, y, m)
     assert values(make, [("uid1", 2024, 1)], "u string, y int, m int") == ["RLC-DWLKMTIWMJQW-2024"]
+    long = values(make, [("u" * 28, 2024, m) for m in (1, 2, 12)] + [("u" * 28, 2025, 1)], "u string, y int, m int")
+    assert len(set(long)) == 4
 
 
 def test_client_families(values):

@@ -122,16 +122,14 @@ BULLETINS = (
 BULLETIN_DOMAINS = ("bopmalaga.es", "bop.dival.es", "araba.eus", "bop.diba.cat", "bocm.es",
                     "boe.es", "bizkaia.eus", "gipuzkoa.eus", "navarra.es", "sevilla.es", "dpz.es")
 BARE_DOMAINS = ("bopmalaga.es", "araba.eus", "bop.dival.es", "bop.diba.cat")
-SOURCE_WINDOW = 10000
-URL_WINDOW = 15000
 
 
 def official_source(text: Column, patterns: Sequence[str] = BULLETINS) -> Column:
-    """First bulletin name in the head of the text; the head length is part of the rule."""
+    """First bulletin name in the whole text."""
     name = let(
-        compact(F.substring(text, 1, SOURCE_WINDOW)),
-        lambda head: F.coalesce(
-            *[F.nullif(F.regexp_extract(head, f"({p})", 1), F.lit("")) for p in patterns]
+        compact(text),
+        lambda line: F.coalesce(
+            *[F.nullif(F.regexp_extract(line, f"({p})", 1), F.lit("")) for p in patterns]
         ),
     )
     message = F.concat(
@@ -153,17 +151,17 @@ def official_url(
     allowed = "|".join(re.escape(x) for x in domains)
     plain = "|".join(re.escape(x) for x in bare)
 
-    def find(head: Column) -> Column:
+    def find(line: Column) -> Column:
         urls = F.transform(
             F.regexp_extract_all(
-                head, F.lit(r"(?i)(https?://[^\s\x{00A0}\x{FEFF})]+)"), F.lit(1)
+                line, F.lit(r"(?i)(https?://[^\s\x{00A0}\x{FEFF})]+)"), F.lit(1)
             ),
             _no_tail,
         )
         listed = F.try_element_at(F.filter(urls, lambda u: F.lower(u).rlike(allowed)), F.lit(1))
         bare_hit = F.nullif(
             F.regexp_extract(
-                head,
+                line,
                 rf"(?i)((?<![A-Za-z0-9_])(?:www\.)?(?:{plain})[^\s\x{{00A0}}\x{{FEFF}})]*)",
                 1,
             ),
@@ -173,7 +171,7 @@ def official_url(
             listed, F.concat(F.lit("https://"), _no_tail(bare_hit)), F.lit(lx.NOT_FOUND)
         )
 
-    return let(compact(F.substring(text, 1, URL_WINDOW)), find)
+    return let(compact(text), find)
 
 
 @dataclass(frozen=True)

@@ -67,9 +67,11 @@ def py_normalize(value: str | None) -> str:
 
 
 def identifier(c: Column, max_length: int = 120, default: str = "convenio") -> Column:
-    """Lower-case id with ``_`` as separator."""
+    """Lower-case id with ``_`` as separator; a longer one ends in a digest of the whole value."""
     joined = F.replace(normalize(c), F.lit(" "), F.lit("_"))
-    return F.coalesce(F.nullif(F.substring(joined, 1, max_length), F.lit("")), F.lit(default))
+    short = F.concat_ws("_", F.substring(joined, 1, max_length), F.md5(joined))
+    whole = F.when(F.length(joined) > max_length, short).otherwise(joined)
+    return F.coalesce(F.nullif(whole, F.lit("")), F.lit(default))
 
 
 def slug(c: Column) -> Column:
@@ -179,9 +181,13 @@ def split_list(c: Column) -> Column:
 
 
 def verification_id(uid: Column, year: Column, month: Column, prefix: str = "RLC") -> Column:
-    """Report id; the month counts from zero inside the encoded part."""
+    """Report id; the month counts from zero inside the encoded part.
+
+    Where the encoded part is longer than 24 characters, a digest of the whole value stands for it.
+    """
     raw = F.concat(uid.cast("string"), year.cast("string"), (month - 1).cast("string"))
-    code = F.upper(F.substring(F.base64(raw.cast("binary")), 1, 24))
+    encoded = F.base64(raw.cast("binary"))
+    code = F.upper(F.when(F.length(encoded) > 24, F.md5(raw)).otherwise(encoded))
     return F.concat_ws("-", F.lit(prefix), code, year.cast("string"))
 
 

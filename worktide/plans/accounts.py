@@ -185,38 +185,53 @@ def decide(
     )
 
 
-def resolve_users(decided: DataFrame, users: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Adds ``user_id``: by uid, else by subscription, else by customer.
+LINK = "kind int, key string, ts timestamp, event_id bigint, linked string"
 
-    ``users`` holds user_id, customer_id and subscription_id. A user found by
-    uid takes the ids of an activation, and later events without a uid find the
-    user through them: one as-of lookup over both kinds of id.
-    """
+
+def _keys() -> Column:
+    pairs = [(0, "subscription_id"), (1, "customer_id")]
+    return F.filter(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in pairs]),
+        lambda p: p["key"] != "",
+    )
+
+
+def direct_users(decided: DataFrame, users: DataFrame) -> DataFrame:
+    """Adds the user whose id the event itself names."""
     ids = users.select(F.col("user_id").alias("uid"), F.col("user_id"))
-    # Two branches follow; payloads are parsed once.
-    direct = stage(decided.join(ids, "uid", "left"))
+    return decided.join(ids, "uid", "left")
 
-    def keys() -> Column:
-        pairs = [(0, "subscription_id"), (1, "customer_id")]
-        return F.filter(
-            F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in pairs]),
-            lambda p: p["key"] != "",
-        )
 
-    at = ["ts", "event_id"]
-    stored = users.select("user_id", F.inline_outer(keys())).where("key is not null")
-    links = (
-        stored.groupBy("kind", "key")
+def learned_links(direct: DataFrame) -> DataFrame:
+    """Ids that activations of known users store, as of the event."""
+    return (
+        direct.where((F.col("action") == "activate") & F.col("user_id").isNotNull())
+        .select("ts", "event_id", F.col("user_id").alias("linked"), F.inline_outer(_keys()))
+        .where("key is not null")
+        .select("kind", "key", "ts", "event_id", "linked")
+    )
+
+
+def stored_links(users: DataFrame) -> DataFrame:
+    """Ids of the user table, valid from the start; the lowest user id wins."""
+    return (
+        users.select("user_id", F.inline_outer(_keys()))
+        .where("key is not null")
+        .groupBy("kind", "key")
         .agg(F.min("user_id").alias("linked"))
-        .withColumns({"ts": F.lit("1970-01-01").cast("timestamp"), "event_id": F.lit(-1).cast("bigint")})
-    ).unionByName(
-        direct.where((F.col("action") == "activate") & F.col("user_id").isNotNull()).select(
-            *at, F.col("user_id").alias("linked"), F.inline_outer(keys())
-        ).where("key is not null")
+        .select(
+            "kind", "key", F.lit("1970-01-01").cast("timestamp").alias("ts"),
+            F.lit(-1).cast("bigint").alias("event_id"), "linked",
+        )
     )
+
+
+def resolve_by_links(direct: DataFrame, links: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Finds the user of the other events: by subscription, else by customer, as of the event."""
+    at = ["ts", "event_id"]
     rest = [c for c in direct.columns if c not in ("user_id", *at)]
     open_ = direct.where("user_id is null").select(
-        *at, F.struct(*rest).alias("event"), F.inline_outer(keys())
+        *at, F.struct(*rest).alias("event"), F.inline_outer(_keys())
     )
     timeline = open_.withColumn("linked", F.lit(None).cast("string")).unionByName(
         links, allowMissingColumns=True
@@ -234,6 +249,19 @@ def resolve_users(decided: DataFrame, users: DataFrame, bucket: str = "hour") ->
     return direct.where("user_id is not null").unionByName(found.select(direct.columns))
 
 
+def resolve_users(decided: DataFrame, users: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Adds ``user_id``: by uid, else by subscription, else by customer.
+
+    ``users`` holds user_id, customer_id and subscription_id. A user found by
+    uid takes the ids of an activation, and later events without a uid find the
+    user through them: one as-of lookup over both kinds of id.
+    """
+    # Two branches follow; payloads are parsed once.
+    direct = stage(direct_users(decided, users))
+    links = stored_links(users).unionByName(learned_links(direct))
+    return resolve_by_links(direct, links, bucket)
+
+
 def applied(resolved: DataFrame) -> DataFrame:
     """Events that change an account; the others stay in the decision log."""
     return resolved.where(
@@ -295,9 +323,15 @@ def quota_ledger(
     free_limit: int = lx.FREE_TOTAL_LIMIT,
     daily_limit: int = lx.PAID_DAILY_LIMIT,
     bucket: str = "hour",
+    plans: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Decision and counters of every request.
 
+    ``plans`` (user_id, ts, event_id, new_plan) are changes known before, ``counted`` (user_id,
+    plan, period_key, before) the requests counted before. A user without profile has no quota:
+    ``used`` and ``remaining`` are null.
+
     ``activity`` holds user_id, ts, event_id, is_request and new_plan (null for
     requests). The plan is the one valid at the request; a free request counts
     against the total, a paid one against its UTC day. Rejected requests come
@@ -305,6 +339,9 @@ def quota_ledger(
     """
     slot = F.date_trunc(bucket, "ts")
     order = ["ts", "event_id"]
+    if plans is not None:
+        known = plans.join(activity.select("user_id").distinct(), "user_id", "left_semi")
+        activity = activity.unionByName(known.withColumn("is_request", F.lit(False)))
     planned = carry_last(activity, ["user_id"], order, slot, "new_plan", "plan").where("is_request")
     planned = planned.withColumns(
         {
@@ -324,6 +361,10 @@ def quota_ledger(
     ranked = ordinal(
         known, ["user_id", "plan", "period_key"], order, slot, "rank"
     )
+    if counted is not None:
+        ranked = ranked.join(counted, ["user_id", "plan", "period_key"], "left").withColumn(
+            "rank", F.col("rank") + F.coalesce("before", F.lit(0))
+        )
     limit = F.when(F.col("plan") == "premium", daily_limit).otherwise(free_limit)
     accepted = F.col("__known").isNotNull() & (F.col("rank") <= limit)
     return ranked.select(
@@ -338,8 +379,11 @@ def quota_ledger(
         .when(F.col("plan") == "premium", "premium_daily_quota_exceeded")
         .otherwise("free_total_quota_exceeded")
         .alias("code"),
-        F.least("rank", limit).cast("bigint").alias("used"),
-        rules.remaining(limit, F.least("rank", limit)).cast("bigint").alias("remaining"),
+        F.when(F.col("__known").isNotNull(), F.least("rank", limit)).cast("bigint").alias("used"),
+        F.when(F.col("__known").isNotNull(), rules.remaining(limit, F.least("rank", limit)))
+        .cast("bigint")
+        .alias("remaining"),
+        "period_key",
     )
 
 

@@ -162,16 +162,18 @@ def incidents(
     )
 
 
+def counter_columns(counters: Sequence[str]) -> list[Column]:
+    return [
+        F.sum(F.when(F.col("action") == c, F.col("n")).otherwise(0)).cast("bigint").alias(c)
+        for c in counters
+    ]
+
+
 def session_counters(
     actions: DataFrame, counters: Sequence[str] = lx.VISIT_COUNTERS
 ) -> DataFrame:
     """Action counts per session, one column per known action."""
-    return actions.groupBy("session_id").agg(
-        *[
-            F.sum(F.when(F.col("action") == c, F.col("n")).otherwise(0)).cast("bigint").alias(c)
-            for c in counters
-        ]
-    )
+    return actions.groupBy("session_id").agg(*counter_columns(counters))
 
 
 def daily_figures(rows: DataFrame, kind: str = "kind") -> DataFrame:
@@ -196,13 +198,6 @@ def sliding_users(rows: DataFrame, days: int = 7) -> DataFrame:
     return windows.groupBy("last_day").agg(F.count("*").alias("users"))
 
 
-def approximate_users(rows: DataFrame) -> DataFrame:
-    """Users per day by sketch, for live dashboards."""
-    return rows.groupBy(F.to_date("ts").alias("day")).agg(
-        F.approx_count_distinct("user_id").alias("users")
-    )
-
-
 QUERY_LOG = (
     "event string, response_source string, status int, uid string, quotaPlan string, "
     "quotaRemaining int, convenioUsado string, requiresClarification boolean, "

@@ -11,7 +11,7 @@ from worktide import lexicon as lx
 from worktide.functions import extract as ex
 from worktide.functions import rules
 from worktide.functions import text as tx
-from worktide.operators.ordered import ordinal, top_k
+from worktide.operators.ordered import ordinal, running_sum, top_k
 from worktide.operators.staging import stage
 
 LOCALE = "es"
@@ -194,8 +194,8 @@ def listing(entries: DataFrame, order: Sequence[str] = lx.SECTOR_ORDER) -> DataF
     listed = entries.where(F.col("sector").isin(*order)).withColumns(
         {"group_position": place, "__p": F.collate("province", LOCALE)}
     )
-    return ordinal(listed, [], ["group_position", "__p", "slug"], F.col("group_position"),
-                   "position").drop("__p")
+    bucket = F.struct("group_position", "__p")
+    return ordinal(listed, [], ["group_position", "__p", "slug"], bucket, "position").drop("__p")
 
 
 # ---- related items ------------------------------------------------------
@@ -483,20 +483,111 @@ def topic_plan(
     )
 
 
-def free_names(files: DataFrame, name: str, order: str, bucket: Column) -> DataFrame:
-    """Target names without collisions: repeats get ``_01``, ``_02`` and so on."""
+def topic_table_plan(
+    entries: DataFrame,
+    key: str,
+    title: str,
+    topics: DataFrame,
+    url_pattern: str = lx.TOPIC_URL_PATTERN,
+    validity: str = "vigencia",
+    enabled: bool = False,
+) -> DataFrame:
+    """As :func:`topic_plan` for configured topics (slug, titlePattern, minimumData, fallbackPolicy).
+
+    The configuration is one value, which Spark puts into the plan once; entries are not joined.
+    """
+    listed = topics.agg(
+        F.collect_list(F.struct("slug", "titlePattern", "minimumData", "fallbackPolicy"))
+    ).scalar()
+    texts = [f.name for f in entries.schema.fields if f.dataType.simpleString() == "string"]
+    present = F.array_compact(F.array(*[F.when(rules.found(F.col(c)), F.lit(c)) for c in texts]))
+
+    def plan(topic: Column) -> Column:
+        missing = F.array_except(F.coalesce(topic["minimumData"], F.array().cast("array<string>")), F.col("__present"))
+        prudent = (topic["fallbackPolicy"] == "generate_prudent") & F.array_contains(
+            "__present", validity
+        )
+        status = (
+            F.when(F.size(missing) == 0, "ready").when(prudent, "prudent").otherwise("blocked")
+        )
+        places = {"convenioSlug": F.col(key).cast("string"), "topicSlug": topic["slug"]}
+        return F.struct(
+            topic["slug"].alias("topic"),
+            status.alias("status"),
+            missing.alias("missing"),
+            tx.interpolate(url_pattern, places).alias("url"),
+            tx.interpolate(topic["titlePattern"], {"title": F.col(title)}).alias("page_title"),
+            (F.lit(enabled) & (status != "blocked")).alias("published"),
+        )
+
+    return entries.withColumns({"__present": present, "__topics": listed}).select(
+        *[c for c in entries.columns if c not in ("topic", "status", "missing", "url")],
+        F.inline(F.transform("__topics", plan)),
+    )
+
+
+NUMBERED = r"^(.+)_(0[1-9]|[1-9][0-9]+)((?:\.[^./]*)?)$"
+
+
+def free_names(
+    files: DataFrame, name: str, order: str, bucket: Column, existing: DataFrame | None = None
+) -> DataFrame:
+    """Target names without collisions: repeats get the next free of ``_01``, ``_02`` and so on.
+
+    A number is taken if another file, or one of ``existing`` (column ``name``), bears that name;
+    a file whose own name exists is a repeat as well. The n-th free number is n plus the taken
+    numbers before it, counted along the numbers of each name.
+    """
     numbered = ordinal(files, [name], [order], bucket, "__n")
+    names = files.select(F.col(name).alias("__own")).distinct()
+    if existing is not None:
+        old = existing.select(F.col(name).alias("__own")).distinct()
+        numbered = numbered.join(
+            old.select(F.col("__own").alias(name), F.lit(1).alias("__old")), name, "left"
+        ).withColumn("__n", F.col("__n") + F.coalesce("__old", F.lit(0))).drop("__old")
+        names = names.union(old).distinct()
+    repeats = numbered.where("__n > 1").select(name).distinct()
+    taken = (
+        names.where(F.col("__own").rlike(NUMBERED))
+        .select(
+            F.concat(
+                F.regexp_extract("__own", NUMBERED, 1), F.regexp_extract("__own", NUMBERED, 3)
+            ).alias(name),
+            F.regexp_extract("__own", NUMBERED, 2).cast("bigint").alias("__k"),
+        )
+        .join(repeats, name, "left_semi")
+    )
+    step = 10000
+    ranked = ordinal(taken, [name], ["__k"], F.floor(F.col("__k") / step), "__i")
+    marks = ranked.select(
+        name, (F.col("__k") - F.col("__i") + 1).alias("__at"), F.lit(0).alias("__kind"),
+        F.lit(1).cast("bigint").alias("__taken"), F.lit(None).cast("bigint").alias("__n"),
+    )
+    asks = numbered.where("__n > 1").select(
+        name, (F.col("__n") - 1).alias("__at"), F.lit(1).alias("__kind"),
+        F.lit(0).cast("bigint").alias("__taken"), "__n",
+    )
+    shifts = (
+        running_sum(marks.unionByName(asks), [name], ["__at", "__kind"],
+                    F.floor(F.col("__at") / step), "__taken", "__shift")
+        .where("__n is not null")
+        .select(name, "__n", "__shift")
+    )
     stem = tx.strip_extension(F.col(name))
     ending = F.regexp_extract(name, r"(?<=.)(\.[^./]*)$", 1)
-    suffix = F.concat(F.lit("_"), F.lpad((F.col("__n") - 1).cast("string"), 2, "0"))
+    number = (F.col("__n") - 1 + F.col("__shift")).cast("string")
     # lpad cuts long numbers, which must stay whole.
-    long_suffix = F.concat(F.lit("_"), (F.col("__n") - 1).cast("string"))
-    return numbered.withColumn(
-        "target",
-        F.when(F.col("__n") == 1, F.col(name))
-        .when(F.col("__n") <= 100, F.concat(stem, suffix, ending))
-        .otherwise(F.concat(stem, long_suffix, ending)),
-    ).drop("__n")
+    padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
+    return (
+        numbered.join(shifts, [name, "__n"], "left")
+        .withColumn(
+            "target",
+            F.when(F.col("__n") == 1, F.col(name)).otherwise(
+                F.concat(stem, F.lit("_"), padded, ending)
+            ),
+        )
+        .drop("__n", "__shift")
+    )
 
 
 def routes(protected: DataFrame, slugs: DataFrame, prefix: str = "/convenios") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.plans import accounts as ac
 from worktide.queries.registry import query
-from worktide.sources.tables import events, spread, table
+from worktide.sources.tables import events, table
 
 PRICES, PRODUCTS = ("price_ok",), ("prod_ok",)
 TYPES = {
@@ -134,7 +134,7 @@ def provider_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    billing = ac.read_billing(billing_events(spread(events(spark, d))))
+    billing = ac.read_billing(billing_events(events(spark, d)))
     return ac.decide(billing, *provider_tables(spark, d), PRICES, PRODUCTS)
 
 
@@ -296,7 +296,8 @@ ledger as (
          case when not known then 'user_profile_not_found' when rank <= lim then 'ok'
               when plan = 'premium' then 'premium_daily_quota_exceeded'
               else 'free_total_quota_exceeded' end as code,
-         least(rank, lim)::bigint as used, (lim - least(rank, lim))::bigint as remaining
+         case when known then least(rank, lim) end::bigint as used,
+         case when known then lim - least(rank, lim) end::bigint as remaining
   from rk)
 """
 
@@ -304,7 +305,7 @@ ledger as (
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     return ac.quota_ledger(
         quota_activity(events(spark, d)), profiles(spark, d), FREE_LIMIT, DAY_LIMIT
-    ).drop("ts")
+    ).drop("ts", "period_key")
 
 
 @query("quota_ledger", f"with {QUOTA_SQL} select * from ledger")

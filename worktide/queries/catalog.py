@@ -10,7 +10,7 @@ from worktide.functions import rules
 from worktide.plans import catalog as ct
 from worktide.queries import sqltext as sq
 from worktide.queries.registry import query
-from worktide.sources.tables import spread, table
+from worktide.sources.tables import table
 
 FILE_SECTORS = (
     lx.Sector("alojamientos", ("on", "le"), ("ring", "bolt")),
@@ -190,7 +190,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations")
     profile = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("profile"))
     return (
-        spread(turns.where("role = 'user'"))
+        turns.where("role = 'user'")
         .join(profile, "conv_id")
         .select("conv_id", "turn", F.col("text").alias("question"), "profile")
     )

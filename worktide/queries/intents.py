@@ -13,7 +13,7 @@ from worktide.plans import requests as rq
 from worktide.queries import sqltext as sq
 from worktide.queries.catalog import ASKED_SQL, asked
 from worktide.queries.registry import query
-from worktide.sources.tables import events, spread, table
+from worktide.sources.tables import events, table
 
 TERMS = lx.IntentTerms(
     labour=("heon", "oue", "enge", "cion", "thre", "and"),
@@ -150,7 +150,7 @@ select conv_id, turn, case
 from t""",
 )
 def request_check(spark: SparkSession, d: str) -> DataFrame:
-    turns = spread(table(spark, d, "conversations"))
+    turns = table(spark, d, "conversations")
     reply = F.col("role") == "assistant"
     body = (
         F.when(F.col("role") == "system", F.to_json(F.array("text")))
@@ -207,7 +207,7 @@ def visit_check(spark: SparkSession, d: str) -> DataFrame:
     )
     doc_id = F.concat(F.when(kind == "view", "w").otherwise("v"), F.col("event_id"))
     return (
-        spread(events(spark, d))
+        events(spark, d)
         .withColumn("doc", rq.fields(body))
         .select(
             "event_id",
@@ -235,7 +235,7 @@ def immutable_diff(spark: SparkSession, d: str) -> DataFrame:
     )
     verdict = rq.visit_update_verdict(F.col("old"), F.col("new"))
     return (
-        spread(events(spark, d))
+        events(spark, d)
         .withColumns({"old": rq.fields(old), "new": rq.fields(new)})
         .select("event_id", F.coalesce(verdict, F.lit("ok")).alias("verdict"))
     )

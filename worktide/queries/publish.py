@@ -14,7 +14,7 @@ from worktide.plans import publish as pb
 from worktide.queries import sqltext as sq
 from worktide.queries.registry import query
 from worktide.queries.text import EXTRACT_SQL, FIELDS, MISSING, extracted
-from worktide.sources.tables import spread, table
+from worktide.sources.tables import table
 
 LANG_PLACE = {"en": "GIPUZKOA", "fr": "MADRID", "es": "SEVILLA"}
 
@@ -66,7 +66,7 @@ def file_rows(spark: SparkSession, d: str) -> DataFrame:
         (F.col("toxic") == 1).alias("skip"),
     )
     return (
-        spread(table(spark, d, "documents"))
+        table(spark, d, "documents")
         .join(manual, "doc_id", "left")
         .select(
             "doc_id", "lang", "source", "text",
@@ -605,22 +605,37 @@ def site_urls(spark: SparkSession, d: str) -> DataFrame:
     "free_names",
     """
 with n as (
-  select p_partkey, replace(p_name, ' ', '_') || '.v' || (p_size % 3) || '.pdf' as name from part),
-o as (select *, row_number() over (partition by name order by p_partkey) as k from n)
+  select p_partkey, replace(p_name, ' ', '_') || case when p_partkey % 4 = 0 then '_0' || (p_size % 4 + 1) else '' end
+    || '.pdf' as name from part),
+old as (select distinct name from n where p_partkey % 7 = 0),
+f as (select * from n where p_partkey % 7 <> 0),
+o as (
+  select *, row_number() over (partition by name order by p_partkey)
+    + case when name in (select name from old) then 1 else 0 end as k from f),
+t as (
+  select regexp_replace(name, '_0([1-9])\\.pdf$', '.pdf') as name,
+         list(distinct regexp_extract(name, '_0([1-9])\\.pdf$', 1)::int) as taken
+  from n where regexp_matches(name, '_0[1-9]\\.pdf$') group by 1),
+g as (
+  select o.*, list_filter(range(1, k + len(coalesce(taken, []))), lambda x: not list_contains(coalesce(taken, []), x)) as free
+  from o left join t using (name))
 select p_partkey, name, case when k = 1 then name else regexp_replace(name, '\\.pdf$', '') || '_'
-       || case when k <= 100 then lpad((k - 1)::varchar, 2, '0') else (k - 1)::varchar end || '.pdf' end
+       || case when free[k - 1] < 100 then lpad(free[k - 1]::varchar, 2, '0') else free[k - 1]::varchar end || '.pdf' end
          as target
-from o""",
+from g""",
 )
 def free_names(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").select(
+    """A seventh of the parts is stored already; some names look like numbered ones."""
+    number = F.concat(F.lit("_0"), (F.col("p_size") % 4 + 1).cast("string"))
+    names = table(spark, d, "part").select(
         "p_partkey",
         F.concat(
-            F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".v"),
-            (F.col("p_size") % 3).cast("string"), F.lit(".pdf"),
+            F.replace("p_name", F.lit(" "), F.lit("_")),
+            F.when(F.col("p_partkey") % 4 == 0, number).otherwise(""), F.lit(".pdf"),
         ).alias("name"),
     )
-    return pb.free_names(files, "name", "p_partkey", F.floor(F.col("p_partkey") / 65536))
+    files, old = names.where("p_partkey % 7 <> 0"), names.where("p_partkey % 7 = 0")
+    return pb.free_names(files, "name", "p_partkey", F.floor(F.col("p_partkey") / 65536), old)
 
 
 @query(

@@ -15,7 +15,7 @@ from worktide.queries import intents as it
 from worktide.queries import sqltext as sq
 from worktide.queries.catalog import RESOLVE_SQL, resolved
 from worktide.queries.registry import query
-from worktide.sources.tables import spread, table
+from worktide.sources.tables import table
 
 LEAVE_Q, LEAVE_EXACT, LEAVE_HEADERS = ("and", "que"), ("thre", "ered"), ("ing the", "eaux")
 RULES_Q, RULES_EXACT, RULES_HEADERS = ("the", "der"), ("whst", "ungs"), ("heon", "cion")
@@ -30,7 +30,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a vector; the vector's label names the file, label 0 is the base law."""
-    docs = spread(table(spark, d, "documents")).select(
+    docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         "text",
         F.when(F.col("lang") != "de", F.floor(F.col("doc_id") / 10).cast("int")).alias(
@@ -123,7 +123,7 @@ from r where rn <= 8""",
 )
 def keyword_rank(spark: SparkSession, d: str) -> DataFrame:
     """Best eight keyword chunks per source, back in reading order."""
-    docs = spread(table(spark, d, "documents")).select(
+    docs = table(spark, d, "documents").select(
         F.col("source").alias("file_name"),
         F.col("doc_id").alias("chunk_id"),
         F.when(F.col("lang") != "de", F.floor(F.col("doc_id") / 10).cast("int")).alias(
@@ -371,7 +371,7 @@ select doc_id, doc_id || '_' || lpad((chunk_index + 1)::varchar, 4, '0') as chun
 from c""",
 )
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return rt.fixed_chunks(docs, "doc_id", "text").select(
         "doc_id", "chunk_id", "chunk_index", "chunk_total", F.md5("chunk").alias("digest")
     )
@@ -390,14 +390,14 @@ select coalesce(source, '*') as source, sum(chunks)::bigint as chunks, sum(chars
 from f group by rollup(source)""",
 )
 def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select("doc_id", "source", "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
     totals = rt.ingest_totals(rt.fixed_chunks(docs, "doc_id", "text"), "source")
     return totals.withColumn("source", F.coalesce("source", F.lit("*")))
 
 
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select(
+    docs = table(spark, d, "documents").select(
         "doc_id", tx.clean_extracted(F.col("text")).alias("text")
     )
     return rt.recursive_chunks(docs, "doc_id", "text")
@@ -413,7 +413,7 @@ c as (select doc_id, unnest(range(0, last_ + 1))::int as chunk_index from l)
 select doc_id, chunk_index, 64 as dims, 1.0::double as norm from c""",
 )
 def embed_batch(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select("doc_id", "source", "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
     parts = rt.fixed_chunks(docs, "doc_id", "text")
     embedded = rt.embed(parts, rt.hashing_model(64), "chunk", "source")
     square = F.aggregate(

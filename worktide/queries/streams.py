@@ -12,33 +12,32 @@ from worktide.queries import accounts as qa
 from worktide.queries import monitoring as qm
 from worktide.queries import registry
 from worktide.queries.registry import query
-from worktide.session import configure
 from worktide.sources import files
+from worktide.sources.tables import events, table
 from worktide.streaming import jobs
 from worktide.streaming.runner import (
     drain_to_table,
     new_path,
     read_events_stream,
     read_table_stream,
+    replayed,
+    slices_of,
 )
 
-STATIC_SQL = qa.DECIDE_SQL.replace(
-    "coalesce(u1, case when subscription_id <> '' then u2 end, u3)",
-    "coalesce(u1, (select min(us.user_id) from us where us.subscription_id = d3.subscription_id), "
-    "(select min(us.user_id) from us where us.customer_id = d3.customer_id))",
-)
-
+# Micro-batches of the replayed tables.
+SLICES = 4
 
-@query("stream_billing", f"with {STATIC_SQL}, {qa.STATE_SQL}")
+@query("stream_billing", f"with {qa.DECIDE_SQL}, {qa.STATE_SQL}")
 def stream_billing(spark: SparkSession, d: str) -> DataFrame:
-    """Account state from streamed billing events; users as stored at the start."""
-    stream = qa.billing_events(read_events_stream(spark, d))
-    users = jobs.user_keys(qa.accounts_table(spark, d))
-    changes, _ = jobs.billing_stream(
-        stream, users, *qa.provider_tables(spark, d), qa.PRICES, qa.PRODUCTS
-    )
-    updates = drain_to_table(jobs.account_updates(changes), "update")
-    return qa.shown_accounts(jobs.final_accounts(updates))
+    """Account state from billing events in slices of time, each a micro-batch."""
+    path, checkpoint = new_path(spark, "billing"), new_path(spark, "offsets")
+    users, provider = qa.accounts_table(spark, d), qa.provider_tables(spark, d)
+    for stream in slices_of(qa.billing_events(events(spark, d)), SLICES):
+        jobs.billing(stream, path, users, *provider, qa.PRICES, qa.PRODUCTS, checkpoint)
+    decided = spark.read.parquet(f"{path}/decisions")
+    stream = spark.readStream.schema(decided.drop("batch").schema).parquet(f"{path}/decisions/*")
+    changes = ac.applied(stream)
+    return qa.shown_accounts(jobs.final_accounts(drain_to_table(jobs.account_updates(changes), "update")))
 
 
 @query(
@@ -52,52 +51,86 @@ def stream_unknown(spark: SparkSession, d: str) -> DataFrame:
     return drain_to_table(unknown).drop("batch")
 
 
-@query("stream_quota", f"with {qa.QUOTA_SQL} select * from ledger where code <> 'user_profile_not_found'")
+@query("stream_quota", f"with {qa.QUOTA_SQL} select * from ledger")
 def stream_quota(spark: SparkSession, d: str) -> DataFrame:
-    activity = qa.quota_activity(read_events_stream(spark, d)).join(
-        qa.profiles(spark, d), "user_id"
+    """The quota ledger over slices of time."""
+    path, checkpoint = new_path(spark, "quota"), new_path(spark, "offsets")
+    known = qa.profiles(spark, d)
+    for stream in slices_of(qa.quota_activity(events(spark, d)), SLICES):
+        out = jobs.quota(stream, path, known, qa.FREE_LIMIT, qa.DAY_LIMIT, checkpoint)
+    return out.drop("ts")
+
+
+@query(
+    "stream_late",
+    f"""
+with b as (select min(event_id) as lo, max(event_id) as hi from events),
+s as (select event_id, ts, (event_id - lo) * {SLICES} // (hi - lo + 1) as slice from events, b),
+m as (select slice, max(ts) as until from s group by 1)
+select event_id, coalesce(ts < (select max(until) from m where m.slice < s.slice) - interval 10 minutes, false) as late
+from s""",
+)
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events by id, so many come late: rows in time and rows beside them."""
+    path, checkpoint = new_path(spark, "late"), new_path(spark, "offsets")
+    rows = events(spark, d).select("event_id", "ts")
+    for stream in slices_of(rows, SLICES, "event_id"):
+        good, late = jobs.route_late(stream, path, checkpoint=checkpoint)
+    return good.select("event_id", F.lit(False).alias("late")).unionByName(
+        late.select("event_id", F.lit(True).alias("late"))
     )
-    return drain_to_table(
-        jobs.quota_decisions(activity, qa.FREE_LIMIT, qa.DAY_LIMIT), "update"
-    ).drop("batch")
 
 
 @query("stream_sessions", registry.ORACLES["session_counters"])
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    actions = qm.session_actions(read_events_stream(spark, d))
-    updates = drain_to_table(jobs.session_updates(actions, qm.ACTIONS), "update")
-    return jobs.latest(updates, ["session_id"], ["batch"]).drop("batch")
+    actions = qm.session_actions(events(spark, d))
+    updates = replayed(actions, lambda s: jobs.session_updates(s, qm.ACTIONS), "update", SLICES)
+    return jobs.final_sessions(updates, qm.ACTIONS)
 
 
 @query("stream_alerts", registry.ORACLES["alerts_window"])
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    rows = qm.as_requests(read_events_stream(spark, d))
-    updates = drain_to_table(jobs.alert_updates(rows, qm.RULES), "update")
-    return jobs.latest(updates, ["rule", "bucket"], ["batch", "n"]).drop("batch")
+    rows = qm.as_requests(events(spark, d))
+    updates = replayed(rows, lambda s: jobs.alert_updates(s, qm.RULES), "update", SLICES)
+    return jobs.latest(updates, ["rule", "bucket"], ["batch", "n"]).drop("batch", "closed_at")
+
+
+CLOCK = mo.Rule("clock", "service_name = 'clock'", 600, 1 << 30)
+
+
+def with_clock(rows: DataFrame) -> DataFrame:
+    """Requests and, a day after the last, one tick that closes all windows."""
+    spark = rows.sparkSession
+    end = rows.agg(F.max("ts") + F.expr("interval 1 day")).first()[0]
+    tick = spark.createDataFrame([(end, "clock", "2xx", 0.0)] if end else [],
+                                 "ts timestamp, service_name string, response_code_class string, latency_ms double")
+    return rows.select(*tick.columns).unionByName(tick)
 
 
 @query("stream_incidents", registry.ORACLES["incidents"])
 def stream_incidents(spark: SparkSession, d: str) -> DataFrame:
-    """Fired periods as a stream of files, folded into incidents."""
-    path = new_path(spark, "fired")
-    mo.fired(qm.requests(spark, d), qm.RULES).write.parquet(path)
-    fired = configure(spark, streaming=True).read.parquet(path)
-    stream = spark.readStream.schema(fired.schema).parquet(path)
-    return jobs.final_incidents(drain_to_table(jobs.incident_updates(stream), "update"))
+    """From events to incidents as one stream."""
+    rows = with_clock(qm.requests(spark, d))
+    rules = (*qm.RULES[:-1], mo.Rule("spike", "service_name <> 'clock'", *_rest(qm.RULES[-1])), CLOCK)
+    updates = replayed(rows, lambda s: jobs.incident_updates(s, rules), "append", SLICES)
+    return jobs.final_incidents(updates)
+
+
+def _rest(rule: mo.Rule) -> tuple[int, int]:
+    return rule.period, rule.threshold
 
 
-@query("stream_latency")
+@query(
+    "stream_latency",
+    registry.ORACLES["alerts_sustained"].replace("quantile_cont", "quantile_disc"),
+)
 def stream_latency(spark: SparkSession, d: str) -> DataFrame:
-    """Sustained latency runs over a streamed p95 sketch."""
-    rows = qm.as_requests(read_events_stream(spark, d))
-    updates = drain_to_table(jobs.latency_updates(rows, qm.HOUR), "update")
-    points = jobs.latest(
-        updates, ["bucket", "service_name", "response_code_class"], ["batch", "n"]
-    )
-    series = points.groupBy("bucket", "service_name").agg(F.max("p95").alias("p95_max"))
-    return mo.sustained(
-        series, ["service_name"], "p95_max", qm.HOUR, qm.P95_LIMIT, qm.P95_POINTS
+    """Sustained latency runs from requests as one stream."""
+    rows = with_clock(qm.requests(spark, d))
+    updates = replayed(
+        rows, lambda s: jobs.sustained_updates(s, qm.HOUR, qm.P95_LIMIT), "append", SLICES
     )
+    return jobs.final_sustained(updates, qm.P95_POINTS)
 
 
 @query("stream_answers", registry.ORACLES["kpi_answers"])
@@ -119,14 +152,29 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_ingest")
+@query(
+    "stream_ingest",
+    """
+select 'doc' || doc_id as file_name, case when doc_id % 5 = 0 then 2 else 1 end as run, true as complete
+from documents where text <> ''""",
+)
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Documents to chunks with vectors, replaced by file."""
-    docs = read_table_stream(spark, d, "documents").select(
-        F.concat(F.lit("doc"), F.col("doc_id")).alias("file_name"), "text"
+    """Two runs with checkpoints of their own on one table: some files are replaced, some come
+    back empty, the others are untouched."""
+    path = new_path(spark, "chunks")
+    docs = read_table_stream(spark, d, "documents")
+    name = F.concat(F.lit("doc"), F.col("doc_id")).alias("file_name")
+    jobs.ingest(docs.select(name, "text"), path, rt.hashing_model(64))
+    again = docs.where("doc_id % 5 < 2").select(
+        name, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("@2@ "), F.col("text"))).otherwise(" \n").alias("text")
+    )
+    out = jobs.ingest(again, path, rt.hashing_model(64))
+    return out.groupBy("file_name").agg(
+        F.max(F.when(F.col("chunk").startswith("@2@ "), 2).otherwise(1)).alias("run"),
+        (
+            (F.count("*") == F.max("chunk_total")) & (F.count_distinct("chunk_index") == F.count("*"))
+        ).alias("complete"),
     )
-    out = jobs.ingest(docs, new_path(spark, "chunks"), rt.hashing_model(64))
-    return out.select("file_name", "chunk_id", "chunk_index", "chunk_total", "chunk")
 
 
 @query(
@@ -139,12 +187,15 @@ from orders group by 1, 2""",
 )
 def stream_years(spark: SparkSession, d: str) -> DataFrame:
     """Year documents, last writer wins."""
-    docs = read_table_stream(spark, d, "orders").select(
+    docs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order"),
         F.col("o_custkey").alias("user_id"),
         F.year("o_orderdate").alias("year"),
         F.col("o_totalprice").alias("goal"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"),
         F.struct("o_orderdate", "o_orderkey").alias("version"),
     )
-    kept = jobs.keep_latest(docs, new_path(spark, "years"), ["user_id", "year"], "version", "year")
-    return kept.drop("version")
+    path, checkpoint = new_path(spark, "years"), new_path(spark, "offsets")
+    for stream in slices_of(docs, SLICES, "order"):
+        kept = jobs.keep_latest(stream, path, ["user_id", "year"], "version", checkpoint)
+    return kept.drop("version", "order")

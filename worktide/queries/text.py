@@ -10,7 +10,7 @@ from worktide.functions import extract as ex
 from worktide.functions import rules, text as tx
 from worktide.queries import sqltext as sq
 from worktide.queries.registry import query
-from worktide.sources.tables import spread, table
+from worktide.sources.tables import table
 
 
 @query(
@@ -21,7 +21,7 @@ from documents""",
 )
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     norm = tx.normalize(F.col("text"))
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id", F.md5(norm).alias("digest"), F.length(norm).alias("n")
     )
 
@@ -34,7 +34,9 @@ with n as (select p_partkey, p_name || ' / ' || p_brand || '!' as s, p_type as t
 select p_partkey, replace({sq.norm('s')}, ' ', '_') as id, replace({sq.norm('s')}, ' ', '-') as slug,
        upper(t[1]) || lower(t[2:]) as title, split_part(path, '/', 3) as base,
        regexp_replace(split_part(path, '/', 3), '\\.pdf$', '') as stem,
-       'convenio' as fallback
+       'convenio' as fallback,
+       substr(replace({sq.norm('repeat(s, 12)')}, ' ', '_'), 1, 120) || '_'
+         || md5(replace({sq.norm('repeat(s, 12)')}, ' ', '_')) as long_id
 from n""",
 )
 def text_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +50,7 @@ def text_ids(spark: SparkSession, d: str) -> DataFrame:
         tx.base_name(path).alias("base"),
         tx.strip_extension(tx.base_name(path)).alias("stem"),
         tx.identifier(F.lit(None).cast("string")).alias("fallback"),
+        tx.identifier(F.repeat(raw, 12)).alias("long_id"),
     )
 
 
@@ -69,7 +72,7 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     """The stored text has LF only; CRLF is put back to tell both cleanings apart."""
     crlf = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     a, b, c = tx.clean_extracted(crlf), tx.clean_published(crlf), tx.compact(crlf)
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id",
         F.md5(a).alias("extracted"),
         F.length(a).alias("n_extracted"),
@@ -206,7 +209,7 @@ from documents""",
 )
 def lang_cue(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id",
         rules.language_of_question(text, LANG_CUES, "en").alias("detected"),
         "lang",
@@ -236,7 +239,7 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
         text.contains("%%%"),
         F.regexp_replace(ex.first_match(text, r"[A-Za-z,.]+ *%%%"), " ", ""),
     )
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id",
         "lang",
         "source",
@@ -256,8 +259,7 @@ _STARTS = " ".join(
     f"when regexp_matches(text, '(?i){p}') then substr(regexp_extract(text, '(?is){p}.{{0,60}}'), 1, 60)"
     for p in LICENCE_STARTS
 )
-_HEAD10 = sq.compact("substr(text, 1, 10000)")
-_HEAD15 = sq.compact("substr(text, 1, 15000)")
+_LINE = sq.compact("text")
 _BARE = "|".join(h.replace(".", "\\.") for h in MAIL_HOSTS)
 EXTRACT_SQL = f"""
 hits as (
@@ -278,10 +280,10 @@ x as (
          coalesce(nullif(regexp_extract(text, '[A-Za-z0-9.]+@[a-z0-9.]+'), ''), '{MISSING}') as correo,
          coalesce(nullif(replace(regexp_extract(text, '[A-Za-z,.]+ *%%%'), ' ', ''), ''), '{MISSING}')
            as porcentaje,
-         case when contains({_HEAD10}, 'Apache License') then 'Apache License'
-              when contains({_HEAD10}, 'GNU General Public License') then 'Gnu General Public License'
-              when contains({_HEAD10}, 'MIT License') then 'Mit License' end as src,
-         nullif(regexp_extract({_HEAD15}, '(?i)\\b(www\\.)?({_BARE})[^\\s\\x{{00A0}}\\x{{FEFF}})]*'), '') as bare
+         case when contains({_LINE}, 'Apache License') then 'Apache License'
+              when contains({_LINE}, 'GNU General Public License') then 'Gnu General Public License'
+              when contains({_LINE}, 'MIT License') then 'Mit License' end as src,
+         nullif(regexp_extract({_LINE}, '(?i)\\b(www\\.)?({_BARE})[^\\s\\x{{00A0}}\\x{{FEFF}})]*'), '') as bare
   from documents left join code using (doc_id)),
 extracted as (
   select * exclude (src, bare),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worktide import lexicon as lx
 from worktide.functions.rules import lookup
+from worktide.functions.text import verification_id
 from worktide.plans import worktime as wt
 from worktide.queries.registry import query
 from worktide.sources.tables import events, table
@@ -22,7 +23,6 @@ SEGMENT_RATIO = {"AUTOMOBILE": 1.0, "BUILDING": 0.875, "FURNITURE": 0.75, "HOUSE
                  "MACHINERY": 0.5}
 DEFAULT_GOAL = 1780
 KIND = {"F": "trabajado", "P": "baja", "O": "otro"}
-HOLIDAY_SPAN = ("1992-01-01", "2003-12-31")
 
 
 def marks(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,8 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 def holidays(spark: SparkSession, d: str) -> DataFrame:
     """New Year, Labour Day, Christmas and one local day per city."""
-    first, last = (F.lit(v).cast("date") for v in HOLIDAY_SPAN)
+    span = table(spark, d, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    first, last = (F.lit(v).cast("date") for v in span)
     days = table(spark, d, "nation").select(
         F.col("n_name").alias("city"),
         "n_nationkey",
@@ -298,7 +299,9 @@ select user_id, year, month, floor(d * 8 * ratio + 0.5)::bigint as ordinary_hour
        om::double as overtime_month, holidays_worked, oy::double as overtime_year,
        oy > 80 as over_limit,
        'RLC-' || upper(substr(to_base64(encode(user_id || '' || year || (month - 1))), 1, 24))
-         || '-' || year as report_id
+         || '-' || year as report_id,
+       'RLC-' || upper(md5(lpad(user_id::varchar, 28, 'u') || year || (month - 1))) || '-' || year
+         as long_report_id
 from y join users using (user_id)""",
 )
 def month_report_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -308,6 +311,9 @@ def month_report_totals(spark: SparkSession, d: str) -> DataFrame:
         {
             "overtime_month": F.col("overtime_month").cast("double"),
             "overtime_year": F.col("overtime_year").cast("double"),
+            "long_report_id": verification_id(
+                F.lpad(F.col("user_id").cast("string"), 28, "u"), F.col("year"), F.col("month")
+            ),
         }
     )
 

@@ -56,6 +56,10 @@ def local_session(cores: str = "8", app: str = "worktide", memory: str = "16g")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        # A task per core where a small table is one file.
+        .config("spark.sql.files.minPartitionNum", cores)
+        .config("spark.sql.files.maxPartitionBytes", "32m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktide import lexicon as lx
 from worktide.sources.sinks import exists
 
 # Names ending in .pdf, any case.
@@ -74,20 +73,6 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def topic_list(rows: DataFrame, limit: int = 1000) -> tuple[lx.Topic, ...]:
-    """Topics as arguments for the planner; the file is small and its size is checked."""
-    found = rows.select(
-        "slug", "contentField", "titlePattern", "minimumData", "fallbackPolicy"
-    ).take(limit + 1)
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} topics")
-    return tuple(
-        lx.Topic(r.slug, r.contentField, r.titlePattern, tuple(r.minimumData or ()),
-                 r.fallbackPolicy)
-        for r in found
-    )
-
-
 def log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Structured log lines as text."""
     reader = spark.readStream if streaming else spark.read

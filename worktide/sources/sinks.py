@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktide.operators.ordered import latest
-from worktide.operators.staging import stage
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,14 +30,43 @@ def _overwrite(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     )
 
 
-def replace_files(new: DataFrame, path: str, key: str, version: int) -> None:
+COMMIT = "run string, step bigint, version bigint"
+
+
+def commit_number(spark: SparkSession, path: str, run: str, step: int) -> int:
+    """Version of a write to the table: one more than any before, or the one it got already.
+
+    ``run`` and ``step`` name the write, so a repeated one replaces itself, whatever other runs
+    wrote meanwhile. A run that goes on must have written to this table before.
+    """
+    log = f"{path}/commits"
+    known = spark.createDataFrame([], COMMIT)
+    if exists(spark, log):
+        known = spark.read.schema(COMMIT).parquet(log)
+    own, last, own_any = known.agg(
+        F.max(F.when((F.col("run") == run) & (F.col("step") == step), F.col("version"))),
+        F.max("version"),
+        F.count_if(F.col("run") == run),
+    ).first()
+    if own is not None:
+        return own
+    if step > 0 and not own_any and run != "":
+        raise ValueError(f"the checkpoint of run {run} belongs to another table than {path}")
+    version = 0 if last is None else last + 1
+    spark.createDataFrame([(run, step, version)], COMMIT).coalesce(1).write.mode("append").parquet(log)
+    return version
+
+
+def replace_files(new: DataFrame, path: str, key: str, step: int, run: str = "") -> None:
     """Replace all rows of each file in ``new``.
 
     Every call appends one version folder and the list of files it holds; the
-    newest version of a file counts. The cost follows the new rows, not the
-    stored ones, and a repeated call with the same version replaces itself.
+    newest version of a file counts. Versions grow over all runs. The cost
+    follows the new rows, not the stored ones, and a repeated call with the
+    same run and step replaces itself.
     """
     spark = new.sparkSession
+    version = commit_number(spark, path, run, step)
     rows, names = f"{path}/rows/version={version}", f"{path}/files/version={version}"
     new.write.mode("overwrite").parquet(rows)
     written = spark.read.schema(new.schema).parquet(rows)
@@ -66,17 +94,23 @@ def compact_files(spark: SparkSession, path: str, target: str, key: str) -> None
     replace_files(current_files(spark, path, key).drop("version"), target, key, 0)
 
 
-def upsert_latest(
-    new: DataFrame, path: str, keys: Sequence[str], order: str, by: str
+def append_version(new: DataFrame, path: str, keys: Sequence[str], order: str, step: int, run: str = "") -> None:
+    """Add the latest row per key of ``new`` as a version of its own; stored rows stay as they are."""
+    version = commit_number(new.sparkSession, path, run, step)
+    last = latest(new, list(keys), [order]).select(new.columns)
+    last.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+
+
+def current_latest(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
+    """The latest row per key over all versions."""
+    return latest(spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows"), list(keys), [order])
+
+
+def compact_latest(
+    spark: SparkSession, path: str, target: str, keys: Sequence[str], order: str, by: str
 ) -> None:
-    """Keep the latest row per key in a table partitioned by ``by``."""
-    spark = new.sparkSession
-    merged = new
-    if exists(spark, path):
-        stored = spark.read.parquet(path)
-        touched = new.select(by).distinct()
-        merged = new.unionByName(stored.join(touched, by, "left_semi").select(new.columns))
-    _overwrite(stage(latest(merged, list(keys), [order]).select(new.columns)), path, [by])
+    """Write the latest rows as a table partitioned by ``by``."""
+    _overwrite(current_latest(spark, path, keys, order), target, [by])
 
 
 def write_years(rows: DataFrame, path: str, legacy: Sequence[str] = ()) -> None:

@@ -16,11 +16,3 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     """Event table with a zoned timestamp, as watermarks need one."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly row-wise work a task per core where the scan has fewer splits.
-
-    A large table has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worktide import lexicon as lx
@@ -14,9 +14,10 @@ from worktide.operators.ordered import latest
 from worktide.plans import accounts as ac
 from worktide.plans import monitoring as mo
 from worktide.plans import retrieval as rt
-from worktide.sources.sinks import current_files, replace_files, upsert_latest
+from worktide.operators.staging import stage
+from worktide.sources.sinks import append_version, current_files, current_latest, replace_files
 from worktide.streaming import processors as pr
-from worktide.streaming.runner import LATENESS, drain, drain_to_table, new_path
+from worktide.streaming.runner import LATENESS, drain, query_id, stored
 
 
 def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -24,53 +25,41 @@ def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def timed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("at_us", F.unix_micros("ts")).drop("ts")
-
-
 def account_updates(changes: DataFrame) -> DataFrame:
     """Account rows as they change; ``changes`` are applied billing decisions."""
-    return timed(changes).groupBy("user_id").transformWithState(
-        statefulProcessor=pr.AccountProcessor(),
-        outputStructType=pr.ACCOUNT_OUT,
-        outputMode="Update",
-        timeMode="None",
-    )
+    return ac.account_state(changes)
 
 
 def final_accounts(updates: DataFrame) -> DataFrame:
     """Last written row per user."""
-    last = latest(updates, ["user_id"], ["at_us", "at_id"])
-    return last.withColumn("updated_billing_at", F.timestamp_micros("at_us")).drop(
-        "at_us", "at_id", "batch"
-    )
+    return latest(updates, ["user_id"], ["batch"]).drop("batch")
 
 
-def quota_decisions(
-    activity: DataFrame,
-    free_limit: int = lx.FREE_TOTAL_LIMIT,
-    daily_limit: int = lx.PAID_DAILY_LIMIT,
+def session_updates(
+    actions: DataFrame, counters: Sequence[str] = lx.VISIT_COUNTERS, lateness: str = "1 day"
 ) -> DataFrame:
-    """Decision per request of users with a profile."""
-    days = activity.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return timed(days).groupBy("user_id").transformWithState(
-        statefulProcessor=pr.QuotaProcessor(free_limit, daily_limit),
-        outputStructType=pr.QUOTA_OUT,
-        outputMode="Update",
-        timeMode="None",
+    """Counters per session and day, rewritten whenever they grow; state goes after the day."""
+    return (
+        actions.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 day"), "session_id")
+        .agg(*mo.counter_columns(counters))
+        .select(F.col("window.start").alias("day"), "session_id", *counters)
     )
 
 
-def session_updates(actions: DataFrame, counters: Sequence[str] = lx.VISIT_COUNTERS) -> DataFrame:
-    """Counters per session, rewritten whenever they grow."""
-    return mo.session_counters(actions, counters)
+def final_sessions(updates: DataFrame, counters: Sequence[str]) -> DataFrame:
+    """Last counters of each session over its days."""
+    days = latest(updates, ["session_id", "day"], ["batch"])
+    return days.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in counters])
 
 
 def alert_updates(
     rows: DataFrame, rules: Sequence[mo.Rule], lateness_seconds: int = 600
 ) -> DataFrame:
-    """Growing counts of fired periods; state goes once a period is closed and late rows are over."""
-    slack = lateness_seconds + max(r.period for r in rules)
+    """Counts of fired periods: growing ones in update mode, each closed one once in append mode.
+
+    State goes once a period is closed and late rows are over.
+    """
     hits = [
         F.when(
             F.expr(r.condition),
@@ -83,50 +72,95 @@ def alert_updates(
         for r in rules
     ]
     matched = rows.select(F.inline(F.array_compact(F.array(*hits))))
+    slack = lateness_seconds + max(r.period for r in rules)
     return (
-        matched.withColumn("bucket_end", F.timestamp_seconds(F.col("bucket") + F.col("period")))
-        .withWatermark("bucket_end", f"{slack} seconds")
-        .groupBy("rule", "period", "threshold", "bucket", "bucket_end")
+        matched.withColumn("closed_at", F.timestamp_seconds(F.col("bucket") + F.col("period")))
+        .withWatermark("closed_at", f"{slack} seconds")
+        .groupBy("rule", "period", "threshold", "bucket", "closed_at")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > F.col("threshold"))
-        .drop("bucket_end")
     )
 
 
 def latency_updates(
-    rows: DataFrame, seconds: int, lateness: str = "1 day", accuracy: int = 10000
+    rows: DataFrame, seconds: int, lateness: str = "1 hour", accuracy: int = 10000
 ) -> DataFrame:
-    """Windowed p95 per service and class by sketch, rewritten while a window grows."""
-    return (
+    """Windowed p95 per service: by sketch per class, then the greatest; each window once.
+
+    The sketch is exact while a window holds fewer rows of a class than ``accuracy``.
+    """
+    by_class = (
         rows.withWatermark("ts", lateness)
         .groupBy(F.window("ts", f"{seconds} seconds"), "service_name", "response_code_class")
-        .agg(
-            F.percentile_approx("latency_ms", mo.P95, accuracy).alias("p95"),
-            F.count("*").alias("n"),
-        )
+        .agg(F.percentile_approx("latency_ms", mo.P95, accuracy).alias("p95"))
+    )
+    return (
+        by_class.groupBy(F.window(F.window_time("window"), f"{seconds} seconds"), "service_name")
+        .agg(F.max("p95").alias("p95_max"))
         .select(
-            F.unix_timestamp("window.start").alias("bucket"), "service_name",
-            "response_code_class", "p95", "n",
+            F.window_time("window").alias("closed_at"),
+            F.unix_timestamp("window.start").alias("bucket"), "service_name", "p95_max",
         )
     )
 
 
-def incident_updates(alerts: DataFrame, close_after: int = mo.AUTO_CLOSE_SECONDS) -> DataFrame:
-    """Incident rows as they open, grow and close."""
-    timed = alerts.withColumn("ts", F.timestamp_seconds(F.col("bucket") + F.col("period")))
-    return timed.withWatermark("ts", "0 seconds").groupBy("rule").transformWithState(
-        statefulProcessor=pr.IncidentProcessor(close_after),
-        outputStructType=pr.INCIDENT_OUT,
-        outputMode="Update",
+def interval_updates(periods: DataFrame, key: str, gap: int) -> DataFrame:
+    """Intervals of periods at most ``gap`` seconds apart, as they open, grow and close.
+
+    ``periods``: key, bucket, period, n and the event time ``closed_at``, each period once.
+    """
+    rows = periods.select(
+        F.col(key).alias("key"), F.col("bucket").cast("bigint").alias("bucket"),
+        F.col("period").cast("bigint").alias("period"), F.col("n").cast("bigint").alias("n"),
+        "closed_at",
+    )
+    return rows.groupBy("key").transformWithState(
+        statefulProcessor=pr.IntervalProcessor(gap),
+        outputStructType=pr.INTERVAL_OUT,
+        outputMode="Append",
         timeMode="EventTime",
     )
 
 
-def final_incidents(updates: DataFrame) -> DataFrame:
-    """Last state of each incident."""
-    return latest(
-        updates.drop("batch"), ["rule", "incident"], ["periods", ~F.col("is_open")]
-    ).drop("is_open")
+def final_intervals(updates: DataFrame) -> DataFrame:
+    """Last state of each interval; those merged into an earlier one are left out."""
+    last = latest(updates, ["key", "opened"], ["batch", ~F.col("is_open")])
+    return last.where("periods > 0").drop("batch", "is_open")
+
+
+def incident_updates(
+    rows: DataFrame, rules: Sequence[mo.Rule], close_after: int = mo.AUTO_CLOSE_SECONDS
+) -> DataFrame:
+    """From events to incidents in one stream: closed fired periods, joined into intervals."""
+    return interval_updates(alert_updates(rows, rules), "rule", close_after)
+
+
+def final_incidents(updates: DataFrame, close_after: int = mo.AUTO_CLOSE_SECONDS) -> DataFrame:
+    """Last state of each incident, numbered per rule."""
+    by_rule = Window.partitionBy("key").orderBy("opened")
+    return final_intervals(updates).select(
+        F.col("key").alias("rule"),
+        F.row_number().over(by_rule).cast("bigint").alias("incident"),
+        "opened",
+        (F.col("last_end") + close_after).alias("closed"),
+        "periods",
+        "hits",
+    )
+
+
+def sustained_updates(rows: DataFrame, seconds: int, limit: float) -> DataFrame:
+    """From requests to runs of windows above the limit in one stream."""
+    high = latency_updates(rows, seconds).where(F.col("p95_max") > limit)
+    points = high.withColumns({"period": F.lit(seconds), "n": F.lit(1)})
+    return interval_updates(points, "service_name", 0)
+
+
+def final_sustained(updates: DataFrame, points: int) -> DataFrame:
+    """Runs long enough to raise the alert."""
+    return final_intervals(updates).where(F.col("periods") >= points).select(
+        F.col("key").alias("service_name"), F.col("opened").alias("run_start"),
+        F.col("last_end").alias("run_end"), F.col("periods").alias("points"),
+    )
 
 
 def split_late(
@@ -139,41 +173,103 @@ def split_late(
     return batch.where(F.col("ts") >= bound), batch.where(F.col("ts") < bound)
 
 
+MARK = "until string"
+
+
+def aside(batch: DataFrame, batch_id: int, path: str, lateness: str = LATENESS) -> DataFrame:
+    """Rows in time; late ones go to ``path/late``, by the largest time of earlier batches, which
+    is kept beside them, one value per batch."""
+    marks = stored(batch.sparkSession, f"{path}/seen", MARK, batch_id)
+    good, late = split_late(batch, marks.agg(F.max("until")).first()[0], lateness)
+    late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+    batch.agg(
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("until")
+    ).write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+    return good
+
+
+def late_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).option("recursiveFileLookup", True).parquet(f"{path}/late")
+
+
 def route_late(
-    stream: DataFrame, lateness: str = LATENESS, checkpoint: str | None = None
+    stream: DataFrame, path: str, lateness: str = LATENESS, checkpoint: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows in time and late rows as two tables.
+    """Rows in time and late rows as two tables below ``path``."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        good = aside(batch.persist(), batch_id, path, lateness)
+        good.write.mode("overwrite").parquet(f"{path}/in-time/batch={batch_id}")
+        batch.unpersist()
 
-    The largest time of all earlier batches is kept beside them, one value per
-    batch, and read back before the next one.
-    """
+    drain(stream, each, checkpoint=checkpoint)
     spark = stream.sparkSession
-    good, late, seen = (new_path(spark, n) for n in ("in-time", "late", "seen"))
+    good = spark.read.schema(stream.schema).option("recursiveFileLookup", True)
+    return good.parquet(f"{path}/in-time"), late_rows(spark, path, stream)
+
+
+PLAN = "user_id bigint, ts timestamp, event_id bigint, new_plan string"
+USED = "user_id bigint, plan string, period_key string, n bigint"
+
 
+def quota(
+    activity: DataFrame, path: str, profiles: DataFrame,
+    free_limit: int = lx.FREE_TOTAL_LIMIT, daily_limit: int = lx.PAID_DAILY_LIMIT,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Decision per request by the batch ledger over each micro-batch.
+
+    What it carries are the plan changes and the number of counted requests per user, plan and
+    period of earlier batches. A late row goes to ``path/late``.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        until = None
-        if batch_id > 0:
-            marks = (
-                session.read.schema("until string, batch bigint")
-                .option("recursiveFileLookup", True)
-                .parquet(seen)
-            )
-            until = marks.where(F.col("batch") < batch_id).agg(F.max("until")).first()[0]
-        parts = split_late(batch, until, lateness)
-        for part, path in zip(parts, (good, late)):
-            part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.agg(
-            F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("until"),
-            F.lit(batch_id).cast("bigint").alias("batch"),
-        ).write.mode("overwrite").parquet(f"{seen}/{batch_id}")
+        spark = batch.sparkSession
+        rows = stage(aside(batch.persist(), batch_id, path))
+        batch.unpersist()
+        plans = stored(spark, f"{path}/plans", PLAN, batch_id)
+        used = stored(spark, f"{path}/used", USED, batch_id)
+        counted = used.groupBy("user_id", "plan", "period_key").agg(F.sum("n").alias("before"))
+        ledger = stage(
+            ac.quota_ledger(rows, profiles, free_limit, daily_limit, plans=plans, counted=counted)
+        )
+        ledger.drop("period_key").write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
+        rows.where("new_plan is not null").select("user_id", "ts", "event_id", "new_plan").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/plans/batch={batch_id}")
+        ledger.groupBy("user_id", "plan", "period_key").agg(F.count("*").alias("n")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/used/batch={batch_id}")
+
+    drain(activity, each, checkpoint=checkpoint)
+    return activity.sparkSession.read.parquet(f"{path}/ledger").drop("batch")
 
-    drain(stream, each, checkpoint=checkpoint)
-    schema = stream.schema
-    return tuple(  # type: ignore[return-value]
-        spark.read.schema(schema).option("recursiveFileLookup", True).parquet(p)
-        for p in (good, late)
-    )
+
+def billing(
+    events: DataFrame, path: str, users: DataFrame, subscriptions: DataFrame,
+    line_items: DataFrame, prices: Sequence[str], products: Sequence[str],
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Decisions with resolved users, one folder per micro-batch.
+
+    Ids that activations store are kept below ``path`` and looked up, as of the event, by later
+    events of the same and of later batches. Ignored and unresolved events stay in the decisions;
+    a late row goes to ``path/late``.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = aside(batch.persist(), batch_id, path)
+        decided = ac.decide(ac.read_billing(rows), subscriptions, line_items, prices, products)
+        direct = stage(ac.direct_users(decided, users))
+        batch.unpersist()
+        learned = stage(ac.learned_links(direct))
+        before = stored(spark, f"{path}/links", ac.LINK, batch_id)
+        links = ac.stored_links(users).unionByName(before).unionByName(learned)
+        ac.resolve_by_links(direct, links).write.mode("overwrite").parquet(
+            f"{path}/decisions/batch={batch_id}"
+        )
+        learned.write.mode("overwrite").parquet(f"{path}/links/batch={batch_id}")
+
+    drain(events, each, checkpoint=checkpoint)
+    return events.sparkSession.read.parquet(f"{path}/decisions").drop("batch")
 
 
 def ingest(
@@ -187,7 +283,8 @@ def ingest(
     """New documents: clean, chunk, embed, replace by file.
 
     ``documents`` streams (file_name, text). Files without readable text give
-    no chunks and replace nothing.
+    no chunks and replace nothing. A run with a new checkpoint adds to what
+    earlier runs stored; a checkpoint of another table is refused.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         clean = batch.select("file_name", tx.clean_extracted(F.col("text")).alias("text")).where(
@@ -195,66 +292,23 @@ def ingest(
         )
         parts = rt.recursive_chunks(clean, "file_name", "text", size, overlap)
         embedded = rt.embed(parts, make_model, "chunk", "file_name")
-        replace_files(embedded, path, "file_name", batch_id)
+        replace_files(embedded, path, "file_name", batch_id, query_id(batch.sparkSession))
 
     drain(documents, each, checkpoint=checkpoint)
     return current_files(documents.sparkSession, path, "file_name")
 
 
 def keep_latest(
-    stream: DataFrame, path: str, keys: Sequence[str], order: str, by: str,
-    checkpoint: str | None = None,
+    stream: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str | None = None
 ) -> DataFrame:
-    """Last writer wins per key, in a table partitioned by ``by``."""
+    """Last writer wins per key; each micro-batch appends a version."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, path, keys, order, by)
+        append_version(batch, path, keys, order, batch_id, query_id(batch.sparkSession))
 
     drain(stream, each, checkpoint=checkpoint)
-    return stream.sparkSession.read.parquet(path)
+    return current_latest(stream.sparkSession, path, keys, order)
 
 
 def log_updates(lines: DataFrame) -> DataFrame:
     """Answers by source and plan from streamed log lines."""
     return mo.answers_by_source(mo.read_log(lines))
-
-
-def billing_stream(
-    events: DataFrame, known: DataFrame, subscriptions: DataFrame, line_items: DataFrame,
-    prices: Sequence[str], products: Sequence[str],
-) -> tuple[DataFrame, DataFrame]:
-    """Applied changes and events of unknown type.
-
-    ``known`` maps stored ids to users (kind, key, user_id). It and the other
-    static tables are read again in every micro-batch, so what the account
-    table has learned counts from the next one on.
-    """
-    handled = F.col("type").isin(*ac.HANDLED)
-    decided = ac.decide(
-        ac.read_billing(events.where(handled)), subscriptions, line_items, prices, products
-    ).where(F.col("action").isin("activate", "deactivate"))
-    for kind, column in (("uid", "uid"), ("subscription", "subscription_id"), ("customer", "customer_id")):
-        side = known.where(F.col("kind") == kind).select(
-            F.col("key").alias(column), F.col("user_id").alias(f"__{kind}")
-        )
-        decided = decided.join(side, column, "left")
-    resolved = decided.withColumn(
-        "user_id", F.coalesce("__uid", "__subscription", "__customer")
-    ).drop("__uid", "__subscription", "__customer")
-    return resolved.where("user_id is not null"), events.where(~handled)
-
-
-def user_keys(users: DataFrame) -> DataFrame:
-    """Lookup rows (kind, key, user_id) of a user table; the lowest user id wins."""
-    keys = F.array(
-        F.struct(F.lit("uid").alias("kind"), F.col("user_id").alias("key")),
-        F.struct(F.lit("subscription").alias("kind"), F.col("subscription_id").alias("key")),
-        F.struct(F.lit("customer").alias("kind"), F.col("customer_id").alias("key")),
-    )
-    return (
-        users.select("user_id", F.inline(keys))
-        .where("key is not null and key <> ''")
-        .groupBy("kind", "key")
-        .agg(F.min("user_id").alias("user_id"))
-    )
-
-

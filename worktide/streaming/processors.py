@@ -1,8 +1,7 @@
-"""Stateful processors: account state, quota, incidents.
+"""Stateful processor for intervals that grow: incidents and sustained runs.
 
-Each sorts one key's rows of one micro-batch by (time, event_id); the trigger
-bounds that number. Times come as microseconds and days as text, so that no
-time zone of a worker plays a part. State is a single small row per key.
+Times come as seconds, so that no time zone of a worker plays a part. State holds the intervals of a
+key that may still grow; a timer of event time drops the others.
 """
 
 from __future__ import annotations
@@ -13,160 +12,54 @@ from typing import Any
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ACCOUNT_STATE = (
-    "account_kind string, subscription_status string, cancel_at_period_end boolean, "
-    "customer_id string, subscription_id string, price_id string, product_id string, "
-    "period_end bigint, at_us bigint, at_id bigint"
-)
-ACCOUNT_OUT = f"user_id string, {ACCOUNT_STATE}"
+INTERVAL_OUT = "key string, opened bigint, last_end bigint, periods bigint, hits bigint, is_open boolean"
 
 
-def in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r.at_us, r.event_id))
+class IntervalProcessor(StatefulProcessor):
+    """Joins periods that are at most ``gap`` seconds apart, in whichever order they come.
 
+    Each period comes once. An interval is named by its start; where two become one, the later
+    start is returned with no periods.
+    """
 
-class AccountProcessor(StatefulProcessor):
-    """Applies billing changes in event order; an older change never overwrites a newer one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("account", ACCOUNT_STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = [part.split()[0] for part in ACCOUNT_STATE.split(", ")]
-        stored = self.state.get() if self.state.exists() else None
-        account = dict(zip(names, stored)) if stored else dict.fromkeys(names)
-        changed = False
-        for row in in_order(rows):
-            if account["at_us"] is not None and (row.at_us, row.event_id) <= (
-                account["at_us"], account["at_id"]
-            ):
-                continue
-            active = row.action == "activate"
-            account.update(
-                account_kind="premium" if active else "free",
-                subscription_status=row.subscription_status,
-                cancel_at_period_end=row.cancel_at_period_end if active else None,
-                at_us=row.at_us,
-                at_id=row.event_id,
-            )
-            if active:
-                account.update(
-                    customer_id=row.customer_id or None,
-                    subscription_id=row.subscription_id or None,
-                    price_id=row.price_id or None,
-                    product_id=row.product_id or None,
-                    period_end=row.period_end,
-                )
-            changed = True
-        if changed:
-            self.state.update(tuple(account[n] for n in names))
-            yield Row(user_id=key[0], **account)
-
-    def close(self) -> None:
-        pass
-
-
-QUOTA_OUT = (
-    "event_id bigint, user_id bigint, plan string, period string, accepted boolean, code string, "
-    "used bigint, remaining bigint"
-)
-
-
-class QuotaProcessor(StatefulProcessor):
-    """Counts requests against the free total or the day of the paid plan."""
-
-    def __init__(self, free_limit: int, daily_limit: int) -> None:
-        self.free_limit, self.daily_limit = free_limit, daily_limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "usage", "plan string, day string, day_count bigint, free_total bigint"
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        plan, day, day_count, free_total = (
-            self.state.get() if self.state.exists() else ("free", "", 0, 0)
-        )
-        for row in in_order(rows):
-            if not row.is_request:
-                plan = row.new_plan or plan
-                continue
-            paid = plan == "premium"
-            today = row.day
-            limit = self.daily_limit if paid else self.free_limit
-            used = (day_count if day == today else 0) if paid else free_total
-            accepted = used < limit
-            if accepted:
-                used += 1
-                if paid:
-                    day, day_count = today, used
-                else:
-                    free_total = used
-            refused = "premium_daily_quota_exceeded" if paid else "free_total_quota_exceeded"
-            yield Row(
-                event_id=row.event_id,
-                user_id=key[0],
-                plan=plan,
-                period="day" if paid else "total",
-                accepted=accepted,
-                code="ok" if accepted else refused,
-                used=used,
-                remaining=max(0, limit - used),
-            )
-        self.state.update((plan, day, day_count, free_total))
-
-    def close(self) -> None:
-        pass
-
-
-INCIDENT_OUT = (
-    "rule string, incident bigint, opened bigint, closed bigint, periods bigint, hits bigint, "
-    "is_open boolean"
-)
-
-
-class IncidentProcessor(StatefulProcessor):
-    """Opens an incident on a fired period and closes it by an event-time timer."""
-
-    def __init__(self, close_after: int) -> None:
-        self.close_after = close_after
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState(
-            "incident",
-            "incident bigint, opened bigint, last_end bigint, periods bigint, hits bigint, "
-            "is_open boolean",
-        )
-
-    def _row(self, rule: str, current: tuple, is_open: bool) -> Row:
-        incident, opened, last_end, periods, hits, _ = current
-        return Row(
-            rule=rule, incident=incident, opened=opened, closed=last_end + self.close_after,
-            periods=periods, hits=hits, is_open=is_open,
+        self.state = handle.getMapState(
+            "intervals", "opened bigint", "last_end bigint, periods bigint, hits bigint"
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        current = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, False)
-        for row in sorted(rows, key=lambda r: r.bucket):
-            incident, opened, last_end, periods, hits, is_open = current
-            end = row.bucket + row.period
-            if incident and row.bucket - last_end <= self.close_after:
-                current = (incident, opened, max(end, last_end), periods + 1, hits + row.n, True)
+        known = {k[0]: tuple(v) for k, v in self.state.iterator()} if self.state.exists() else {}
+        changed: set[int] = set()
+        for row in rows:
+            opened, end, periods, hits = row.bucket, row.bucket + row.period, 1, row.n
+            for start, (last, count, total) in list(known.items()):
+                if opened - last <= self.gap and start - end <= self.gap:
+                    del known[start]
+                    changed.add(start)
+                    opened, end = min(opened, start), max(end, last)
+                    periods, hits = periods + count, hits + total
+            known[opened] = (end, periods, hits)
+            changed.add(opened)
+        for start in changed:
+            if start in known:
+                self.state.updateValue((start,), known[start])
+                self.handle.registerTimer((known[start][0] + self.gap) * 1000 + 1)
             else:
-                if is_open:
-                    yield self._row(key[0], current, False)
-                current = (incident + 1, row.bucket, end, 1, row.n, True)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((current[2] + self.close_after) * 1000)
-        self.state.update(current)
-        yield self._row(key[0], current, True)
+                if self.state.containsKey((start,)):
+                    self.state.removeKey((start,))
+            end, periods, hits = known.get(start, (start, 0, 0))
+            yield Row(key=key[0], opened=start, last_end=end, periods=periods, hits=hits, is_open=True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        current = self.state.get()
-        self.state.update((*current[:5], False))
-        yield self._row(key[0], current, False)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for k, v in list(self.state.iterator()):
+            if (v[0] + self.gap) * 1000 < now:
+                self.state.removeKey(k)
+                yield Row(key=key[0], opened=k[0], last_end=v[0], periods=v[1], hits=v[2], is_open=False)
 
     def close(self) -> None:
         pass
