@@ -360,7 +360,3 @@ def title_of(html: Column) -> Column:
 
 def description_of(html: Column) -> Column:
     return F.regexp_extract(html, r'(?i)<meta name="description" content="([^"]+)">', 1)
-
-
-def canonical_of(html: Column) -> Column:
-    return F.regexp_extract(html, r'(?i)<link rel="canonical" href="([^"]+)">', 1)

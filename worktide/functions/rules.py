@@ -348,10 +348,6 @@ def number_or(c: Column, default: float) -> Column:
     return F.coalesce(F.when(~F.isnan(number), F.nullif(number, F.lit(0.0))), F.lit(default))
 
 
-def counter(c: Column) -> Column:
-    return F.greatest(F.coalesce(c.cast("bigint"), F.lit(0)), F.lit(0))
-
-
 def remaining(limit: Column | int, used: Column) -> Column:
     limit = F.lit(limit) if isinstance(limit, int) else limit
     return F.greatest(F.lit(0), limit - used)

@@ -149,25 +149,6 @@ def user_create_verdict(new: Column, editable: Sequence[str] = lx.USER_EDITABLE)
     return F.when(F.size(F.array_except(F.map_keys(new), _names(editable))) > 0, "unexpected_field")
 
 
-def access(requests: DataFrame) -> DataFrame:
-    """Decision per (caller, owner, resource, action).
-
-    Holidays are public to read; users read and write their own rows; usage
-    counters are read-only to clients and nobody deletes a user row.
-    """
-    own = F.col("caller") == F.col("owner")
-    read = F.col("action") == "read"
-    kind = F.col("resource")
-    allowed = (
-        F.when(kind == "holiday", read)
-        .when(kind == "usage", own & read)
-        .when(kind == "user", own & (F.col("action") != "delete"))
-        .when(kind.isin("years", "visits"), own)
-        .otherwise(False)
-    )
-    return requests.withColumn("allowed", F.coalesce(allowed, F.lit(False)))
-
-
 def owned(rows: DataFrame, owner: str, caller: Column | str) -> DataFrame:
     """Rows of one caller; the filter reaches the scan."""
     return rows.where(F.col(owner) == (F.lit(caller) if isinstance(caller, str) else caller))

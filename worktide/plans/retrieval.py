@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from worktide import lexicon as lx
 from worktide.functions import rules
@@ -19,6 +20,7 @@ from worktide.functions import text as tx
 from worktide.functions.splitting import split
 from worktide.operators.computed import computed
 from worktide.operators.ordered import top_k
+from worktide.operators.staging import stage
 
 DIGITS = 9
 
@@ -127,6 +129,21 @@ def embed(
     return chunks.withColumn(out, run(F.col(text), F.col(title)))
 
 
+def digest_model() -> Callable[[], Callable[[list[str], list[str]], np.ndarray]]:
+    """Model for tests whose vectors any engine can recompute: the MD5 bytes of title and text."""
+
+    def make() -> Callable[[list[str], list[str]], np.ndarray]:
+        from hashlib import md5
+
+        def run(texts: list[str], titles: list[str]) -> np.ndarray:
+            digests = [md5(f"{a}\n{b}".encode()).digest() for a, b in zip(titles, texts, strict=True)]
+            return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16) / 255
+
+        return run
+
+    return make
+
+
 def hashing_model(dims: int = 64) -> Callable[[], Callable[[list[str], list[str]], np.ndarray]]:
     """Deterministic model for tests: unit vectors of hashed words."""
 
@@ -181,42 +198,54 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def _block_top_k(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Top k of one query block against one corpus block by a matrix product."""
+def _by_group(rows: pa.Table) -> dict[str, pa.Table]:
+    """Rows of a tile by group; most tiles hold one."""
+    rows = rows.sort_by("__group")
+    names = rows["__group"].to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+    ends = [*starts[1:], len(names)]
+    return {names[a]: rows.slice(a, b - a) for a, b in zip(starts, ends, strict=True)}
+
+
+def _block_top_k(k: int, out: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Top k of one query block against one corpus block by a matrix product per group."""
+
+    def product(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        corpus = corpus.sort_by("chunk_id")
+        table = np.round(1.0 - _matrix(queries["vector"]) @ _matrix(corpus["vector"]).T, DIGITS)
+        keep = min(k, table.shape[1])
+        bound = np.partition(table, keep - 1, axis=1)[:, keep - 1 : keep]
+        rows, cols = np.nonzero(table <= bound)
+        order = np.lexsort((cols, table[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        starts = np.searchsorted(rows, np.arange(table.shape[0]))
+        inside = np.arange(len(rows)) - starts[rows] < keep
+        rows, cols = rows[inside], cols[inside]
+        return pa.table(
+            [
+                queries["query_id"].combine_chunks().take(pa.array(rows)),
+                corpus["chunk_id"].combine_chunks().take(pa.array(cols)),
+                pa.array(table[rows, cols], pa.float64()),
+            ],
+            names=out.names,
+        ).cast(out)
 
     def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        if queries.num_rows == 0 or corpus.num_rows == 0:
-            rows = cols = np.empty(0, dtype=np.int64)
-            distances = np.empty(0)
-            corpus_ids = corpus["chunk_id"].combine_chunks()
-        else:
-            corpus = corpus.sort_by("chunk_id")
-            corpus_ids = corpus["chunk_id"].combine_chunks()
-            table = np.round(1.0 - _matrix(queries["vector"]) @ _matrix(corpus["vector"]).T, DIGITS)
-            keep = min(k, table.shape[1])
-            bound = np.partition(table, keep - 1, axis=1)[:, keep - 1 : keep]
-            rows, cols = np.nonzero(table <= bound)
-            order = np.lexsort((cols, table[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            starts = np.searchsorted(rows, np.arange(table.shape[0]))
-            inside = np.arange(len(rows)) - starts[rows] < keep
-            rows, cols = rows[inside], cols[inside]
-            distances = table[rows, cols]
-        return pa.table(
-            {
-                "query_id": queries["query_id"].combine_chunks().take(pa.array(rows)),
-                "chunk_id": corpus_ids.take(pa.array(cols)),
-                "distance": pa.array(distances, pa.float64()),
-            }
-        )
+        known = _by_group(corpus)
+        found = [
+            product(rows, known[group]) for group, rows in _by_group(queries).items() if group in known
+        ]
+        return pa.concat_tables([out.empty_table(), *found])
 
     return search
 
 
-def _blocks(rows: DataFrame, on: Sequence[str], block_rows: int, count: str) -> DataFrame:
-    """Number of blocks per group, one row per group."""
+def _blocks(rows: DataFrame, on: Sequence[str], block_bytes: int, names: tuple[str, str]) -> DataFrame:
+    """Number of blocks per group, by the bytes of its vectors, and the bytes; a row per group."""
+    size = F.count("*") * F.max(F.size("vector")) * 4
     return rows.groupBy(*on).agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias(count)
+        F.greatest(F.ceil(size / block_bytes), F.lit(1)).cast("int").alias(names[0]),
+        size.alias(names[1]),
     )
 
 
@@ -225,39 +254,50 @@ def knn(
     corpus: DataFrame,
     k: int,
     on: Sequence[str] = (),
-    query_rows: int = 2048,
-    corpus_rows: int = 8192,
+    query_bytes: int = 1 << 19,
+    corpus_bytes: int = 1 << 21,
 ) -> DataFrame:
     """Exact k nearest chunks per query within equal ``on`` values.
 
     ``queries`` holds query_id, vector and ``on``; ``corpus`` chunk_id, vector
     and ``on``. Both sides are cut into blocks of bounded size, however large a
     group is; a task multiplies one query block with one corpus block and
-    returns k rows per query, so pairs never leave a task. Ties go to the lower
-    chunk id.
+    returns k rows per query, so pairs never leave a task. Groups of one block
+    share a tile with others of their kind. Vectors travel as single floats.
+    Ties go to the lower chunk id.
     """
     on = list(on)
     # Fresh columns on one side: both may come from the same table.
-    queries = queries.select("query_id", "vector", *on)
-    corpus = corpus.select(*[F.col(c).alias(c) for c in ("chunk_id", "vector", *on)])
+    single = F.col("vector").cast("array<float>").alias("vector")
+    queries = queries.select("query_id", single, *on)
+    corpus = corpus.select(F.col("chunk_id").alias("chunk_id"), single, *[F.col(c).alias(c) for c in on])
     if not on:
         queries, corpus = (x.withColumn("__all", F.lit(0)) for x in (queries, corpus))
         on = ["__all"]
-    sizes = _blocks(queries, on, query_rows, "__nq").join(
-        _blocks(corpus, on, corpus_rows, "__nc"), on
+    sizes = _blocks(queries, on, query_bytes, ("__nq", "__qs")).join(
+        _blocks(corpus, on, corpus_bytes, ("__nc", "__cs")), on
     )
+    group = F.to_json(F.struct(*[F.col(c) for c in on]))
+    sizes = stage(sizes.withColumn("__group", group))
+    small = (F.col("__nq") == 1) & (F.col("__nc") == 1)
+    total = sizes.where(small).agg(F.sum(F.col("__qs") + F.col("__cs"))).first()[0]
+    shared = max(1, -(-(total or 0) // (query_bytes + corpus_bytes)))
+    name = F.when(small, F.pmod(F.xxhash64("__group"), F.lit(shared)).cast("string"))
+    sizes = sizes.withColumn("__tile", F.coalesce(name, F.col("__group"))).drop("__qs", "__cs")
 
     def tiles(rows: DataFrame, key: str, own: str, other: str, own_block: str, other_block: str):
+        # Fresh columns: the sizes are joined to both sides.
+        fresh = sizes.select(*[F.col(c).alias(c) for c in sizes.columns])
         return (
-            rows.join(sizes, on)
+            rows.join(fresh, on)
             .withColumn(own_block, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("__nq", "__nc")
+            .select(key, "vector", "__group", "__tile", own_block, other_block)
         )
 
     left = tiles(queries, "query_id", "__nq", "__nc", "__qb", "__cb")
     right = tiles(corpus, "chunk_id", "__nc", "__nq", "__cb", "__qb")
-    tile = [*on, "__qb", "__cb"]
+    tile = ["__tile", "__qb", "__cb"]
     id_types = {f.name: f.dataType for f in (*queries.schema.fields, *corpus.schema.fields)}
     schema = T.StructType(
         [
@@ -267,7 +307,9 @@ def knn(
         ]
     )
     found = (
-        left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_block_top_k(k), schema)
+        left.groupBy(*tile)
+        .cogroup(right.groupBy(*tile))
+        .applyInArrow(_block_top_k(k, to_arrow_schema(schema)), schema)
     )
     return top_k(found, ["query_id"], nearest_order(), k)
 
@@ -293,14 +335,32 @@ def tier_hits(
     do not depend on the question, so they are found once per file and joined
     to any number of questions later.
     """
+    family = {"hits": (exact, headers, cap, weights or {})}
+    return tier_families(chunks, family, keep).drop("family")
+
+
+def tier_families(
+    chunks: DataFrame, families: Mapping[str, tuple], keep: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`tier_hits` for several word families (exact, headers, cap, weights) by name; each
+    text is read and folded once."""
     rows = chunks.select("file_name", "chunk_id", "chunk_index", *keep, "text")
     rows = computed(rows, {"__norm": tx.normalize(F.col("text"))}).drop("text")
-    scores = {
-        "tier": rules.tier(F.col("__norm"), exact, headers),
-        "score": rules.weighted_score(F.col("__norm"), weights or {}),
-    }
-    hits = computed(rows, scores).drop("__norm").where("tier is not null")
-    return top_k(hits, ["file_name"], tier_order(), cap, "__r").drop("__r")
+    found = [
+        F.struct(
+            F.lit(name).alias("family"),
+            F.lit(cap).alias("__cap"),
+            rules.tier(F.col("__norm"), exact, headers).alias("tier"),
+            rules.weighted_score(F.col("__norm"), weights).alias("score"),
+        )
+        for name, (exact, headers, cap, weights) in families.items()
+    ]
+    hits = rows.select(
+        "file_name", "chunk_id", "chunk_index", *keep, F.inline(F.array(*found))
+    ).where("tier is not null")
+    most = max(cap for _, _, cap, _ in families.values())
+    best = top_k(hits, ["family", "file_name"], tier_order(), most, "__r")
+    return best.where("__r <= __cap").drop("__r", "__cap")
 
 
 def tier_order() -> list[Column]:
@@ -395,9 +455,3 @@ def redacted(chunks: Column) -> Column:
 
 def leave_hits(chunks: DataFrame, cap: int = 5) -> DataFrame:
     return tier_hits(chunks, lx.LEAVE_EXACT, lx.LEAVE_HEADERS, cap)
-
-
-def discipline_hits(chunks: DataFrame, cap: int = 8) -> DataFrame:
-    return tier_hits(
-        chunks, lx.DISCIPLINE_EXACT, lx.DISCIPLINE_HEADERS, cap, lx.DISCIPLINE_WEIGHTS
-    )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.functions.rules import number_or, round_half_up, signed
 from worktide.functions.text import verification_id
-from worktide.operators.ordered import running_sum
 
 
 def overlay(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -188,7 +187,8 @@ def overtime_cap(overtime: DataFrame, limit: int = lx.OVERTIME_LIMIT) -> DataFra
     """
     days = overtime.groupBy("user_id", "day").agg(F.sum("hours").alias("hours"))
     days = days.withColumn("year", F.year("day"))
-    run = running_sum(days, ["user_id", "year"], ["day"], F.month("day"), "hours", "so_far")
+    so_far = Window.partitionBy("user_id", "year").orderBy("day")
+    run = days.withColumn("so_far", F.sum("hours").over(so_far))
     return run.groupBy("user_id", "year").agg(
         F.sum("hours").alias("total"),
         F.greatest(F.sum("hours") - limit, F.lit(0)).alias("excess"),

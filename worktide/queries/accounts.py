@@ -382,15 +382,14 @@ def erasure_plan(spark: SparkSession, d: str) -> DataFrame:
 with {ERASURE_SQL},
 gone as (select user_id from plan where erase),
 o as (select o_orderkey, o_custkey in (select user_id from gone) as out_ from orders)
-select 'customer' as table_name, count(*) as before,
-       count(*) filter (c_custkey not in (select user_id from gone)) as after
-from customer
-union all select 'orders', count(*), count(*) filter (not out_) from o
-union all select 'lineitem', count(*), count(*) filter (not out_) from lineitem join o on o_orderkey = l_orderkey
-union all select 'events', count(*), count(*) from events""",
+select 'customer' as table_name, c_custkey as key, 0 as part from customer
+where c_custkey not in (select user_id from gone)
+union all select 'orders', o_orderkey, 0 from o where not out_
+union all select 'lineitem', l_orderkey, l_linenumber from lineitem join o on o_orderkey = l_orderkey where not out_
+union all select 'events', event_id, 0 from events""",
 )
 def erasure(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts per table before and after the cascade; billing rows are kept."""
+    """Keys that remain after the cascade; billing rows are kept."""
     gone = erasures(spark, d).where("erase").select("user_id")
     customer, orders, lines, billing = (
         table(spark, d, t) for t in ("customer", "orders", "lineitem", "events")
@@ -400,32 +399,28 @@ def erasure(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey")
     )
 
-    def counts(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
-        n = [
-            x.agg(F.count("*").alias(c)) for x, c in ((before, "before"), (after, "after"))
-        ]
-        return (
-            n[0]
-            .withColumn("table_name", F.lit(name))
-            .join(n[1].withColumn("table_name", F.lit(name)), "table_name")
-        )
+    def keys(name: str, rows: DataFrame, key: str, part: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), part.alias("part"))
 
+    none = F.lit(0)
     return (
-        counts("customer", customer, ac.without_users(customer, gone, "c_custkey"))
-        .unionByName(counts("orders", orders, ac.without_users(orders, gone, "o_custkey")))
+        keys("customer", ac.without_users(customer, gone, "c_custkey"), "c_custkey", none)
+        .unionByName(keys("orders", ac.without_users(orders, gone, "o_custkey"), "o_orderkey", none))
         .unionByName(
-            counts("lineitem", lines, lines.join(erased_orders, "l_orderkey", "left_anti"))
+            keys("lineitem", lines.join(erased_orders, "l_orderkey", "left_anti"), "l_orderkey",
+                 F.col("l_linenumber"))
         )
-        .unionByName(counts("events", billing, billing))
+        .unionByName(keys("events", billing, "event_id", none))
     )
 
 
 @query(
     "profile_defaults",
     """
-with f as (select user_id, min(ts) as t from events group by 1),
-p as (select c_custkey as user_id, c_mktsegment as sector, 'N' || c_nationkey as city from customer
-      where c_nationkey >= 2)
+with f as (
+  select user_id + case when event_type = 'view' then 1000000000 else 0 end as user_id, min(ts) as t
+  from events group by 1),
+p as (select c_custkey as user_id, c_mktsegment as sector, 'N' || c_nationkey as city from customer)
 select user_id, '-' as registered_at, city, sector, sector in ('FURNITURE', 'MACHINERY') as is_hospitality
 from p
 union all
@@ -433,8 +428,8 @@ select user_id, strftime(t, '%Y-%m-%d'), 'Donostia', 'general', false from f
 where user_id not in (select user_id from p)""",
 )
 def profile_defaults(spark: SparkSession, d: str) -> DataFrame:
-    """A default profile for each user seen first in the events."""
-    stored = table(spark, d, "customer").where("c_nationkey >= 2").select(
+    """A default profile for each user seen first in the events; views come from guests."""
+    stored = table(spark, d, "customer").select(
         F.col("c_custkey").alias("user_id"),
         F.lit(None).cast("timestamp").alias("registered_at"),
         _text("N", "c_nationkey").alias("city"),
@@ -446,7 +441,9 @@ def profile_defaults(spark: SparkSession, d: str) -> DataFrame:
         "sector": F.lit(lx.DEFAULT_SECTOR),
         "is_hospitality": F.lit(False),
     }
-    out = ac.default_profiles(events(spark, d).select("user_id", "ts"), stored, defaults)
+    guest = F.when(F.col("event_type") == "view", 1000000000).otherwise(0)
+    seen = events(spark, d).select((F.col("user_id") + guest).alias("user_id"), "ts")
+    out = ac.default_profiles(seen, stored, defaults)
     return out.withColumn(
         "registered_at", F.coalesce(F.date_format("registered_at", "yyyy-MM-dd"), F.lit("-"))
     )

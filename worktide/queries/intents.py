@@ -286,48 +286,12 @@ def user_update_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "owner_view",
-    """
-with a as (
-  select l_orderkey, l_linenumber, o_custkey as owner,
-         case when l_returnflag = 'R' then l_suppkey else o_custkey end as caller,
-         case o_orderpriority when '1-URGENT' then 'user' when '2-HIGH' then 'years'
-              when '3-MEDIUM' then 'usage' when '4-NOT SPECIFIED' then 'holiday' else 'visits' end as resource,
-         case when l_linestatus = 'F' then 'read' when l_discount > 0.05 then 'delete' else 'write' end
-           as action
-  from lineitem join orders on l_orderkey = o_orderkey),
-v as (
-  select *, case resource when 'holiday' then action = 'read'
-                 when 'usage' then caller = owner and action = 'read'
-                 when 'user' then caller = owner and action <> 'delete'
-                 else caller = owner end as allowed
-  from a)
-select resource, action, count(*) as n, count(*) filter (allowed) as allowed from v group by 1, 2""",
+    "select o_orderkey, o_orderstatus from orders where o_custkey = 7",
 )
 def owner_view(spark: SparkSession, d: str) -> DataFrame:
-    """Access decisions over a log of row accesses: line items reach order rows."""
-    orders = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        F.col("o_custkey").alias("owner"),
-        rules.lookup(
-            F.col("o_orderpriority"),
-            {"1-URGENT": "user", "2-HIGH": "years", "3-MEDIUM": "usage",
-             "4-NOT SPECIFIED": "holiday", "5-LOW": "visits"},
-        ).alias("resource"),
-    )
-    log = table(spark, d, "lineitem").select(
-        "l_orderkey",
-        "l_returnflag",
-        "l_suppkey",
-        F.when(F.col("l_linestatus") == "F", "read")
-        .when(F.col("l_discount") > 0.05, "delete")
-        .otherwise("write")
-        .alias("action"),
-    )
-    caller = F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).otherwise(F.col("owner"))
-    return (
-        rq.access(log.join(orders, "l_orderkey").withColumn("caller", caller))
-        .groupBy("resource", "action")
-        .agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
+    """Rows of one caller; the filter reaches the scan."""
+    return rq.owned(table(spark, d, "orders"), "o_custkey", F.lit(7)).select(
+        "o_orderkey", "o_orderstatus"
     )
 
 

@@ -9,6 +9,7 @@ from worktide import lexicon as lx
 from worktide.functions import rules
 from worktide.functions import text as tx
 from worktide.operators.computed import computed
+from worktide.operators.staging import stage
 from worktide.plans import answers as an
 from worktide.plans import retrieval as rt
 from worktide.queries import intents as it
@@ -29,7 +30,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a vector; the vector's label names the file, label 0 is the base law."""
+    """All documents, those with a vector by its label's file; label 0 is the base law."""
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         "text",
@@ -37,7 +38,10 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
             "chunk_index"
         ),
     )
-    return docs.join(vectors(spark, d), "chunk_id").select(
+    rows = docs.join(vectors(spark, d), "chunk_id", "left").withColumn(
+        "label", F.coalesce("label", (F.col("chunk_id") % 10).cast("int"))
+    )
+    return rows.select(
         "*",
         F.concat(F.lit("file"), "label", F.lit(".pdf")).alias("file_name"),
         F.when(F.col("label") == 0, "base").otherwise("especifico").alias("doc_type"),
@@ -48,17 +52,18 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     "knn_base",
     """
 with p as (
-  select q.vec_id as query_id, c.vec_id as chunk_id,
+  select v.conv_id || '-' || v.turn as query_id, c.vec_id as chunk_id,
          round(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as distance
-  from embeddings q join embeddings c on c.label = 0)
+  from conversations v join embeddings q on q.vec_id = v.conv_id join embeddings c on c.label = 0
+  where role = 'user')
 select query_id, chunk_id, round(distance, 6) as distance,
        row_number() over (partition by query_id order by distance, chunk_id)::int as rank
 from p qualify rank <= 2""",
 )
 def knn_base(spark: SparkSession, d: str) -> DataFrame:
-    """Two nearest base chunks of every vector."""
+    """Two nearest base chunks of every question."""
     corpus = vectors(spark, d)
-    asked = corpus.withColumnRenamed("chunk_id", "query_id")
+    asked = questions(spark, d).select("query_id", "vector")
     return rt.knn(asked, corpus.where("label = 0"), 2).withColumn(
         "distance", F.round("distance", 6)
     )
@@ -86,16 +91,17 @@ def knn_file(spark: SparkSession, d: str) -> DataFrame:
     "knn_batch",
     """
 with p as (
-  select q.vec_id as query_id, c.vec_id as chunk_id,
+  select v.conv_id || '-' || v.turn as query_id, c.vec_id as chunk_id,
          round(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as distance
-  from embeddings q cross join embeddings c)
+  from conversations v join embeddings q on q.vec_id = v.conv_id cross join embeddings c where role = 'user')
 select query_id, chunk_id, round(distance, 6) as distance,
        row_number() over (partition by query_id order by distance, chunk_id)::int as rank
 from p qualify rank <= 5""",
 )
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest chunks of every question."""
     corpus = vectors(spark, d)
-    asked = corpus.withColumnRenamed("chunk_id", "query_id")
+    asked = questions(spark, d).select("query_id", "vector")
     return rt.knn(asked, corpus, 5).withColumn("distance", F.round("distance", 6))
 
 
@@ -166,9 +172,13 @@ def references(asked: DataFrame) -> DataFrame:
     )
 
 
-def hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Base rows and merged specific rows of every question."""
-    asked = questions(spark, d)
+def hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base rows and merged specific rows of every question, and the questions.
+
+    Folded questions and keyword hits are written once; several branches follow. Only the vector
+    branch needs a vector.
+    """
+    asked = stage(questions(spark, d))
     refs = references(asked)
     corpus = chunks(spark, d)
     # The normalised text is needed only by the keyword branches; the vector
@@ -177,14 +187,19 @@ def hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         "file_name", F.concat(F.lit("file"), "label", F.lit(".pdf"))
     )
     specific = corpus.where("doc_type = 'especifico'").drop("vector")
+    families = {
+        "leave": (LEAVE_EXACT, LEAVE_HEADERS, 5, {}),
+        "rules": (RULES_EXACT, RULES_HEADERS, 8, WEIGHTS),
+    }
+    hits = stage(rt.tier_families(specific, families))
     leave = rt.keyword_chunks(
         refs.where(rules.has_any(F.col("norm"), LEAVE_Q)).select("query_id", "file_name"),
-        rt.tier_hits(specific, LEAVE_EXACT, LEAVE_HEADERS, 5),
+        hits.where("family = 'leave'"),
         5,
     )
     discipline = rt.keyword_chunks(
         refs.where(rules.has_any(F.col("norm"), RULES_Q)).select("query_id", "file_name"),
-        rt.tier_hits(specific, RULES_EXACT, RULES_HEADERS, 8, WEIGHTS),
+        hits.where("family = 'rules'"),
         8,
         by_index=True,
     )
@@ -196,14 +211,16 @@ def hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         [leave, discipline, near.select("query_id", "chunk_id", F.col("rank").alias("place"))], 10
     )
     base = rt.knn(asked.select("query_id", "vector"), vecs.where("label = 0"), 2)
-    return base.select("query_id", "chunk_id", "rank"), merged.select("query_id", "chunk_id", "rank")
+    columns = ("query_id", "chunk_id", "rank")
+    return base.select(*columns), merged.select(*columns), asked
 
 
 HYBRID_SQL = f"""
 ch as (
-  select doc_id as chunk_id, text, 'file' || label || '.pdf' as file_name, label, embedding,
+  select doc_id as chunk_id, text, 'file' || coalesce(label, doc_id % 10) || '.pdf' as file_name,
+         coalesce(label, doc_id % 10) as label, embedding,
          case when lang <> 'de' then doc_id // 10 end as idx, {sq.norm('text')} as norm
-  from documents join embeddings on doc_id = vec_id),
+  from documents left join embeddings on doc_id = vec_id),
 ct as (
   select *, case when {sq.has_any('norm', LEAVE_EXACT)} then 0
                  when {sq.has_any('norm', LEAVE_HEADERS)} then 1 end as lt,
@@ -233,7 +250,7 @@ ds as (
            as place from d0),
 vc as (
   select query_id, chunk_id, row_number() over (partition by query_id order by distance, chunk_id) as place
-  from pairs qualify place <= 5),
+  from pairs where distance is not null qualify place <= 5),
 al as (
   select 0 as l, * from lv union all select 1, * from ds union all select 2, * from vc),
 fi as (
@@ -260,10 +277,9 @@ union all select query_id, 'base_local', 1, -1 from qs where {sq.has_any('nq', i
   and not {sq.has_any('nq', [*it.RULES[0].query_terms, *it.RULES[1].query_terms])}""",
 )
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    base, merged = hybrid(spark, d)
+    base, merged, asked = hybrid(spark, d)
     statute = (
-        questions(spark, d)
-        .where(rules.statute_rule(F.col("norm"), it.RULES) == "r3")
+        asked.where(rules.statute_rule(F.col("norm"), it.RULES) == "r3")
         .select("query_id", F.lit(1).alias("rank"))
     )
     return rt.sources(base, merged, statute).withColumn(
@@ -287,7 +303,7 @@ select query_id, md5(string_agg(block, chr(10) || chr(10) || '===' || chr(10) ||
 from t group by 1""",
 )
 def context_block(spark: SparkSession, d: str) -> DataFrame:
-    base, merged = hybrid(spark, d)
+    base, merged, _ = hybrid(spark, d)
     ranked = base.withColumn("source", F.lit("base")).unionByName(
         merged.withColumn("source", F.lit("especifica"))
     )
@@ -395,12 +411,49 @@ def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.withColumn("source", F.coalesce("source", F.lit("*")))
 
 
-@query("chunk_recursive")
+@query(
+    "chunk_recursive",
+    f"""
+select doc_id, true as bounded, true as in_order, true as covered, true as numbered from (
+  select doc_id, {sq.squeeze('text')} as t from documents) where t <> ''""",
+)
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: chunks within the size, found in the cleaned text one after another, with only
+    white space between and around them, and numbered without gap."""
     docs = table(spark, d, "documents").select(
         "doc_id", tx.clean_extracted(F.col("text")).alias("text")
     )
-    return rt.recursive_chunks(docs, "doc_id", "text")
+    parts = rt.recursive_chunks(docs, "doc_id", "text")
+    # A text has no more chunks than its length allows.
+    lists = parts.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_total", "chunk"))).alias("parts")
+    )
+    folded = F.expr("""
+        aggregate(parts, named_struct('start', 0, 'end', 0, 'ok', true, 'covered', true),
+          (a, p) -> transform(array(locate(p.chunk, text, a.start + 1)), s -> named_struct(
+            'start', s, 'end', greatest(a.end, s + length(p.chunk) - 1), 'ok', a.ok and s > 0,
+            'covered', a.covered and substring(text, a.end + 1, s - a.end - 1) rlike '^\\\\s*$'))[0],
+          a -> named_struct('ok', a.ok, 'covered', a.covered and substring(text, a.end + 1) rlike '^\\\\s*$'))
+    """)
+    sizes = F.transform("parts", lambda p: F.length(p["chunk"]))
+    # In a text that repeats itself a chunk has several places; there the ends and the amount count.
+    repeats = F.expr("exists(parts, p -> locate(p.chunk, text, locate(p.chunk, text) + 1) > 0)")
+    amount = F.expr("""
+        startswith(text, parts[0].chunk) and endswith(text, element_at(parts, -1).chunk)
+        and aggregate(parts, 0, (n, p) -> n + length(regexp_replace(p.chunk, '\\\\s', '')))
+            >= length(regexp_replace(text, '\\\\s', ''))
+    """)
+    return lists.join(docs, "doc_id").withColumn("f", folded).select(
+        "doc_id",
+        (F.array_max(sizes) <= 1000).alias("bounded"),
+        F.col("f.ok").alias("in_order"),
+        (F.col("f.covered") | (repeats & amount)).alias("covered"),
+        F.forall(
+            "parts",
+            lambda p: (p["chunk_total"] == F.size("parts"))
+            & (F.get("parts", p["chunk_index"])["chunk_index"] == p["chunk_index"]),
+        ).alias("numbered"),
+    )
 
 
 @query(
@@ -409,18 +462,18 @@ def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
 with l as (
   select doc_id, source, text, greatest(0, ceil((length(text) - 1000) / 800.0))::int as last_
   from documents where length(text) > 0),
-c as (select doc_id, unnest(range(0, last_ + 1))::int as chunk_index from l)
-select doc_id, chunk_index, 64 as dims, 1.0::double as norm from c""",
+c as (select *, unnest(range(0, last_ + 1))::int as chunk_index from l)
+select doc_id, chunk_index, 16 as dims,
+       upper(md5(source || chr(10) || substr(text, chunk_index * 800 + 1, 1000))) as bytes from c""",
 )
 def embed_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors compared by value: the test model returns digest bytes."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     parts = rt.fixed_chunks(docs, "doc_id", "text")
-    embedded = rt.embed(parts, rt.hashing_model(64), "chunk", "source")
-    square = F.aggregate(
-        "vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")
-    )
+    embedded = rt.embed(parts, rt.digest_model(), "chunk", "source")
+    codes = F.transform("vector", lambda x: F.lpad(F.hex(F.round(x * 255).cast("bigint")), 2, "0"))
     return embedded.select(
-        "doc_id", "chunk_index", F.size("vector").alias("dims"), F.round(F.sqrt(square), 4).alias("norm")
+        "doc_id", "chunk_index", F.size("vector").alias("dims"), F.array_join(codes, "").alias("bytes")
     )
 
 
