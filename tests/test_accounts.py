@@ -139,11 +139,8 @@ def test_clear_month_keeps_other_data(spark):
     assert [r[0] for r in got] == ["hosteleria", "general", "x"]
 
 
-@pytest.mark.parametrize("caller,owner,resource,action,ok", [
-    ("a", "a", "user", "read", True), ("a", "b", "user", "read", False), ("a", "a", "user", "delete", False),
-    ("a", "a", "usage", "write", False), ("a", "b", "holiday", "read", True), ("a", "a", "years", "write", True),
-    (None, "a", "years", "read", False), ("a", "a", "else", "read", False),
-])
-def test_access(spark, caller, owner, resource, action, ok):
-    df = spark.createDataFrame([(caller, owner, resource, action)], "caller string, owner string, resource string, action string")
-    assert rq.access(df).first().allowed is ok
+def test_owned_rows_are_filtered_at_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2)], "owner string, v int").write.parquet(str(tmp_path / "t"))
+    rows = rq.owned(spark.read.parquet(str(tmp_path / "t")), "owner", "a")
+    assert [r.v for r in rows.collect()] == [1]
+    assert "EqualTo(owner,a)" in rows._jdf.queryExecution().executedPlan().toString()

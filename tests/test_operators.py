@@ -158,7 +158,7 @@ def test_knn_equals_brute_force_on_a_hot_group(spark):
         [(i, base[i].tolist(), files[i]) for i in range(0, 90, 4)], "query_id int, vector array<float>, f string"
     )
     got = defaultdict(list)
-    found = rt.knn(asked, corpus, 5, on=["f"], query_rows=4, corpus_rows=7)
+    found = rt.knn(asked, corpus, 5, on=["f"], query_bytes=4 * 32, corpus_bytes=7 * 32)
     for r in found.orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.chunk_id)
     data = np.asarray(base, dtype=np.float32).astype(float)
@@ -171,6 +171,22 @@ def test_knn_equals_brute_force_on_a_hot_group(spark):
     assert [r.chunk_id for r in one] == sorted(range(90), key=lambda i: (round(1 - unit[0] @ unit[i], 9), i))[:3]
 
 
+def test_knn_of_many_small_groups_and_a_hot_one(spark):
+    """Ten thousand groups of one chunk share tiles; a group with a third of all rows is cut."""
+    rows = spark.range(15000).select(
+        F.col("id").alias("chunk_id"),
+        F.when(F.col("id") < 10000, F.col("id")).otherwise(-1).alias("g"),
+        F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float")).alias("vector"),
+    )
+    asked = rows.where("chunk_id < 10000 or chunk_id % 500 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = rt.knn(asked, rows, 1, on=["g"], query_bytes=1 << 12, corpus_bytes=1 << 13)
+    assert found.where("query_id < 10000 and query_id = chunk_id").count() == 10000
+    hot = {r.query_id: r.chunk_id for r in found.where("query_id >= 10000").collect()}
+    assert len(hot) == 10
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+
+
 def test_merge_never_repeats_or_exceeds(spark):
     def ranked(ids):
         return spark.createDataFrame([("q", c, p) for p, c in enumerate(ids)], "query_id string, chunk_id int, place int")
