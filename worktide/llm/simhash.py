@@ -382,9 +382,10 @@ def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int
     keyed = nodes.select(
         "node", "prints", F.explode(F.arrow_udf(_keyed(lanes, keys), "array<bigint>")("prints")).alias("key")
     )
-    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = met.select("key", F.ceil(F.col("n") / TILE).cast("bigint").alias("tiles"))
-    rows = keyed.join(tiles, "key")
+    # Only keys with several tiles are looked up, so fingerprints are shuffled once.
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    tiles = stage(crowded.select("key", F.ceil(F.col("n") / TILE).cast("bigint").alias("tiles")))
+    rows = keyed.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     # With several tiles, each pair of them is a group; with one tile the key is the group.
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles"))
     pairs = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
