@@ -426,7 +426,8 @@ def classes(marked: DataFrame, key: str, radius: int, keys: list[list[int]] | No
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
-    least = placed.groupBy("root").agg(F.min("least").alias(out))
+    # Written apart, so that the join sees a large class as two plain sides and can split it.
+    least = stage(placed.groupBy("root").agg(F.min("least").alias(out)))
     named = placed.join(least, "root").select(F.col("node").alias("__node"), out)
     return rows.drop(out).join(named, "__node").drop("__node")
 
