@@ -10,6 +10,8 @@ equal results; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+import itertools
+import operator
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ from worktide.llm import batches
 WINDOW_WORDS = 8
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-    "n_upper", "n_lower", "n_exclaim", "n_plain_words",
+    "n_upper", "n_lower", "n_exclaim", "n_plain_words", "n_stutter",
 )
 MEASURES_DDL = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"
 _KIND = pa.struct([(m, pa.int64()) for m in MEASURES])
@@ -90,6 +92,7 @@ def measure_text(text: bytes) -> tuple[int, ...]:
         int(counts[97:123].sum()),
         int(counts[33]),
         len(text.translate(_PLAIN, _DROP).split()),
+        sum(map(operator.eq, words, itertools.islice(words, 1, None))),
     )
 
 
@@ -117,10 +120,11 @@ RULES: Mapping[str, str] = {
     "repeated_passages": "100 * {m}.n_repeat_words > 30 * {m}.n_words",
     "word_length": "{m}.word_chars < 2 * {m}.n_words or {m}.word_chars > 12 * {m}.n_words",
     "symbols": "10 * {m}.n_symbols > {m}.n_words",
-    "duplicate_lines": "10 * {m}.n_dup_lines > 3 * {m}.n_lines",
+    "duplicate_lines": "2 * {m}.n_dup_lines > {m}.n_lines",
     "shouting": "2 * {m}.n_exclaim > {m}.n_words",
     "capitals": "{m}.n_upper + {m}.n_lower >= 40 and {m}.n_upper > {m}.n_lower",
     "plain_words": "10 * {m}.n_plain_words < 6 * {m}.n_words",
+    "stutter": "100 * {m}.n_stutter > 30 * {m}.n_words",
 }
 
 

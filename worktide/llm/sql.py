@@ -177,7 +177,8 @@ with d as (
     'n_upper': length(regexp_replace(t, '[^A-Z]+', '', 'g'))::bigint,
     'n_lower': length(regexp_replace(t, '[^a-z]+', '', 'g'))::bigint,
     'n_exclaim': length(regexp_replace(t, '[^!]+', '', 'g'))::bigint,
-    'n_plain_words': len(list_filter(w, lambda x: regexp_matches(x, '[0-9A-Za-z]|[^\x00-\x7F]')))::bigint
+    'n_plain_words': len(list_filter(w, lambda x: regexp_matches(x, '[0-9A-Za-z]|[^\x00-\x7F]')))::bigint,
+    'n_stutter': len(list_filter(list_zip(w, w[2:]), lambda x: x[1] = x[2]))::bigint
   }} as m
   from d left join covered using (r)
 )
