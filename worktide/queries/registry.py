@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = (
     "worktime", "text", "catalog", "intents", "publish", "retrieval", "accounts",
-    "monitoring", "streams",
+    "monitoring", "streams", "roundtrips",
 )
 
 QUERIES: dict[str, Query] = {}
