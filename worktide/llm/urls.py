@@ -130,7 +130,8 @@ def _table(spark, rules: Sequence[Rule]) -> DataFrame:
 
 def index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with the literal ``token`` that is in the fewest of all ``urls`` (column ``tokens``)."""
-    wanted = rules.select(F.explode("literals").alias("token")).distinct()
+    # Written, so that its size decides how Spark joins it.
+    wanted = stage(rules.select(F.explode("literals").alias("token")).distinct())
     counted = (
         urls.select(F.explode("tokens").alias("token"))
         .join(wanted, "token")
