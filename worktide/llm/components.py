@@ -16,7 +16,8 @@ from worktide.operators.staging import stage
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, so that the join has two plain sides and a node with very many links can be split.
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     wide = both.where("b > a").join(least, "a")
     return wide.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
