@@ -51,7 +51,7 @@ def test_quota_stream_equals_ledger(spark, batches, tmp_path):
     assert {r.code for r in want} == {
         "ok", "premium_daily_quota_exceeded", "free_total_quota_exceeded", "user_profile_not_found"
     }
-    assert all((r.used is None) == (r.code == "user_profile_not_found") for r in want)
+    assert all(r.used == r.remaining == 0 for r in want if r.code == "user_profile_not_found")
 
 
 def test_account_stream_ignores_older_events(spark, batches):
@@ -75,7 +75,7 @@ def intervals(spark, batches, rows, close_after):
     frames = [spark.createDataFrame([r], schema) for r in rows]
     stream = batches(frames).withColumn("closed_at", F.timestamp_seconds(F.col("bucket") + F.col("period")))
     periods = stream.withWatermark("closed_at", "20 days")
-    return drain_to_table(jobs.interval_updates(periods, "rule", close_after), "append"), schema
+    return drain_to_table(jobs.interval_updates(periods, "rule", close_after, 600), "append"), schema
 
 
 @pytest.mark.parametrize("buckets", [

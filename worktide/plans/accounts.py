@@ -330,7 +330,7 @@ def quota_ledger(
 
     ``plans`` (user_id, ts, event_id, new_plan) are changes known before, ``counted`` (user_id,
     plan, period_key, before) the requests counted before. A user without profile has no quota:
-    ``used`` and ``remaining`` are null.
+    ``used`` and ``remaining`` are zero.
 
     ``activity`` holds user_id, ts, event_id, is_request and new_plan (null for
     requests). The plan is the one valid at the request; a free request counts
@@ -379,8 +379,12 @@ def quota_ledger(
         .when(F.col("plan") == "premium", "premium_daily_quota_exceeded")
         .otherwise("free_total_quota_exceeded")
         .alias("code"),
-        F.when(F.col("__known").isNotNull(), F.least("rank", limit)).cast("bigint").alias("used"),
+        F.when(F.col("__known").isNotNull(), F.least("rank", limit))
+        .otherwise(0)
+        .cast("bigint")
+        .alias("used"),
         F.when(F.col("__known").isNotNull(), rules.remaining(limit, F.least("rank", limit)))
+        .otherwise(0)
         .cast("bigint")
         .alias("remaining"),
         "period_key",

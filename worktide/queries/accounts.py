@@ -296,8 +296,8 @@ ledger as (
          case when not known then 'user_profile_not_found' when rank <= lim then 'ok'
               when plan = 'premium' then 'premium_daily_quota_exceeded'
               else 'free_total_quota_exceeded' end as code,
-         case when known then least(rank, lim) end::bigint as used,
-         case when known then lim - least(rank, lim) end::bigint as remaining
+         case when known then least(rank, lim) else 0 end::bigint as used,
+         case when known then lim - least(rank, lim) else 0 end::bigint as remaining
   from rk)
 """
 

@@ -104,8 +104,8 @@ def latency_updates(
     )
 
 
-def interval_updates(periods: DataFrame, key: str, gap: int) -> DataFrame:
-    """Intervals of periods at most ``gap`` seconds apart, as they open, grow and close.
+def interval_updates(periods: DataFrame, key: str, gap: int, length: int) -> DataFrame:
+    """Intervals of periods at most ``gap`` seconds apart and ``length`` long, as they change.
 
     ``periods``: key, bucket, period, n and the event time ``closed_at``, each period once.
     """
@@ -115,7 +115,7 @@ def interval_updates(periods: DataFrame, key: str, gap: int) -> DataFrame:
         "closed_at",
     )
     return rows.groupBy("key").transformWithState(
-        statefulProcessor=pr.IntervalProcessor(gap),
+        statefulProcessor=pr.IntervalProcessor(gap, length),
         outputStructType=pr.INTERVAL_OUT,
         outputMode="Append",
         timeMode="EventTime",
@@ -132,7 +132,8 @@ def incident_updates(
     rows: DataFrame, rules: Sequence[mo.Rule], close_after: int = mo.AUTO_CLOSE_SECONDS
 ) -> DataFrame:
     """From events to incidents in one stream: closed fired periods, joined into intervals."""
-    return interval_updates(alert_updates(rows, rules), "rule", close_after)
+    longest = max(r.period for r in rules)
+    return interval_updates(alert_updates(rows, rules), "rule", close_after, longest)
 
 
 def final_incidents(updates: DataFrame, close_after: int = mo.AUTO_CLOSE_SECONDS) -> DataFrame:
@@ -152,7 +153,7 @@ def sustained_updates(rows: DataFrame, seconds: int, limit: float) -> DataFrame:
     """From requests to runs of windows above the limit in one stream."""
     high = latency_updates(rows, seconds).where(F.col("p95_max") > limit)
     points = high.withColumns({"period": F.lit(seconds), "n": F.lit(1)})
-    return interval_updates(points, "service_name", 0)
+    return interval_updates(points, "service_name", 0, seconds)
 
 
 def final_sustained(updates: DataFrame, points: int) -> DataFrame:

@@ -18,12 +18,14 @@ INTERVAL_OUT = "key string, opened bigint, last_end bigint, periods bigint, hits
 class IntervalProcessor(StatefulProcessor):
     """Joins periods that are at most ``gap`` seconds apart, in whichever order they come.
 
-    Each period comes once. An interval is named by its start; where two become one, the later
+    Each period comes once, after its own end: so an interval stays for ``length``, the longest
+    period, beyond the time at which a period could still begin. An interval is named by its start; where two become one, the later
     start is returned with no periods.
     """
 
-    def __init__(self, gap: int) -> None:
+    def __init__(self, gap: int, length: int) -> None:
         self.gap = gap
+        self.stay = gap + length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -47,7 +49,7 @@ class IntervalProcessor(StatefulProcessor):
         for start in changed:
             if start in known:
                 self.state.updateValue((start,), known[start])
-                self.handle.registerTimer((known[start][0] + self.gap) * 1000 + 1)
+                self.handle.registerTimer((known[start][0] + self.stay) * 1000 + 1)
             else:
                 if self.state.containsKey((start,)):
                     self.state.removeKey((start,))
@@ -57,7 +59,7 @@ class IntervalProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         for k, v in list(self.state.iterator()):
-            if (v[0] + self.gap) * 1000 < now:
+            if (v[0] + self.stay) * 1000 < now:
                 self.state.removeKey(k)
                 yield Row(key=key[0], opened=k[0], last_end=v[0], periods=v[1], hits=v[2], is_open=False)
 
