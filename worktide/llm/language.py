@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktide.llm import batches
+from worktide.operators.staging import stage
 
 UNKNOWN = "und"
 # Expected number of texts per language to learn from; all, where there are fewer.
@@ -130,7 +131,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
     ).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
-    share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
+    # One row per language, written, so that its size decides how Spark joins it.
+    share = stage(counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share")))
     chance = F.pmod(F.xxhash64(F.col("key"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.join(share, "lang").where(chance < F.col("share"))
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, bin int, n bigint")
