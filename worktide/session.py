@@ -23,6 +23,9 @@ RUNTIME_CONF = {
     # key may hold a third of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of long texts stay small in the JVM and in Python.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 # transformWithState needs the RocksDB store.
