@@ -89,3 +89,23 @@ def test_wrapper_stays_bounded():
         own = x.page_wrapper(x.tree(body))
         whole = own if whole is None else x.merged(whole, own)
     assert len(whole[3]) <= x.LEVEL
+
+
+def test_each_template_of_a_host_has_its_root(spark):
+    def body(i, n=4):
+        return "".join(f"<p>word{i}x{k} of page {i} and part {k} of it</p>" for k in range(n))
+
+    shells = ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<section>{}</section>"]
+    rows, want = [], {}
+    for i in range(60):
+        shell = shells[0 if i % 10 < 7 else i % 10 - 6]
+        # One host with four templates, one with two div templates, and pages without host.
+        for k, (host, own) in enumerate([
+            ("http://m.com/", shell), ("http://d.com/", "<div class='{}'>{{}}</div>".format("ab"[i % 5 == 0])), (None, shell),
+        ]):
+            key = 100 * k + i
+            url = host and f"{host}{i}"
+            rows.append((key, url, f"<html><body><h4>Site</h4>{own.format(body(key))}</body></html>"))
+            want[key] = [f"word{key}x{p} of page {key} and part {p} of it" for p in range(4)]
+    got = texts(spark, rows)
+    assert {k: v.split("\n") for k, v in got.items()} == want

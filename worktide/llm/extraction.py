@@ -7,11 +7,13 @@ equal runs become a repeated group, and text that differs becomes a slot. Infere
 may be done in any grouping, so each task folds the pages it reads into one wrapper per host and
 only wrappers, not pages, are shuffled and folded on.
 
-A wrapper decides what a host's main text is. Its root is the host's article element; without one,
-the deepest element that holds most of the text outside links. Below the root, elements are left out
-that are menus, headers, footers, sidebars, notices, adverts, forms, comments or code by tag or
-class, and repeated groups that are mostly links. Without an article element, text that is the same
-on all of several pages is part of the template and left out as well.
+Roots of the main text are found per page: its article elements; without one, its main element;
+without one, the element that holds most of the text outside links on the host's pages of this
+kind, if it holds half of this page's; else the deepest element that holds most of this page's.
+Below the root, elements are left out that are menus, headers, footers, sidebars, notices, adverts,
+forms, comments or code by tag or class, and repeated groups that the wrapper shows to be mostly
+links. Without an article or main element, text that is the same on all of several pages is part of
+the template and left out as well, unless nothing else is on the page.
 
 Blocks are the text between block elements; text inside inline elements belongs to the block around
 them. Character references are decoded, and white space inside a block, line breaks included,
@@ -70,6 +72,9 @@ LEVEL = 32
 # Hosts whose wrappers a task holds at once.
 HOSTS = 2000
 PAGES_FOR_CONSTANT = 3
+# Between the steps of a path; names hold no white space.
+SEP = "\n"
+NO_ROOT = ("p", "li", "td")
 
 
 class Node:
@@ -279,7 +284,7 @@ def _walk(wrapper: list, path: str, many: bool, out: dict) -> None:
         for part in parts:
             _walk(part, path, many or most > 1, out)
         return
-    path = f"{path}/{name}" if path else name
+    path = f"{path}{SEP}{name}" if path else name
     own = out.setdefault(path, {"text": None, "many": False})
     own["text"] = _text(own["text"], text)
     own["many"] |= many or most > 1
@@ -287,52 +292,109 @@ def _walk(wrapper: list, path: str, many: bool, out: dict) -> None:
         _walk(part, path, False, out)
 
 
+def _within(path: str, some: set[str]) -> bool:
+    """Whether the path or one above it is among ``some``."""
+    while path:
+        if path in some:
+            return True
+        path = path.rpartition(SEP)[0]
+    return False
+
+
 def decide(wrapper: list, pages: int) -> dict:
-    """Paths of the roots of the main text and of what is left out below them."""
+    """Paths of the root of pages without article and main, of menus and of constant text."""
     paths: dict[str, dict] = {}
     _walk(wrapper, "", False, paths)
 
     def tag(path: str) -> str:
-        return path.rpartition("/")[2].partition(".")[0]
-
-    for path, own in paths.items():
-        below = [x["text"] for p, x in paths.items() if (p == path or p.startswith(path + "/")) and x["text"]]
-        own["chars"] = sum(t[1] for t in below)
-        own["links"] = sum(t[2] for t in below)
-    menus = [
+        return path.rpartition(SEP)[2].partition(".")[0]
+
+    def sums(own: dict[str, int]) -> dict[str, int]:
+        out = dict.fromkeys(paths, 0)
+        for path, n in own.items():
+            while n and path:
+                out[path] += n
+                path = path.rpartition(SEP)[0]
+        return out
+
+    chars = sums({p: x["text"][1] if x["text"] else 0 for p, x in paths.items()})
+    links = sums({p: x["text"][2] if x["text"] else 0 for p, x in paths.items()})
+    menus = {
         p for p, x in paths.items()
-        if x["many"] and x["chars"] and 10 * x["links"] > 8 * x["chars"] and tag(p) not in ("p", "body", "html")
+        if x["many"] and chars[p] and 10 * links[p] > 8 * chars[p] and tag(p) not in ("p", "body", "html")
+    }
+    # Pages with an article or main element need no inferred root.
+    others = menus | {p for p in paths if tag(p) in ("article", "main")}
+    own = {p: x["text"][1] - x["text"][2] if x["text"] and not _within(p, others) else 0 for p, x in paths.items()}
+    total, inside = sum(own.values()), sums(own)
+    most = [p for p in paths if total and 10 * inside[p] >= 7 * total and tag(p) not in NO_ROOT]
+    constant = [
+        p for p, x in paths.items()
+        if pages >= PAGES_FOR_CONSTANT and x["text"] and x["text"][0] == pages and x["text"][3] is not None
     ]
-
-    def clear(path: str) -> bool:
-        return not any(path == m or path.startswith(m + "/") for m in menus)
-
-    roots: list[str] = []
-    for wanted in ("article", "main"):
-        if not roots:
-            found = [p for p, x in paths.items() if tag(p) == wanted and x["chars"] and clear(p)]
-            roots = [p for p in found if not any(p.startswith(q + "/") for q in found)]
-    constant: list[str] = []
-    if not roots:
-        own = {p: (x["text"][1] - x["text"][2] if x["text"] and clear(p) else 0) for p, x in paths.items()}
-        total = sum(own.values())
-        inside = {
-            p: sum(n for q, n in own.items() if q == p or q.startswith(p + "/")) for p in paths
-        }
-        most = [p for p in paths if total and 10 * inside[p] >= 7 * total and tag(p) not in ("p", "li", "td")]
-        roots = [max(most, key=lambda p: p.count("/"))] if most else ["#page"]
-        constant = [
-            p for p, x in paths.items()
-            if pages >= PAGES_FOR_CONSTANT and x["text"] and x["text"][0] == pages and x["text"][3] is not None
-        ]
-    return {"roots": roots, "left_out": sorted(set(menus) | set(constant))}
+    return {
+        "roots": [max(most, key=lambda p: p.count(SEP))] if most else [],
+        "menus": sorted(menus),
+        "constant": constant,
+    }
 
 
 # Text
 
 
-def main_text(page: str, decision: dict) -> str:
-    roots, left_out = set(decision["roots"]), set(decision["left_out"])
+def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
+    """Roots of a page, and whether they are its article or main elements."""
+    # (node, path, place of the parent, depth), parents first.
+    places: list[tuple[Node, str, int, int]] = []
+    work: list[tuple[Node, str, int, int]] = [(top, "", -1, 0)]
+    while work:
+        node, path, up, depth = work.pop()
+        path = f"{path}{SEP}{node.sig}" if path else node.sig
+        if node.left_out or path in how["menus"]:
+            continue
+        at = len(places)
+        places.append((node, path, up, depth))
+        work.extend((kid, path, at, depth + 1) for kid in reversed(node.kids) if isinstance(kid, Node))
+    some = [any(isinstance(k, tuple) and not k[0].isspace() for k in x[0].kids) for x in places]
+    for i in range(len(places) - 1, 0, -1):
+        some[places[i][2]] |= some[i]
+
+    def outermost(wanted: Callable[[int], bool]) -> list[int]:
+        found, inside = [], [False] * len(places)
+        for i, place in enumerate(places):
+            inside[i] = i > 0 and inside[place[2]]
+            if not inside[i] and some[i] and wanted(i):
+                inside[i] = True
+                found.append(i)
+        return found
+
+    for tag in ("article", "main"):
+        found = outermost(lambda i, tag=tag: places[i][0].tag == tag)
+        if found:
+            return [places[i][0] for i in found], True
+    # Characters outside links and template text.
+    plain = [
+        0 if path in how["constant"] else
+        sum(len(k[0].strip()) for k in node.kids if isinstance(k, tuple) and not k[1])
+        for node, path, _, _ in places
+    ]
+    for i in range(len(places) - 1, 0, -1):
+        plain[places[i][2]] += plain[i]
+    found = outermost(lambda i: places[i][1] in how["roots"])
+    # On a page of another template the same path may hold a part only.
+    if found and 2 * sum(plain[i] for i in found) >= plain[0]:
+        return [places[i][0] for i in found], False
+    most = [
+        i for i in range(len(places))
+        if plain[0] and 10 * plain[i] >= 7 * plain[0] and places[i][0].tag not in NO_ROOT
+    ]
+    return [places[max(most, key=lambda i: places[i][3])][0] if most else top], False
+
+
+def _read(top: Node, how: dict) -> str:
+    found, marked = _roots(top, how)
+    roots = {id(x) for x in found}
+    constant = () if marked else how["constant"]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -343,7 +405,7 @@ def main_text(page: str, decision: dict) -> str:
             blocks.append(text)
 
     # (node, path, inside a root); None ends a block.
-    work: list = [(tree(page), "", False)]
+    work: list = [(top, "", False)]
     while work:
         item = work.pop()
         if item is None:
@@ -359,19 +421,33 @@ def main_text(page: str, decision: dict) -> str:
             if inside and not inline:
                 end_block()
             continue
-        path = f"{path}/{node.sig}" if path else node.sig
-        inside = inside or path in roots
-        if path in left_out:
+        path = f"{path}{SEP}{node.sig}" if path else node.sig
+        inside = inside or id(node) in roots
+        if path in how["menus"]:
             end_block()
             continue
         if not inline:
             end_block()
             work.append(None)
-        work.extend((kid, path, inside) for kid in reversed(node.kids))
+        # Template text goes, the elements beside it stay.
+        dropped = path in constant
+        work.extend(
+            (kid, path, inside) for kid in reversed(node.kids) if not (dropped and isinstance(kid, tuple))
+        )
     end_block()
     return "\n".join(blocks)
 
 
+def prepared(decision: dict) -> dict:
+    return {k: frozenset(v) for k, v in decision.items()}
+
+
+def main_text(page: str, decision: dict) -> str:
+    top, how = tree(page), prepared(decision)
+    # A page of nothing but template text keeps it.
+    return _read(top, how) or (_read(top, how | {"constant": frozenset()}) if how["constant"] else "")
+
+
 # Spark
 
 
@@ -464,7 +540,7 @@ def _extractor() -> Callable:
                     if how not in known:
                         if len(known) >= HOSTS:
                             known.clear()
-                        known[how] = json.loads(how)
+                        known[how] = prepared(json.loads(how))
                     texts.append(main_text(page.as_py() or "", known[how]))
                 done += len(part)
                 out.append(pa.array(texts, pa.string()))
