@@ -109,3 +109,36 @@ def test_each_template_of_a_host_has_its_root(spark):
             want[key] = [f"word{key}x{p} of page {key} and part {p} of it" for p in range(4)]
     got = texts(spark, rows)
     assert {k: v.split("\n") for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("n", [5, 400])
+def test_names_of_their_own_at_any_number_of_pages(spark, n):
+    rows, want = [], {}
+    for i in range(n):
+        slug = "".join(chr(97 + int(c)) for c in str(7919 * i + 100003))
+        body = f"<h1>t{slug}</h1><p>text of {slug}</p><p>and its end {slug * 3}</p>"
+        menu = "".join(f"<li><a href='/{k}'>Menu {k}</a></li>" for k in range(6))
+        for k, shell in enumerate(["article", "div"]):
+            rows.append((
+                1000 * k + i, f"http://{shell}.com/{i}",
+                f"<body class='{slug}'><ul>{menu}</ul><{shell} id='x-{slug}'>{body}</{shell}>"
+                "<section><h6>All rights kept</h6></section></body>",
+            ))
+            want[1000 * k + i] = f"t{slug}\ntext of {slug}\nand its end {slug * 3}"
+    assert texts(spark, rows) == want
+
+
+def test_levels_by_tag_stay_so_in_any_grouping():
+    pages = [x.page_wrapper(x.tree(f"<div class='{chr(97 + i % 26) * (1 + i // 26)}'><b class=ad>x</b><p>t{i}</p></div>"))
+             for i in range(300)]
+
+    def folded(some):
+        whole = some[0]
+        for own in some[1:]:
+            whole = x.merged(whole, own)
+        return whole
+
+    one = folded(pages)
+    assert [p[0] for p in one[3]] == [x.BY_TAG] and [p[0] for p in one[3][0][3]] == ["div"]
+    assert x.decide(one, 300) == x.decide(x.merged(folded(pages[:110]), folded(pages[110:])), 300)
+    assert x.decide(one, 300) == x.decide(x.merged(folded(pages[:20]), folded(pages[20:])), 300)

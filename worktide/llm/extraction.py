@@ -69,6 +69,8 @@ KEEPS = frozenset("ul ol dl table select div article section main body td th".sp
 
 # Elements of one level before they are folded into one repeated group of optional elements.
 LEVEL = 32
+# Name of a group of tags, for levels of over twice as many signatures.
+BY_TAG = "(*"
 # Hosts whose wrappers a task holds at once.
 HOSTS = 2000
 PAGES_FOR_CONSTANT = 3
@@ -82,7 +84,8 @@ class Node:
 
     def __init__(self, tag: str, names: list[str]):
         self.tag = tag
-        self.sig = tag + "".join("." + n for n in names)
+        # There is one html and one body, whatever their names.
+        self.sig = tag if tag in ("html", "body") else tag + "".join("." + n for n in names)
         self.left_out = tag in LEFT_OUT or any(
             part in NAMES_LEFT_OUT for n in names for part in (n, *re.split("[-_]", n))
         )
@@ -193,23 +196,34 @@ def fold(parts: list) -> list:
         parts = out
     if len(parts) > LEVEL:
         known: dict[str, list] = {}
-        for part in parts:
-            for own in part[3] if part[0].startswith("(") else [part]:
-                own = [own[0], 0, own[2], own[3], own[4]]
-                known[own[0]] = merged(known[own[0]], own) if own[0] in known else own
-        if len(known) > 2 * LEVEL:
-            known = _by_tag(known)
-        parts = [group(list(known.values()))]
+        for own in _elements(parts):
+            known[own[0]] = merged(known[own[0]], own) if own[0] in known else own
+        parts = [by_tag(parts) if len(known) > 2 * LEVEL else group(list(known.values()))]
     return parts
 
 
-def _by_tag(known: dict[str, list]) -> dict[str, list]:
+def _elements(parts: list) -> Iterator[list]:
+    """Elements of a level and of its groups, as optional ones."""
+    for part in parts:
+        if part[0].startswith("("):
+            for own in _elements(part[3]):
+                yield [own[0], 0, max(own[2], part[2]), *own[3:]]
+        else:
+            yield [part[0], 0, *part[2:]]
+
+
+def by_tag(parts: list) -> list:
+    """A level of very many signatures as one group of tags."""
     out: dict[str, list] = {}
-    for part in known.values():
-        tag = part[0].partition(".")[0]
+    for part in _elements(parts):
+        tag = bare(part[0])
         part = [tag, *part[1:]]
         out[tag] = merged(out[tag], part) if tag in out else part
-    return out
+    return [BY_TAG, 1, 2, [out[tag] for tag in sorted(out)], None]
+
+
+def bare(sig: str) -> str:
+    return sig.partition(".")[0]
 
 
 def group_name(parts: list) -> str:
@@ -243,6 +257,9 @@ def _optional(part: list) -> list:
 def aligned(a: list, b: list) -> list:
     """Longest common subsequence by signature; the rest is optional."""
     names_a, names_b = [x[0] for x in a], [x[0] for x in b]
+    # Once a level goes by tags, it does whatever is aligned with it.
+    if BY_TAG in names_a or BY_TAG in names_b:
+        return [by_tag([*a, *b])]
     if names_a == names_b:
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -278,18 +295,26 @@ def expression(wrapper: list) -> str:
 # Decisions
 
 
-def _walk(wrapper: list, path: str, many: bool, out: dict) -> None:
+def step(path: str, sig: str, tags: set[str]) -> str:
+    """Path of an element below ``path``; ``tags``: paths below which elements go by tag."""
+    sig = bare(sig) if path in tags else sig
+    return f"{path}{SEP}{sig}" if path else sig
+
+
+def _walk(wrapper: list, path: str, many: bool, tags: set[str], out: dict) -> None:
     name, _, most, parts, text = wrapper
     if name.startswith("("):
+        if name == BY_TAG:
+            tags.add(path)
         for part in parts:
-            _walk(part, path, many or most > 1, out)
+            _walk(part, path, many or most > 1, tags, out)
         return
-    path = f"{path}{SEP}{name}" if path else name
+    path = step(path, name, tags)
     own = out.setdefault(path, {"text": None, "many": False})
     own["text"] = _text(own["text"], text)
     own["many"] |= many or most > 1
     for part in parts:
-        _walk(part, path, False, out)
+        _walk(part, path, False, tags, out)
 
 
 def _within(path: str, some: set[str]) -> bool:
@@ -303,11 +328,17 @@ def _within(path: str, some: set[str]) -> bool:
 
 def decide(wrapper: list, pages: int) -> dict:
     """Paths of the root of pages without article and main, of menus and of constant text."""
-    paths: dict[str, dict] = {}
-    _walk(wrapper, "", False, paths)
+    # Equal paths may have one level by tags and one not; then both go by tags.
+    tags: set[str] = set()
+    while True:
+        paths: dict[str, dict] = {}
+        before = len(tags)
+        _walk(wrapper, "", False, tags, paths)
+        if len(tags) == before:
+            break
 
     def tag(path: str) -> str:
-        return path.rpartition(SEP)[2].partition(".")[0]
+        return bare(path.rpartition(SEP)[2])
 
     def sums(own: dict[str, int]) -> dict[str, int]:
         out = dict.fromkeys(paths, 0)
@@ -336,6 +367,7 @@ def decide(wrapper: list, pages: int) -> dict:
         "roots": [max(most, key=lambda p: p.count(SEP))] if most else [],
         "menus": sorted(menus),
         "constant": constant,
+        "tags": sorted(tags),
     }
 
 
@@ -349,7 +381,7 @@ def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
     work: list[tuple[Node, str, int, int]] = [(top, "", -1, 0)]
     while work:
         node, path, up, depth = work.pop()
-        path = f"{path}{SEP}{node.sig}" if path else node.sig
+        path = step(path, node.sig, how["tags"])
         if node.left_out or path in how["menus"]:
             continue
         at = len(places)
@@ -421,7 +453,7 @@ def _read(top: Node, how: dict) -> str:
             if inside and not inline:
                 end_block()
             continue
-        path = f"{path}{SEP}{node.sig}" if path else node.sig
+        path = step(path, node.sig, how["tags"])
         inside = inside or id(node) in roots
         if path in how["menus"]:
             end_block()
