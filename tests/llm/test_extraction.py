@@ -142,3 +142,19 @@ def test_levels_by_tag_stay_so_in_any_grouping():
     assert [p[0] for p in one[3]] == [x.BY_TAG] and [p[0] for p in one[3][0][3]] == ["div"]
     assert x.decide(one, 300) == x.decide(x.merged(folded(pages[:110]), folded(pages[110:])), 300)
     assert x.decide(one, 300) == x.decide(x.merged(folded(pages[:20]), folded(pages[20:])), 300)
+
+
+def test_names_do_not_empty_a_page(spark):
+    body = "".join(f"<p>Paragraph {k} of the text that matters</p>" for k in range(4))
+    shells = [
+        "<body class='has-sidebar'><div>{}</div>", "<body><div id='main' class='with-sidebar'>{}</div>",
+        "<body><article class='post comment-open'>{}</article>", "<body class='login'><main class='widget'>{}</main>",
+        "<body><form action='x'><article>{}</article></form>", "<body><form action='x'><div>{}</div></form>",
+        "<body><div class='widget'>{}</div>", "<body><div class='no-share'>{}</div>",
+    ]
+    left_out = "<div class='sidebar'>Side</div><div id='cookie-notice'>Cookies</div><form>Mail <input></form>"
+    rows = [(i, f"http://s{i}.com/", f"<html>{x.format(body)}{left_out}</body></html>") for i, x in enumerate(shells)]
+    # The same shells on one host.
+    rows += [(100 + i, "http://all.com/", html) for i, _, html in rows]
+    want = "\n".join(f"Paragraph {k} of the text that matters" for k in range(4))
+    assert texts(spark, rows) == {i: want for i, _, _ in rows}

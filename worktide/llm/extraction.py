@@ -11,7 +11,8 @@ Roots of the main text are found per page: its article elements; without one, it
 without one, the element that holds most of the text outside links on the host's pages of this
 kind, if it holds half of this page's; else the deepest element that holds most of this page's.
 Below the root, elements are left out that are menus, headers, footers, sidebars, notices, adverts,
-forms, comments or code by tag or class, and repeated groups that the wrapper shows to be mostly
+forms, comments or code by tag or by a whole name (forms and names only where they do not hold most
+of the host's text, or all of a page's), and repeated groups that the wrapper shows to be mostly
 links. Without an article or main element, text that is the same on all of several pages is part of
 the template and left out as well, unless nothing else is on the page.
 
@@ -54,7 +55,7 @@ INLINE = frozenset(
     "samp small span strike strong sub sup time tt u var wbr".split()
 )
 LEFT_OUT = frozenset(
-    "aside button canvas dialog embed footer form head header iframe input map menu nav noembed noframes "
+    "aside button canvas dialog embed footer head header iframe input map menu nav noembed noframes "
     "noscript object script select style svg template textarea title audio video".split()
 )
 NAMES_LEFT_OUT = frozenset(
@@ -63,6 +64,8 @@ NAMES_LEFT_OUT = frozenset(
     "notices notification pagination popup promo promoted related reply share sharing sidebar signup social "
     "sponsor sponsored subscribe tags toolbar widget".split()
 )
+# Never left out by name.
+NAMED_AT_WILL = frozenset("html body main article".split())
 ENDS_WITH = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS = frozenset("ul ol dl table select div article section main body td th".split())
@@ -74,25 +77,36 @@ BY_TAG = "(*"
 # Hosts whose wrappers a task holds at once.
 HOSTS = 2000
 PAGES_FOR_CONSTANT = 3
+# Before the signature of an element that is left out unless it holds most of the text.
+DOUBTFUL = "!"
 # Between the steps of a path; names hold no white space.
 SEP = "\n"
 NO_ROOT = ("p", "li", "td")
 
 
 class Node:
-    __slots__ = ("sig", "tag", "kids", "left_out")
+    __slots__ = ("sig", "tag", "kids", "left_out", "doubtful")
 
     def __init__(self, tag: str, names: list[str]):
         self.tag = tag
         # There is one html and one body, whatever their names.
         self.sig = tag if tag in ("html", "body") else tag + "".join("." + n for n in names)
-        self.left_out = tag in LEFT_OUT or any(
-            part in NAMES_LEFT_OUT for n in names for part in (n, *re.split("[-_]", n))
+        self.left_out = tag in LEFT_OUT
+        # Left out unless it holds most of the text: a form, and what has a name of the list.
+        self.doubtful = not self.left_out and tag not in NAMED_AT_WILL and (
+            tag == "form" or any(map(_listed, names))
         )
+        if self.doubtful:
+            self.sig = DOUBTFUL + self.sig
         # Nodes, and texts as (text, whether in a link).
         self.kids: list = []
 
 
+def _listed(name: str) -> bool:
+    """The whole name, or all of its hyphen parts, are in the list."""
+    return name in NAMES_LEFT_OUT or all(part in NAMES_LEFT_OUT for part in re.split("[-_]+", name.strip("-_")))
+
+
 def _names(attributes: str) -> list[str]:
     if "=" not in attributes:
         return []
@@ -133,7 +147,7 @@ def tree(page: str) -> Node:
         else:
             names = _names(m[3] or m[6] or "")
             node = Node(tag, names)
-            if tag in INLINE and not node.left_out:
+            if tag in INLINE and not (node.left_out or node.doubtful):
                 continue
             if tag not in INLINE:
                 links = 0
@@ -338,7 +352,7 @@ def decide(wrapper: list, pages: int) -> dict:
             break
 
     def tag(path: str) -> str:
-        return bare(path.rpartition(SEP)[2])
+        return bare(path.rpartition(SEP)[2]).removeprefix(DOUBTFUL)
 
     def sums(own: dict[str, int]) -> dict[str, int]:
         out = dict.fromkeys(paths, 0)
@@ -348,6 +362,14 @@ def decide(wrapper: list, pages: int) -> dict:
                 path = path.rpartition(SEP)[0]
         return out
 
+    unlinked = {p: x["text"][1] - x["text"][2] if x["text"] else 0 for p, x in paths.items()}
+    total, inside = sum(unlinked.values()), sums(unlinked)
+    doubtful = {p for p in paths if p.rpartition(SEP)[2].startswith(DOUBTFUL)}
+    kept = {p for p in doubtful if total and 10 * inside[p] >= 7 * total}
+    doubtful -= kept
+    for p, x in paths.items():
+        if _within(p, doubtful):
+            x["text"] = None
     chars = sums({p: x["text"][1] if x["text"] else 0 for p, x in paths.items()})
     links = sums({p: x["text"][2] if x["text"] else 0 for p, x in paths.items()})
     menus = {
@@ -368,12 +390,18 @@ def decide(wrapper: list, pages: int) -> dict:
         "menus": sorted(menus),
         "constant": constant,
         "tags": sorted(tags),
+        "kept": sorted(kept),
     }
 
 
 # Text
 
 
+def _is_out(node: Node, path: str, kept: set) -> bool:
+    """``kept``: paths of the wrapper and ids of the page's own elements."""
+    return node.left_out or (node.doubtful and path not in kept and id(node) not in kept)
+
+
 def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
     """Roots of a page, and whether they are its article or main elements."""
     # (node, path, place of the parent, depth), parents first.
@@ -382,7 +410,7 @@ def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
     while work:
         node, path, up, depth = work.pop()
         path = step(path, node.sig, how["tags"])
-        if node.left_out or path in how["menus"]:
+        if path in how["menus"] or _is_out(node, path, how["kept"]):
             continue
         at = len(places)
         places.append((node, path, up, depth))
@@ -449,11 +477,11 @@ def _read(top: Node, how: dict) -> str:
                 held.append(node[0])
             continue
         inline = node.tag in INLINE
-        if node.left_out:
+        path = step(path, node.sig, how["tags"])
+        if _is_out(node, path, how["kept"]):
             if inside and not inline:
                 end_block()
             continue
-        path = step(path, node.sig, how["tags"])
         inside = inside or id(node) in roots
         if path in how["menus"]:
             end_block()
@@ -474,10 +502,29 @@ def prepared(decision: dict) -> dict:
     return {k: frozenset(v) for k, v in decision.items()}
 
 
+def _kept(top: Node) -> set[int]:
+    """Ids of the doubtful elements that hold most of the page's text."""
+    nodes, above = [top], [-1]
+    for i, node in enumerate(nodes):
+        some = [k for k in node.kids if isinstance(k, Node) and not k.left_out]
+        nodes += some
+        above += [i] * len(some)
+    plain = [sum(len(k[0].strip()) for k in x.kids if isinstance(k, tuple) and not k[1]) for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        plain[above[i]] += plain[i]
+    return {id(x) for x, n in zip(nodes, plain, strict=True) if x.doubtful and n and 10 * n >= 7 * plain[0]}
+
+
 def main_text(page: str, decision: dict) -> str:
     top, how = tree(page), prepared(decision)
-    # A page of nothing but template text keeps it.
-    return _read(top, how) or (_read(top, how | {"constant": frozenset()}) if how["constant"] else "")
+    text = _read(top, how)
+    # A page of nothing but template text keeps it, and one of nothing but a doubtful element that.
+    if not text and how["constant"]:
+        text = _read(top, how := how | {"constant": frozenset()})
+    if not text:
+        kept = _kept(top)
+        text = _read(top, how | {"kept": how["kept"] | kept}) if kept else ""
+    return text
 
 
 # Spark
