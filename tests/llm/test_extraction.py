@@ -158,3 +158,27 @@ def test_names_do_not_empty_a_page(spark):
     rows += [(100 + i, "http://all.com/", html) for i, _, html in rows]
     want = "\n".join(f"Paragraph {k} of the text that matters" for k in range(4))
     assert texts(spark, rows) == {i: want for i, _, _ in rows}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    body = "<h1>Head</h1><p>The one paragraph of it</p><p>{}</p>"
+    rows = [(i, "http://one.com/", f"<body><div>{body.format('end')}</div></body>") for i in range(5)]
+    rows += [(10 + i, "http://two.com/", f"<body><div>{body.format('end' * (1 + i % 2))}</div></body>") for i in range(6)]
+    # From three different pages on, the heading is the template's.
+    rows += [(20 + i, "http://three.com/", f"<body><h4>Site</h4><div><p>{'end' * (3 + i)}</p></div></body>") for i in range(3)]
+    got = texts(spark, rows)
+    for i, _, _ in rows[:11]:
+        end = "end" if i < 10 else "end" * (1 + i % 2)
+        assert got[i] == f"Head\nThe one paragraph of it\n{end}"
+    assert [got[20 + i] for i in range(3)] == ["end" * (3 + i) for i in range(3)]
+
+
+@pytest.mark.parametrize("shell", ["article", "main"])
+def test_linked_groups_of_an_article_stay(spark, shell):
+    references = "".join(f"<li><a href='{k}'>Reference {k}</a></li>" for k in range(5))
+    body = f"<h2><a href='#a'>One</a></h2><p>Text</p><h2><a href='#b'>Two</a></h2><p>More</p><ol>{references}</ol>"
+    rows = [(i, "http://r.com/", page(i, body, shell)) for i in range(4)]
+    want = "\n".join(["One", "Text", "Two", "More", *(f"Reference {k}" for k in range(5))])
+    # A page of nothing else has its list.
+    rows.append((9, "http://r.com/9", page(9, f"<ol>{references}</ol>", shell)))
+    assert texts(spark, rows) == {i: want for i in range(4)} | {9: want[want.index("Reference"):]}

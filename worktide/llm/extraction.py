@@ -12,9 +12,9 @@ without one, the element that holds most of the text outside links on the host's
 kind, if it holds half of this page's; else the deepest element that holds most of this page's.
 Below the root, elements are left out that are menus, headers, footers, sidebars, notices, adverts,
 forms, comments or code by tag or by a whole name (forms and names only where they do not hold most
-of the host's text, or all of a page's), and repeated groups that the wrapper shows to be mostly
-links. Without an article or main element, text that is the same on all of several pages is part of
-the template and left out as well, unless nothing else is on the page.
+of the host's text, or all of a page's), and, outside article and main elements, repeated groups that the wrapper shows to be mostly links.
+Without an article or main element, text that is the same on all of at least three pages that differ
+in their text is part of the template and left out as well, unless nothing else is on the page.
 
 Blocks are the text between block elements; text inside inline elements belongs to the block around
 them. Character references are decoded, and white space inside a block, line breaks included,
@@ -191,6 +191,18 @@ def page_wrapper(node: Node) -> list:
     return [node.sig, 1, 1, fold(parts), slot]
 
 
+def text_digest(top: Node) -> str:
+    """Digest of a page's text; copies of a page have the same."""
+    texts, work = [], [top]
+    while work:
+        node = work.pop()
+        if isinstance(node, tuple):
+            texts += node[0].split()
+        elif not (node.left_out or node.doubtful):
+            work.extend(reversed(node.kids))
+    return _digest(" ".join(texts))
+
+
 def fold(parts: list) -> list:
     """Adjacent equal runs as repeated groups; a long level as one group of optional elements."""
     for width in (1, 2, 3):
@@ -340,8 +352,12 @@ def _within(path: str, some: set[str]) -> bool:
     return False
 
 
-def decide(wrapper: list, pages: int) -> dict:
-    """Paths of the root of pages without article and main, of menus and of constant text."""
+def decide(wrapper: list, pages: int, different: int | None = None) -> dict:
+    """Paths of the root of pages without article and main, of menus and of constant text.
+
+    ``different``: pages that differ in their text, as far as counted; by default all do.
+    """
+    different = pages if different is None else different
     # Equal paths may have one level by tags and one not; then both go by tags.
     tags: set[str] = set()
     while True:
@@ -383,7 +399,7 @@ def decide(wrapper: list, pages: int) -> dict:
     most = [p for p in paths if total and 10 * inside[p] >= 7 * total and tag(p) not in NO_ROOT]
     constant = [
         p for p, x in paths.items()
-        if pages >= PAGES_FOR_CONSTANT and x["text"] and x["text"][0] == pages and x["text"][3] is not None
+        if different >= PAGES_FOR_CONSTANT and x["text"] and x["text"][0] == pages and x["text"][3] is not None
     ]
     return {
         "roots": [max(most, key=lambda p: p.count(SEP))] if most else [],
@@ -404,16 +420,18 @@ def _is_out(node: Node, path: str, kept: set) -> bool:
 
 def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
     """Roots of a page, and whether they are its article or main elements."""
-    # (node, path, place of the parent, depth), parents first.
+    # (node, path, place of the parent, depth), parents first, and whether it is in a menu.
     places: list[tuple[Node, str, int, int]] = []
+    in_menu: list[bool] = []
     work: list[tuple[Node, str, int, int]] = [(top, "", -1, 0)]
     while work:
         node, path, up, depth = work.pop()
         path = step(path, node.sig, how["tags"])
-        if path in how["menus"] or _is_out(node, path, how["kept"]):
+        if _is_out(node, path, how["kept"]):
             continue
         at = len(places)
         places.append((node, path, up, depth))
+        in_menu.append(path in how["menus"] or (up >= 0 and in_menu[up]))
         work.extend((kid, path, at, depth + 1) for kid in reversed(node.kids) if isinstance(kid, Node))
     some = [any(isinstance(k, tuple) and not k[0].isspace() for k in x[0].kids) for x in places]
     for i in range(len(places) - 1, 0, -1):
@@ -423,7 +441,7 @@ def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
         found, inside = [], [False] * len(places)
         for i, place in enumerate(places):
             inside[i] = i > 0 and inside[place[2]]
-            if not inside[i] and some[i] and wanted(i):
+            if not inside[i] and some[i] and not in_menu[i] and wanted(i):
                 inside[i] = True
                 found.append(i)
         return found
@@ -434,9 +452,9 @@ def _roots(top: Node, how: dict) -> tuple[list[Node], bool]:
             return [places[i][0] for i in found], True
     # Characters outside links and template text.
     plain = [
-        0 if path in how["constant"] else
+        0 if menu or path in how["constant"] else
         sum(len(k[0].strip()) for k in node.kids if isinstance(k, tuple) and not k[1])
-        for node, path, _, _ in places
+        for (node, path, _, _), menu in zip(places, in_menu, strict=True)
     ]
     for i in range(len(places) - 1, 0, -1):
         plain[places[i][2]] += plain[i]
@@ -483,7 +501,7 @@ def _read(top: Node, how: dict) -> str:
                 end_block()
             continue
         inside = inside or id(node) in roots
-        if path in how["menus"]:
+        if path in how["menus"] and not (marked and inside):
             end_block()
             continue
         if not inline:
@@ -530,24 +548,35 @@ def main_text(page: str, decision: dict) -> str:
 # Spark
 
 
+def _different(a: list[str], b: list[str]) -> list[str]:
+    """Digests of different pages, as many as constant text needs."""
+    return sorted({*a, *b})[:PAGES_FOR_CONSTANT]
+
+
 def _folder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[int, list]] = {}
+    known: dict[str, tuple[int, list[str], list]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, n, json.dumps(w)) for h, (n, w) in known.items()]
+        rows = [(h, n, seen, json.dumps(w)) for h, (n, seen, w) in known.items()]
         known.clear()
-        hosts, pages, wrappers = zip(*rows, strict=True)
+        hosts, pages, digests, wrappers = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(wrappers, pa.string())],
-            ["host", "pages", "wrapper"],
+            [
+                pa.array(hosts, pa.string()), pa.array(pages, pa.int64()),
+                pa.array(digests, pa.list_(pa.string())), pa.array(wrappers, pa.string()),
+            ],
+            ["host", "pages", "different", "wrapper"],
         )
 
     for batch in parts:
         hosts = batch.column("host").to_pylist()
         for host, page in zip(hosts, batch.column("html"), strict=True):
-            own = page_wrapper(tree(page.as_py() or ""))
-            n, old = known.get(host, (0, None))
-            known[host] = (n + 1, own if old is None else merged(old, own))
+            top = tree(page.as_py() or "")
+            own = page_wrapper(top)
+            n, seen, old = known.get(host, (0, [], None))
+            if len(seen) < PAGES_FOR_CONSTANT:
+                seen = _different(seen, [text_digest(top)])
+            known[host] = (n + 1, seen, own if old is None else merged(old, own))
             if len(known) >= HOSTS:
                 yield flush()
     if known:
@@ -556,39 +585,45 @@ def _folder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _refolder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Wrappers of equal hosts, next to each other, into one."""
-    held: tuple[str, int, list] | None = None
+    held: tuple[str, int, list[str], list] | None = None
 
     def row() -> pa.RecordBatch:
-        host, n, wrapper = held
-        return pa.RecordBatch.from_pydict({"host": [host], "pages": [n], "wrapper": [json.dumps(wrapper)]})
+        host, n, seen, wrapper = held
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([host], pa.string()), pa.array([n], pa.int64()),
+                pa.array([seen], pa.list_(pa.string())), pa.array([json.dumps(wrapper)], pa.string()),
+            ],
+            ["host", "pages", "different", "wrapper"],
+        )
 
     for batch in parts:
-        columns = [batch.column(c).to_pylist() for c in ("host", "pages", "wrapper")]
-        for host, n, text in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("host", "pages", "different", "wrapper")]
+        for host, n, seen, text in zip(*columns, strict=True):
             wrapper = json.loads(text)
             if held and held[0] == host:
-                held = (host, held[1] + n, merged(held[2], wrapper))
+                held = (host, held[1] + n, _different(held[2], seen), merged(held[3], wrapper))
             else:
                 if held:
                     yield row()
-                held = (host, n, wrapper)
+                held = (host, n, seen, wrapper)
     if held:
         yield row()
 
 
-WRAPPER_DDL = "host string, pages bigint, wrapper string"
+WRAPPER_DDL = "host string, pages bigint, different array<string>, wrapper string"
 SALTS = 32
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, pages, wrapper) of every host, as a written table."""
+    """(host, pages, different, wrapper) of every host, as a written table."""
     host, _ = host_and_path(url)
     first = pages.select(host.alias("host"), F.col(html).alias("html")).mapInArrow(_folder, WRAPPER_DDL)
     # A host of very many pages is folded in two steps, so no task gets all its partial wrappers.
     salted = first.withColumn("salt", F.pmod(F.xxhash64("wrapper", "pages"), F.lit(SALTS)))
     some = (
         salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "pages", "wrapper")
-        .select("host", "pages", "wrapper").mapInArrow(_refolder, WRAPPER_DDL)
+        .select("host", "pages", "different", "wrapper").mapInArrow(_refolder, WRAPPER_DDL)
     )
     last = (
         some.repartition("host").sortWithinPartitions("host", "pages", "wrapper")
@@ -598,14 +633,12 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 
 def _decider(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for wrapper, pages in parts:
-        yield pa.array(
-            [json.dumps(decide(json.loads(w), n)) for w, n in zip(wrapper.to_pylist(), pages.to_pylist(), strict=True)],
-            pa.string(),
-        )
+    for part in parts:
+        rows = zip(*(c.to_pylist() for c in part), strict=True)
+        yield pa.array([json.dumps(decide(json.loads(w), n, d)) for w, n, d in rows], pa.string())
 
 
-_decider.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+_decider.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
 def _extractor() -> Callable:
@@ -631,7 +664,7 @@ def _extractor() -> Callable:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text ``out``; a column of that name is replaced."""
-    decider: Column = F.arrow_udf(_decider, "string")("wrapper", "pages")
+    decider: Column = F.arrow_udf(_decider, "string")("wrapper", "pages", F.size("different"))
     # Written, so that its size decides how Spark joins it; hot hosts are split where it shuffles.
     decisions = stage(
         wrappers(pages, url, html).select(F.col("host").alias("__host"), decider.alias("__decision"))
