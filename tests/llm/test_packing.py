@@ -53,6 +53,19 @@ def test_same_ids_as_the_tokenizers_library_on_all_test_texts(spark):
         assert own.ids(text).tolist() == want.ids
 
 
+def test_long_white_space():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    own = packing.Tokenizer(vocabulary())
+    n = packing.LONG_RUN
+    for text in (
+        " " * 1_200_000, "a" + "\n" * 1_200_000 + "b", " " * n + "x", "it's" + "\n \t" * n + " 12 " + " " * n + "\n!",
+        "é" + "\u3000\xa0" * n + "日", "\x1c" * (n + 5) + " ", "a" + " " * (n - 1) + "b", "\r\n" * n,
+    ):
+        assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(3)
     bins = packing.BestFit(100, 8)

@@ -17,6 +17,7 @@ empty table gives no sequence.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,12 @@ PIECE_DDL = (
 PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
+# White space as the pattern sees it (Unicode's White_Space). Its runs are matched by backtracking,
+# which overflows the stack at about a million characters, so longer ones are cut out before.
+LONG_RUN = 100_000
+_LONG_WHITE = re.compile(
+    rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}"
+)
 
 
 def _letters() -> dict[str, int]:
@@ -72,7 +79,19 @@ class Tokenizer:
         )
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self._encoding.encode_ordinary(text), np.uint32)
+        out: list[int] = []
+        at = 0
+        for run in _LONG_WHITE.finditer(text) if len(text) >= LONG_RUN else ():
+            # All of a run but its last character is one piece; the last belongs to what follows.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self._encoding.encode_ordinary(text[at : run.start()])
+            out += self._piece(text[run.start() : end])
+            at = end
+        out += self._encoding.encode_ordinary(text[at:] if at else text)
+        return np.array(out, np.uint32)
+
+    def _piece(self, text: str) -> list[int]:
+        return self._encoding._core_bpe.encode_single_piece(text.encode())
 
 
 class BestFit:
