@@ -54,3 +54,19 @@ def test_redact(spark, documents):
 def test_masked_text_has_no_secret_left(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert s.scan(s.redact(docs)).where("size(base) > 0").count() == 0
+
+
+def test_placeholders_take_only_themselves_out(spark, documents):
+    key = "qR7tZ2mK9xW4cV8bN3jL6hG1fD5sP0aYuE7iT2oM"
+    letters = "qRtZmKxWcVbNjLhGfDsPaYuEiToMQrTzMkXwCvBn"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    given = [
+        f"https://h.com/your-account/reset/{key}", f"/example/{key}", f"12345678-{key}", f"x {letters} y",
+        f"{uuid}/{key}", f"id {uuid} end", "your-api-key-example-1", "changeme_0123456789abcdefghij", "x" * 40 + "1",
+        "internationalisation-and-localisation", "see /path/to/the/configuration/of/words here",
+    ]
+    got = {r.doc_id: r.text for r in s.redact(documents(list(enumerate(given)))).collect()}
+    for i in range(5):
+        assert s.MASK in got[i] and key not in got[i] and letters not in got[i]
+        assert not any(given[i][k : k + 20] in got[i] for k in range(len(given[i]) - 40, len(given[i]) - 19))
+    assert [got[i] for i in range(5, len(given))] == given[5:]

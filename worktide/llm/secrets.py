@@ -63,6 +63,16 @@ CLASSES = (
 ALLOWED = (
     "example", "placeholder", "changeme", "your[_-]?", "x{6,}", "0123456789", "abcdefghij", "^[0-9a-f]{8}-",
 )
+# For whole scans: placeholders are blanked where they stand, and the rest of the run is judged. Runs
+# of x need no blanking, their entropy is zero.
+BLANKED = (
+    *(("(?i)" + p, len(p)) for p in (
+        "example", "placeholder", "changeme", "your_", "your-", "your", "0123456789", "abcdefghij",
+    )),
+    ("(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])", 36),
+)
+# For whole scans: the entropy from which a window of a run of letters counts.
+LETTER_BITS = 3.9
 
 
 def term(count: int) -> int:
@@ -113,11 +123,21 @@ def _changes(s: str) -> str:
     return f"transform(sequence(1, length({s})), i -> {leave} + {enter})"
 
 
-def entropy_spans(candidates: str) -> Column:
-    """Spans of the candidates' windows over the limit of their class."""
+def _blanked(s: str) -> str:
+    for pattern, size in BLANKED:
+        s = f"regexp_replace({s}, '{pattern}', '{'_' * size}')"
+    return s
+
+
+def entropy_spans(candidates: str, whole: bool = False) -> Column:
+    """Spans of the candidates' windows over the limit of their class. With ``whole``, a
+    placeholder takes only itself out of its candidate, and runs of letters are judged too."""
     allowed = "|".join(ALLOWED)
+    kinds = [
+        CharacterClass(k.name, k.pattern, LETTER_BITS) if whole and k.name == "word" else k for k in CLASSES
+    ]
     limit = "case " + " ".join(
-        f"when rlike(c.text, '{k.pattern}') then {-1 if math.isinf(k.bits) else k.limit}L" for k in CLASSES
+        f"when rlike(c.text, '{k.pattern}') then {-1 if math.isinf(k.bits) else k.limit}L" for k in kinds
     ) + " end"
     folded = (
         f"aggregate({_changes('c.text')}, "
@@ -132,10 +152,17 @@ def entropy_spans(candidates: str) -> Column:
         f"transform({candidates}, c -> named_struct('start', c.start, 'text', c.text, 'limit', {limit}))"
     )
     chosen = f"filter({limited}, c -> c.limit >= 0 and not rlike(lower(c.text), '{allowed}'))"
+    if whole:
+        judged = f"filter({limited}, c -> c.limit >= 0)"
+        chosen = (
+            f"transform({judged}, c -> named_struct("
+            f"'start', c.start, 'text', {_blanked('c.text')}, 'limit', c.limit))"
+        )
     return F.expr(f"filter(transform({chosen}, c -> {folded}), s -> s.end >= 0)")
 
 
-def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans",
+         whole: bool = False) -> DataFrame:
     """``docs`` with two arrays of (start, kind, end), kind as place in ``KINDS``, sorted: the
     matches of the fixed patterns, and all spans. Columns of these names are replaced."""
     kept = [F.col(c) for c in docs.columns if c not in (base, spans) or c == text]
@@ -153,7 +180,7 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "
             F.array_sort(bare).alias("__base"), places(value, CANDIDATE, "entropy").alias("__candidates"),
         ))),
     )
-    rows = rows.withColumn("__entropy", entropy_spans("__candidates"))
+    rows = rows.withColumn("__entropy", entropy_spans("__candidates", whole))
     added = F.expr(
         "filter(__entropy, e -> not exists(__base, b -> b.start <= e.start and b.end >= e.end))"
     )
@@ -187,7 +214,7 @@ MASK = "[SECRET]"
 def redact(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans are replaced once."""
     columns = docs.columns
-    rows = scan(docs, text, "__fixed", "__spans")
+    rows = scan(docs, text, "__fixed", "__spans", whole=True)
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
