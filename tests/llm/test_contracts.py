@@ -25,7 +25,7 @@ def same(spark, name, folder, pattern):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries()
 
 

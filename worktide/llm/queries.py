@@ -18,6 +18,7 @@ from worktide.llm import (
     sharding,
     simhash,
     sql,
+    suffixes,
     urls,
     warc,
 )
@@ -170,3 +171,9 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (~quality.passes(failed, quality.BASE)).alias("base_failed"),
         quality.passes(failed).alias("kept"),
     )
+
+
+@query("op11_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.remove(docs, texts=False)
