@@ -17,11 +17,13 @@ from worktide.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
     sql,
     suffixes,
     urls,
     warc,
 )
+from worktide.operators.staging import stage
 from worktide.session import configure
 from worktide.sources.tables import table
 
@@ -177,3 +179,9 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return suffixes.remove(docs, texts=False)
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = stage(spelling.vocabulary(table(spark, folder, "documents").select("doc_id", "text")))
+    return spelling.group(words).select("word", "form", "root", "n", "n_near", "form_n")
