@@ -12,6 +12,7 @@ from worktide.llm import (
     decontaminate,
     extraction,
     language,
+    negatives,
     packing,
     quality,
     secrets,
@@ -185,3 +186,12 @@ def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = stage(spelling.vocabulary(table(spark, folder, "documents").select("doc_id", "text")))
     return spelling.group(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_hard_negatives", sql.HARD_NEGATIVES)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    # A part of the labels is wrong on purpose.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.prepared(rows, "vec_id", "embedding", label)
+    return negatives.mine(vectors, F.col("id") % 100 == 0)

@@ -186,3 +186,32 @@ select doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_w
   ({_BASE}) as base_failed, not ({_RULES}) as kept
 from measured
 """
+
+HARD_NEGATIVES = """
+with taking as (
+  select row_number() over () as uid, vec_id,
+         case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.uid as anchor_uid, a.vec_id as anchor_id, b.uid, b.vec_id, a.label = b.label as same,
+         cast(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1),
+           lambda i: a.v[i] * b.v[i])), 0) as bigint) as score
+  from taking a join taking b on a.uid <> b.uid
+  where a.vec_id % 100 = 0
+), positive as (
+  select * from scored where same
+  qualify row_number() over (partition by anchor_uid order by score desc, vec_id, uid) <= 5
+), negative as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score,
+         n.score as negative_score,
+         row_number() over (partition by p.anchor_uid, p.uid order by n.score desc, n.vec_id, n.uid) as rank
+  from positive p join scored n
+    on n.anchor_uid = p.anchor_uid and not n.same
+   and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from negative where rank <= 5
+"""
