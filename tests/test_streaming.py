@@ -192,3 +192,81 @@ def test_unused_columns_are_pruned(spark):
     reads = [line for line in text.splitlines() if "orders.parquet" in line]
     assert reads and "o_totalprice" not in reads[0].split("ReadSchema")[1]
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+QUOTA = "user_id bigint, ts timestamp, event_id bigint, is_request boolean, new_plan string"
+
+
+def quota_rows(seed, count, users=4):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(count):
+        plan = rng.choice([None, None, None, "premium", "free"])
+        at = START + timedelta(hours=int(rng.integers(0, 80)))
+        rows.append((int(rng.integers(1, users + 1)), at, i, plan is None, plan))
+    return rows
+
+
+def as_rows(df):
+    columns = sorted(c for c in df.columns if c != "period_key")
+    return sorted(map(str, df.select(columns).collect()))
+
+
+def test_late_rows_change_earlier_decisions(spark, batches, tmp_path):
+    """Rows in any order, days late: the ledger is that of all rows at once."""
+    rows = quota_rows(5, 160)
+    frames = [spark.createDataFrame(rows[a : a + 20], QUOTA) for a in range(0, 160, 20)]
+    profiles = spark.createDataFrame([(i,) for i in range(1, 4)], "user_id bigint")
+    stream = jobs.quota(batches(frames), str(tmp_path / "quota"), profiles, 3, 2)
+    assert as_rows(stream) == as_rows(ac.quota_ledger(spark.createDataFrame(rows, QUOTA), profiles, 3, 2))
+
+
+def test_quota_state_is_bounded_and_batches_count_once(spark, tmp_path):
+    from worktide.sources.store import FAN, Store
+
+    path = str(tmp_path / "quota")
+    rows = sorted(quota_rows(6, 120), key=lambda r: (r[1], r[2]))
+    profiles = spark.createDataFrame([(i,) for i in range(1, 5)], "user_id bigint")
+    given = spark.createDataFrame(rows, QUOTA)
+
+    class Source:
+        """Micro-batches by hand, some of them delivered again."""
+
+        sparkSession = spark
+
+    made = []
+    drain, query_id = jobs.drain, jobs.query_id
+    jobs.drain, jobs.query_id = lambda stream, each, checkpoint=None: made.append(each), lambda s: "run"
+    try:
+        store = Store(spark, path)
+        store.commit("start", 0, {"ledger": ac.quota_ledger(given.limit(0), profiles)})
+        jobs.quota(Source(), path, profiles, 3, 2)
+        for step in range(12):
+            made[0](given.where(f"event_id is not null").join(
+                spark.createDataFrame([(r[2],) for r in rows[step * 10 : step * 10 + 10]], "event_id bigint"), "event_id"
+            ).select("user_id", "ts", "event_id", "is_request", "new_plan"), step)
+            if step in (3, 7):
+                made[0](given, step)
+    finally:
+        jobs.drain, jobs.query_id = drain, query_id
+    state = store.state()
+    assert len(state["entries"]) <= FAN + 2 and max(e["level"] for e in state["entries"]) == 1
+    assert as_rows(jobs.current_ledger(store)) == as_rows(ac.quota_ledger(given, profiles, 3, 2))
+    merged = next(e["id"] for e in state["entries"] if e["level"] == 1)
+    users = spark.read.parquet(f"{path}/users/batch={merged}")
+    assert users.count() == users.select("user_id").distinct().count()
+
+
+def test_late_activation_resolves_earlier_events(spark, tmp_path):
+    from worktide.queries import accounts as qa
+    from worktide.sources.tables import events
+    from worktide.streaming.runner import slices_of
+
+    folder, path, check = "/root/testdata/sf0.001", str(tmp_path / "b"), str(tmp_path / "c")
+    users, provider = qa.accounts_table(spark, folder), qa.provider_tables(spark, folder)
+    rows = qa.billing_events(events(spark, folder)).withColumn("turn", F.pmod(F.xxhash64("event_id"), F.lit(1000)))
+    for stream in slices_of(rows, 2, "turn"):
+        out = jobs.billing(stream.drop("turn"), path, users, *provider, qa.PRICES, qa.PRODUCTS, check)
+    columns = ["event_id", "action", "reason", "user_id"]
+    want = qa.resolved_changes(spark, folder).select(columns).collect()
+    assert sorted(map(str, out.select(columns).collect())) == sorted(map(str, want))

@@ -188,7 +188,8 @@ def decide(
 LINK = "kind int, key string, ts timestamp, event_id bigint, linked string"
 
 
-def _keys() -> Column:
+def keys_of() -> Column:
+    """Ids an event names, by kind."""
     pairs = [(0, "subscription_id"), (1, "customer_id")]
     return F.filter(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in pairs]),
@@ -206,7 +207,7 @@ def learned_links(direct: DataFrame) -> DataFrame:
     """Ids that activations of known users store, as of the event."""
     return (
         direct.where((F.col("action") == "activate") & F.col("user_id").isNotNull())
-        .select("ts", "event_id", F.col("user_id").alias("linked"), F.inline_outer(_keys()))
+        .select("ts", "event_id", F.col("user_id").alias("linked"), F.inline_outer(keys_of()))
         .where("key is not null")
         .select("kind", "key", "ts", "event_id", "linked")
     )
@@ -215,7 +216,7 @@ def learned_links(direct: DataFrame) -> DataFrame:
 def stored_links(users: DataFrame) -> DataFrame:
     """Ids of the user table, valid from the start; the lowest user id wins."""
     return (
-        users.select("user_id", F.inline_outer(_keys()))
+        users.select("user_id", F.inline_outer(keys_of()))
         .where("key is not null")
         .groupBy("kind", "key")
         .agg(F.min("user_id").alias("linked"))
@@ -226,12 +227,17 @@ def stored_links(users: DataFrame) -> DataFrame:
     )
 
 
+def asked_keys(direct: DataFrame) -> DataFrame:
+    """Ids by which the user of an event has to be found."""
+    return direct.where("user_id is null").select(F.inline(keys_of())).select("kind", "key")
+
+
 def resolve_by_links(direct: DataFrame, links: DataFrame, bucket: str = "hour") -> DataFrame:
     """Finds the user of the other events: by subscription, else by customer, as of the event."""
     at = ["ts", "event_id"]
     rest = [c for c in direct.columns if c not in ("user_id", *at)]
     open_ = direct.where("user_id is null").select(
-        *at, F.struct(*rest).alias("event"), F.inline_outer(_keys())
+        *at, F.struct(*rest).alias("event"), F.inline_outer(keys_of())
     )
     timeline = open_.withColumn("linked", F.lit(None).cast("string")).unionByName(
         links, allowMissingColumns=True

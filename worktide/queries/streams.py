@@ -33,9 +33,9 @@ def stream_billing(spark: SparkSession, d: str) -> DataFrame:
     path, checkpoint = new_path(spark, "billing"), new_path(spark, "offsets")
     users, provider = qa.accounts_table(spark, d), qa.provider_tables(spark, d)
     for stream in slices_of(qa.billing_events(events(spark, d)), SLICES):
-        jobs.billing(stream, path, users, *provider, qa.PRICES, qa.PRODUCTS, checkpoint)
-    decided = spark.read.parquet(f"{path}/decisions")
-    stream = spark.readStream.schema(decided.drop("batch").schema).parquet(f"{path}/decisions/*")
+        decided = jobs.billing(stream, path, users, *provider, qa.PRICES, qa.PRODUCTS, checkpoint)
+    decided.write.parquet(f"{path}/current")
+    stream = spark.readStream.schema(decided.schema).parquet(f"{path}/current")
     changes = ac.applied(stream)
     return qa.shown_accounts(jobs.final_accounts(drain_to_table(jobs.account_updates(changes), "update")))
 
@@ -61,6 +61,16 @@ def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("ts")
 
 
+@query("stream_quota_late", f"with {qa.QUOTA_SQL} select * from ledger")
+def stream_quota_late(spark: SparkSession, d: str) -> DataFrame:
+    """The quota ledger over slices by id, so that many rows come days late and still count."""
+    path, checkpoint = new_path(spark, "quota"), new_path(spark, "offsets")
+    known = qa.profiles(spark, d)
+    for stream in slices_of(qa.quota_activity(events(spark, d)), SLICES, "event_id"):
+        out = jobs.quota(stream, path, known, qa.FREE_LIMIT, qa.DAY_LIMIT, checkpoint)
+    return out.drop("ts")
+
+
 @query(
     "stream_late",
     f"""

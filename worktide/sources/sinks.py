@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktide.operators.ordered import latest
+from worktide.sources.store import COMMIT, Store
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,80 +31,65 @@ def _overwrite(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     )
 
 
-COMMIT = "run string, step bigint, version bigint"
-
-
-def commit_number(spark: SparkSession, path: str, run: str, step: int) -> int:
-    """Version of a write to the table: one more than any before, or the one it got already.
+def replace_files(new: DataFrame, path: str, key: str, step: int, run: str = "") -> None:
+    """Replace all rows of each file in ``new``, as one commit.
 
-    ``run`` and ``step`` name the write, so a repeated one replaces itself, whatever other runs
-    wrote meanwhile. A run that goes on must have written to this table before.
+    A commit adds its rows and the list of files they belong to; the newest commit of a file counts.
+    The cost follows the new rows, not the stored ones. A repeated call with the same run and step
+    replaces itself. A run that goes on must have written to this table before.
     """
-    log = f"{path}/commits"
-    known = spark.createDataFrame([], COMMIT)
-    if exists(spark, log):
-        known = spark.read.schema(COMMIT).parquet(log)
-    own, last, own_any = known.agg(
-        F.max(F.when((F.col("run") == run) & (F.col("step") == step), F.col("version"))),
-        F.max("version"),
-        F.count_if(F.col("run") == run),
-    ).first()
-    if own is not None:
-        return own
-    if step > 0 and not own_any and run != "":
+    store = Store(new.sparkSession, path)
+    if step > 0 and run != "" and run not in store.state()["runs"]:
         raise ValueError(f"the checkpoint of run {run} belongs to another table than {path}")
-    version = 0 if last is None else last + 1
-    spark.createDataFrame([(run, step, version)], COMMIT).coalesce(1).write.mode("append").parquet(log)
-    return version
-
+    files = lambda written: written["rows"].select(key).distinct()
+    store.commit(run, step, {"rows": new, "files": files}, again=True)
+    store.tidy(lambda tables: _newest_files(tables, key))
 
-def replace_files(new: DataFrame, path: str, key: str, step: int, run: str = "") -> None:
-    """Replace all rows of each file in ``new``.
-
-    Every call appends one version folder and the list of files it holds; the
-    newest version of a file counts. Versions grow over all runs. The cost
-    follows the new rows, not the stored ones, and a repeated call with the
-    same run and step replaces itself.
-    """
-    spark = new.sparkSession
-    version = commit_number(spark, path, run, step)
-    rows, names = f"{path}/rows/version={version}", f"{path}/files/version={version}"
-    new.write.mode("overwrite").parquet(rows)
-    written = spark.read.schema(new.schema).parquet(rows)
-    written.select(key).distinct().write.mode("overwrite").parquet(names)
 
+def _newest_files(tables: Mapping[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    names = tables["files"].select(key).distinct()
+    return {"rows": _of_newest(tables["rows"], tables["files"], key).drop(COMMIT), "files": names}
 
-def current_files(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows of the newest version of each file.
 
-    Only files stored more than once need a lookup, and they are few between
-    two runs of :func:`compact_files`.
-    """
-    names = spark.read.parquet(f"{path}/files")
-    versions = names.groupBy(key).agg(F.max("version").alias("newest"), F.count("*").alias("n"))
+def _of_newest(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Rows of the newest commit of each file. Only files stored more than once need a lookup."""
+    versions = files.groupBy(key).agg(F.max(COMMIT).alias("newest"), F.count("*").alias("n"))
     stale = (
-        names.join(versions.where("n > 1").drop("n"), key)
-        .where(F.col("version") < F.col("newest"))
-        .select(key, "version")
+        files.join(versions.where("n > 1").drop("n"), key)
+        .where(F.col(COMMIT) < F.col("newest"))
+        .select(key, COMMIT)
     )
-    return spark.read.parquet(f"{path}/rows").join(stale, [key, "version"], "left_anti")
+    return rows.join(stale, [key, COMMIT], "left_anti")
+
+
+def current_files(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows of the newest commit of each file, all from one manifest."""
+    store = Store(spark, path)
+    state = store.state()
+    return _of_newest(store.read("rows", state=state), store.read("files", state=state), key)
 
 
 def compact_files(spark: SparkSession, path: str, target: str, key: str) -> None:
-    """Write the current rows as the first version of a new table."""
-    replace_files(current_files(spark, path, key).drop("version"), target, key, 0)
+    """Write the current rows as the first commit of a new table."""
+    replace_files(current_files(spark, path, key).drop(COMMIT), target, key, 0)
 
 
 def append_version(new: DataFrame, path: str, keys: Sequence[str], order: str, step: int, run: str = "") -> None:
-    """Add the latest row per key of ``new`` as a version of its own; stored rows stay as they are."""
-    version = commit_number(new.sparkSession, path, run, step)
+    """Add the latest row per key of ``new`` as a commit of its own."""
+    store = Store(new.sparkSession, path)
     last = latest(new, list(keys), [order]).select(new.columns)
-    last.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+    store.commit(run, step, {"rows": last}, again=True)
+    store.tidy(lambda tables: {"rows": _latest(tables["rows"], keys, order)})
+
+
+def _latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    columns = [c for c in rows.columns if c != COMMIT]
+    return latest(rows, list(keys), [order, COMMIT]).select(columns)
 
 
 def current_latest(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
-    """The latest row per key over all versions."""
-    return latest(spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows"), list(keys), [order])
+    """The latest row per key over all commits; of equal ones the last written."""
+    return _latest(Store(spark, path).read("rows"), keys, order)
 
 
 def compact_latest(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from worktide.plans import monitoring as mo
 from worktide.plans import retrieval as rt
 from worktide.operators.staging import stage
 from worktide.sources.sinks import append_version, current_files, current_latest, replace_files
+from worktide.sources.store import COMMIT, Rows, Store, all_rows
 from worktide.streaming import processors as pr
 from worktide.streaming.runner import LATENESS, drain, query_id, stored
 
@@ -208,8 +209,31 @@ def route_late(
     return good.parquet(f"{path}/in-time"), late_rows(spark, path, stream)
 
 
-PLAN = "user_id bigint, ts timestamp, event_id bigint, new_plan string"
+USERS = (
+    "user_id bigint, ts timestamp, event_id bigint, "
+    "planned struct<ts:timestamp,event_id:bigint,new_plan:string>"
+)
 USED = "user_id bigint, plan string, period_key string, n bigint"
+PERIOD = ["user_id", "plan", "period_key"]
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return latest(rows, list(keys), [COMMIT]).drop(COMMIT)
+
+
+def _merged_quota(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Counters and users keep their newest rows, and of daily counters only the user's last day."""
+    out = all_rows(tables)
+    out["users"] = _newest(tables["users"], ["user_id"])
+    used = _newest(tables["used"], PERIOD)
+    day = F.when(F.col("period_key") != "total", F.col("period_key"))
+    last = used.groupBy("user_id").agg(F.max(day).alias("last_day"))
+    out["used"] = used.join(last, "user_id").where(
+        "period_key = 'total' or period_key = last_day"
+    ).drop("last_day")
+    if "corrected" in tables:
+        out["corrected"] = _newest(tables["corrected"], ["event_id"])
+    return out
 
 
 def quota(
@@ -217,31 +241,88 @@ def quota(
     free_limit: int = lx.FREE_TOTAL_LIMIT, daily_limit: int = lx.PAID_DAILY_LIMIT,
     checkpoint: str | None = None,
 ) -> DataFrame:
-    """Decision per request by the batch ledger over each micro-batch.
+    """Decision per request, as the batch ledger over all rows that ever came gives it.
 
-    What it carries are the plan changes and the number of counted requests per user, plan and
-    period of earlier batches. A late row goes to ``path/late``.
+    Carried are, per user, the last row seen, the plan and the counters of its periods; levelled
+    merges keep them at one row per user and period, so a micro-batch costs what it and the users
+    cost, not what came before. A row that comes after a later one of its user, however late, takes
+    back that user's decisions: they are made again from all its activity and replace the old ones.
+    Each micro-batch is one commit.
     """
+    spark = activity.sparkSession
+    store = Store(spark, path)
+
+    def decide(rows: DataFrame, **known: DataFrame) -> DataFrame:
+        return stage(ac.quota_ledger(rows, profiles, free_limit, daily_limit, **known))
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = stage(aside(batch.persist(), batch_id, path))
-        batch.unpersist()
-        plans = stored(spark, f"{path}/plans", PLAN, batch_id)
-        used = stored(spark, f"{path}/used", USED, batch_id)
-        counted = used.groupBy("user_id", "plan", "period_key").agg(F.sum("n").alias("before"))
-        ledger = stage(
-            ac.quota_ledger(rows, profiles, free_limit, daily_limit, plans=plans, counted=counted)
+        session = batch.sparkSession
+        run = query_id(session)
+        own = Store(session, path)
+        if own.done(run, batch_id):
+            return
+        own.tidy(_merged_quota)
+        state = own.state()
+        rows = stage(batch.select("user_id", "ts", "event_id", "is_request", "new_plan"))
+        here = rows.select("user_id").distinct()
+        users = stage(
+            _newest(own.read("users", USERS, state=state).join(here, "user_id", "left_semi"), ["user_id"])
+        )
+        counted = stage(
+            _newest(own.read("used", USED, state=state).join(here, "user_id", "left_semi"), PERIOD)
+        )
+        last = users.select("user_id", F.struct("ts", "event_id").alias("last"))
+        behind = stage(
+            rows.join(last, "user_id").where(F.struct("ts", "event_id") < F.col("last")).select("user_id").distinct()
         )
-        ledger.drop("period_key").write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
-        rows.where("new_plan is not null").select("user_id", "ts", "event_id", "new_plan").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/plans/batch={batch_id}")
-        ledger.groupBy("user_id", "plan", "period_key").agg(F.count("*").alias("n")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/used/batch={batch_id}")
+        late = bool(behind.head(1))
+        plans = users.where("planned is not null").select("user_id", "planned.*")
+        before = counted.withColumnRenamed("n", "before")
+        ahead = rows.join(behind, "user_id", "left_anti") if late else rows
+        ledger = decide(ahead, plans=plans, counted=before)
+        tables = {"activity": rows, "ledger": ledger}
+        used = (
+            ledger.groupBy(*PERIOD).agg(F.count("*").alias("more")).join(before, PERIOD, "left")
+            .select(*PERIOD, (F.col("more") + F.coalesce("before", F.lit(0))).alias("n"))
+        )
+        if late:
+            stored = own.read("activity", rows.schema, state=state).drop(COMMIT)
+            again = decide(stored.unionByName(rows).join(behind, "user_id", "left_semi"))
+            tables["corrected"] = again
+            # Periods that the user no longer has anything in count nothing.
+            old = counted.join(behind, "user_id", "left_semi").select(*PERIOD, F.lit(0).cast("bigint").alias("n"))
+            new = again.groupBy(*PERIOD).agg(F.count("*").alias("n"))
+            used = used.unionByName(old.unionByName(new).groupBy(*PERIOD).agg(F.sum("n").alias("n")))
+        at = F.struct("ts", "event_id")
+        seen = rows.select(
+            "user_id", at.alias("at"),
+            F.when(F.col("new_plan").isNotNull(), F.struct("ts", "event_id", "new_plan")).alias("planned"),
+        ).unionByName(users.select("user_id", at.alias("at"), "planned"))
+        tables["used"] = used
+        tables["users"] = seen.groupBy("user_id").agg(
+            F.max("at").alias("at"), F.max("planned").alias("planned")
+        ).select("user_id", "at.*", "planned")
+        own.commit(run, batch_id, tables)
 
     drain(activity, each, checkpoint=checkpoint)
-    return activity.sparkSession.read.parquet(f"{path}/ledger").drop("batch")
+    return current_ledger(store)
+
+
+def current_ledger(store: Store) -> DataFrame:
+    """Every request's decision as it stands after the corrections."""
+    state = store.state()
+    ledger = store.read("ledger", state=state).drop(COMMIT)
+    if "corrected" in state["schemas"]:
+        corrected = _newest(store.read("corrected", state=state), ["event_id"]).select(ledger.columns)
+        ledger = ledger.join(corrected.select("event_id"), "event_id", "left_anti").unionByName(corrected)
+    return ledger.drop("period_key")
+
+
+def _merged_billing(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    out = all_rows(tables)
+    if "corrected" in tables:
+        out["corrected"] = _newest(tables["corrected"], ["event_id"])
+    return out
 
 
 def billing(
@@ -249,28 +330,59 @@ def billing(
     line_items: DataFrame, prices: Sequence[str], products: Sequence[str],
     checkpoint: str | None = None,
 ) -> DataFrame:
-    """Decisions with resolved users, one folder per micro-batch.
+    """Decisions with resolved users; each micro-batch is one commit.
 
     Ids that activations store are kept below ``path`` and looked up, as of the event, by later
-    events of the same and of later batches. Ignored and unresolved events stay in the decisions;
-    a late row goes to ``path/late``.
+    events of the same and of later batches; only ids that a batch asks for are looked at. An
+    activation that comes late, however late, finds users for earlier decisions too: those that
+    named its ids are resolved again and replace the old ones. Ignored and unresolved events stay in
+    the decisions.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = aside(batch.persist(), batch_id, path)
-        decided = ac.decide(ac.read_billing(rows), subscriptions, line_items, prices, products)
+        session = batch.sparkSession
+        run = query_id(session)
+        store = Store(session, path)
+        if store.done(run, batch_id):
+            return
+        store.tidy(_merged_billing)
+        state = store.state()
+        decided = ac.decide(ac.read_billing(batch), subscriptions, line_items, prices, products)
         direct = stage(ac.direct_users(decided, users))
-        batch.unpersist()
         learned = stage(ac.learned_links(direct))
-        before = stored(spark, f"{path}/links", ac.LINK, batch_id)
-        links = ac.stored_links(users).unionByName(before).unionByName(learned)
-        ac.resolve_by_links(direct, links).write.mode("overwrite").parquet(
-            f"{path}/decisions/batch={batch_id}"
-        )
-        learned.write.mode("overwrite").parquet(f"{path}/links/batch={batch_id}")
+        links = ac.stored_links(users).unionByName(
+            store.read("links", ac.LINK, state=state).drop(COMMIT)
+        ).unionByName(learned)
+
+        def resolved(rows: DataFrame) -> DataFrame:
+            asked = ac.asked_keys(rows).distinct()
+            return ac.resolve_by_links(rows, links.join(asked, ["kind", "key"], "left_semi"))
+
+        unnamed = direct.where("user_id is null")
+        tables: dict[str, Rows] = {"decisions": resolved(direct), "links": learned, "unnamed": unnamed}
+        # Earlier decisions after a new link's time that named its id.
+        until = store.remembered(run).get("until")
+        late = learned.where(F.col("ts") < F.lit(until).cast("timestamp")) if until else learned.limit(0)
+        if until and late.head(1):
+            first = late.groupBy("kind", "key").agg(F.min("ts").alias("since"))
+            stored = store.read("unnamed", direct.schema, state=state).drop(COMMIT)
+            named = stored.select("event_id", "ts", F.inline(ac.keys_of()))
+            touched = named.join(first, ["kind", "key"]).where("ts >= since").select("event_id").distinct()
+            tables["corrected"] = resolved(stage(stored.join(touched, "event_id", "left_semi")))
+        newest = batch.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        store.commit(run, batch_id, tables, {"until": max(filter(None, (newest, until)), default=None)})
 
     drain(events, each, checkpoint=checkpoint)
-    return events.sparkSession.read.parquet(f"{path}/decisions").drop("batch")
+    return current_decisions(Store(events.sparkSession, path))
+
+
+def current_decisions(store: Store) -> DataFrame:
+    """Every billing event's decision as it stands after the corrections."""
+    state = store.state()
+    rows = store.read("decisions", state=state).drop(COMMIT)
+    if "corrected" in state["schemas"]:
+        corrected = _newest(store.read("corrected", state=state), ["event_id"]).select(rows.columns)
+        rows = rows.join(corrected.select("event_id"), "event_id", "left_anti").unionByName(corrected)
+    return rows
 
 
 def ingest(
