@@ -263,17 +263,18 @@ def quota(
             return
         own.tidy(_merged_quota)
         state = own.state()
-        rows = stage(batch.select("user_id", "ts", "event_id", "is_request", "new_plan"))
+        rows = batch.select("user_id", "ts", "event_id", "is_request", "new_plan").persist()
         here = rows.select("user_id").distinct()
-        users = stage(
-            _newest(own.read("users", USERS, state=state).join(here, "user_id", "left_semi"), ["user_id"])
-        )
-        counted = stage(
-            _newest(own.read("used", USED, state=state).join(here, "user_id", "left_semi"), PERIOD)
-        )
+        users = _newest(
+            own.read("users", USERS, state=state).join(here, "user_id", "left_semi"), ["user_id"]
+        ).persist()
+        counted = _newest(
+            own.read("used", USED, state=state).join(here, "user_id", "left_semi"), PERIOD
+        ).persist()
         last = users.select("user_id", F.struct("ts", "event_id").alias("last"))
-        behind = stage(
-            rows.join(last, "user_id").where(F.struct("ts", "event_id") < F.col("last")).select("user_id").distinct()
+        behind = (
+            rows.join(last, "user_id").where(F.struct("ts", "event_id") < F.col("last"))
+            .select("user_id").distinct().persist()
         )
         late = bool(behind.head(1))
         plans = users.where("planned is not null").select("user_id", "planned.*")
@@ -303,6 +304,8 @@ def quota(
             F.max("at").alias("at"), F.max("planned").alias("planned")
         ).select("user_id", "at.*", "planned")
         own.commit(run, batch_id, tables)
+        for held in (rows, users, counted, behind):
+            held.unpersist()
 
     drain(activity, each, checkpoint=checkpoint)
     return current_ledger(store)
