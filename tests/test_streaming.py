@@ -270,3 +270,19 @@ def test_late_activation_resolves_earlier_events(spark, tmp_path):
     columns = ["event_id", "action", "reason", "user_id"]
     want = qa.resolved_changes(spark, folder).select(columns).collect()
     assert sorted(map(str, out.select(columns).collect())) == sorted(map(str, want))
+
+
+def test_streamed_percentile_is_exact_over_many_rows(spark, batches):
+    """More rows a window than any sketch holds exactly, in pieces; equal to the batch series."""
+    rng = np.random.default_rng(8)
+    rows = [
+        (START + timedelta(seconds=int(s)), f"s{s % 2}", "5xx" if s % 7 == 0 else "2xx", float(ms))
+        for s, ms in zip(rng.integers(0, 240, 24000), rng.integers(1, 90000, 24000), strict=True)
+    ]
+    rows.append((START + timedelta(days=2), "clock", "2xx", 1.0))
+    schema = "ts timestamp, service_name string, response_code_class string, latency_ms double"
+    frames = [spark.createDataFrame(rows[a : a + 8001], schema) for a in (0, 8001, 16002)]
+    got = drain_to_table(jobs.latency_updates(batches(frames), 120))
+    want = mo.latency_series(spark.createDataFrame(rows, schema), 120, ["service_name"], ["response_code_class"], "latency_ms")
+    key = lambda df: sorted((r.bucket, r.service_name, r.p95_max) for r in df.where("service_name <> 'clock'").collect())
+    assert key(got) == key(want) and len(key(got)) == 4

@@ -130,10 +130,7 @@ def _rest(rule: mo.Rule) -> tuple[int, int]:
     return rule.period, rule.threshold
 
 
-@query(
-    "stream_latency",
-    registry.ORACLES["alerts_sustained"].replace("quantile_cont", "quantile_disc"),
-)
+@query("stream_latency", registry.ORACLES["alerts_sustained"])
 def stream_latency(spark: SparkSession, d: str) -> DataFrame:
     """Sustained latency runs from requests as one stream."""
     rows = with_clock(qm.requests(spark, d))

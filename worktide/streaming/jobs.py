@@ -83,20 +83,26 @@ def alert_updates(
     )
 
 
-def latency_updates(
-    rows: DataFrame, seconds: int, lateness: str = "1 hour", accuracy: int = 10000
-) -> DataFrame:
-    """Windowed p95 per service: by sketch per class, then the greatest; each window once.
+def latency_updates(rows: DataFrame, seconds: int, lateness: str = "1 hour") -> DataFrame:
+    """Windowed p95 per service, exact: the greatest over its classes; each window once.
 
-    The sketch is exact while a window holds fewer rows of a class than ``accuracy``.
+    State is a sparse histogram: a count per window, service, class and latency. Latencies are whole
+    milliseconds below the request limit, so a busy window holds a bounded number of counts, however
+    many requests it has. A closed window's histogram gives the interpolated percentile.
     """
-    by_class = (
+    label = ["service_name", "response_code_class"]
+
+    same_window = F.window(F.window_time("window"), f"{seconds} seconds")
+    counts = (
         rows.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", f"{seconds} seconds"), "service_name", "response_code_class")
-        .agg(F.percentile_approx("latency_ms", mo.P95, accuracy).alias("p95"))
+        .groupBy(F.window("ts", f"{seconds} seconds"), *label, "latency_ms")
+        .agg(F.count("*").alias("n"))
+    )
+    by_class = counts.groupBy(same_window, *label).agg(
+        F.percentile("latency_ms", mo.P95, F.col("n")).alias("p95")
     )
     return (
-        by_class.groupBy(F.window(F.window_time("window"), f"{seconds} seconds"), "service_name")
+        by_class.groupBy(same_window, "service_name")
         .agg(F.max("p95").alias("p95_max"))
         .select(
             F.window_time("window").alias("closed_at"),
