@@ -11,10 +11,12 @@ from worktide.functions import text as tx
 from worktide.operators.computed import computed
 from worktide.operators.staging import stage
 from worktide.plans import answers as an
+from worktide.plans import pruned
 from worktide.plans import retrieval as rt
 from worktide.queries import intents as it
 from worktide.queries import sqltext as sq
 from worktide.queries.catalog import RESOLVE_SQL, resolved
+from worktide.queries import registry
 from worktide.queries.registry import query
 from worktide.sources.tables import table
 
@@ -105,6 +107,14 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return rt.knn(asked, corpus, 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_pruned", registry.ORACLES["knn_batch"])
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest chunks of every question, from the blocks that may hold them."""
+    asked = questions(spark, d).select("query_id", "vector")
+    best, _ = pruned.knn(asked, pruned.Index(vectors(spark, d), block_bytes=1 << 14), 5)
+    return best.withColumn("distance", F.round("distance", 6))
+
+
 _WEIGHT_SQL = " + ".join(
     f"case when contains(norm, '{p}') then {w} else 0 end" for p, w in WEIGHTS.items()
 )
