@@ -27,8 +27,7 @@ def test_round_trip(spark, size):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
-    texts = [*edge_texts(), "a <|endoftext|> b", "it's 12  three\n\n 'll", "naïve 日本語 текст"]
+    texts = [*edge_texts(), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n<|endoftext", "it's 12  three\n\n 'll", "naïve 日本語 текст"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     rows = packing.pack(docs, vocabulary(), size=size, slots=4).collect()
     check(rows, size)
@@ -46,7 +45,6 @@ def test_same_ids_as_the_tokenizers_library_on_all_test_texts(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     own = packing.Tokenizer(vocabulary())
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):

@@ -58,8 +58,8 @@ def _letters() -> dict[str, int]:
 class Tokenizer:
     """Byte-pair encoding with the vocabulary of a tokenizer file.
 
-    The ids of merged tokens rise in the order of the merges, so they serve as ranks; strings of
-    special tokens in a text are ordinary text.
+    The ids of merged tokens rise in the order of the merges, so they serve as ranks. Strings of the
+    file's added tokens in a text are those tokens, whatever surrounds them.
     """
 
     def __init__(self, path: str):
@@ -67,18 +67,34 @@ class Tokenizer:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
         letters = _letters()
         ranks = {
             bytes(letters[c] for c in token): i
             for token, i in spec["model"]["vocab"].items()
-            if token not in special
+            if token not in added
         }
         self._encoding = tiktoken.Encoding(
             "file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
+        self._added = added
+        # The longest token counts where several begin.
+        longest = sorted(added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
+
     def ids(self, text: str) -> np.ndarray:
+        out: list[int] = []
+        for i, part in enumerate(self._split.split(text) if self._split else [text]):
+            if i % 2:
+                out.append(self._added[part])
+            elif part:
+                out += self._ordinary(part)
+        return np.array(out, np.uint32)
+
+    def _ordinary(self, text: str) -> list[int]:
         out: list[int] = []
         at = 0
         for run in _LONG_WHITE.finditer(text) if len(text) >= LONG_RUN else ():
@@ -87,8 +103,7 @@ class Tokenizer:
             out += self._encoding.encode_ordinary(text[at : run.start()])
             out += self._piece(text[run.start() : end])
             at = end
-        out += self._encoding.encode_ordinary(text[at:] if at else text)
-        return np.array(out, np.uint32)
+        return out + self._encoding.encode_ordinary(text[at:] if at else text)
 
     def _piece(self, text: str) -> list[int]:
         return self._encoding._core_bpe.encode_single_piece(text.encode())
