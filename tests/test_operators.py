@@ -231,3 +231,26 @@ def test_embedding_retries_and_counts(spark):
     assert rt.embed(chunks, limited, batch=3).where("size(vector) = 2").count() == 7
     with pytest.raises(Exception, match="gave 1 vectors"):
         rt.embed(chunks, lambda: (lambda texts, titles: np.ones((1, 2))), batch=3).collect()
+
+
+def test_users_of_longer_periods_from_days(spark):
+    from datetime import datetime, timedelta
+
+    from worktide.plans import monitoring as mo
+
+    rows = [(datetime(2024, 1, 1) + timedelta(days=d, minutes=u), u + 500 * (d % 3), k)
+            for d in range(40) for u, k in [*((u, "big") for u in range(0, 3000, 3)), *((u, "small") for u in range(20))]]
+    df = spark.createDataFrame([*rows, *rows[:100], (datetime(2024, 1, 1), None, "small")], "ts timestamp, user_id bigint, kind string")
+    days = mo.daily_users(df, few=100).cache()
+    assert {(r.users, r.few is None) for r in days.where("kind = 'big'").collect()} == {(1000, True)}
+    exact = {}
+    for ts, user, kind in rows:
+        start = (ts - timedelta(days=ts.weekday())).date()
+        for unit, period in (("week", start), ("month", ts.date().replace(day=1))):
+            exact.setdefault((unit, str(period), kind), set()).add(user)
+    for unit in ("week", "month"):
+        for r in mo.period_users(days, unit).collect():
+            want = len(exact.pop((unit, str(r.period), r.kind)))
+            assert r.exact == (r.kind == "small")
+            assert r.users == want if r.exact else abs(r.users - want) <= 0.02 * want
+    assert not exact

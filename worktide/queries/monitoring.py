@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktide.functions import rules
+from worktide.operators.staging import stage
 from worktide.plans import answers as an
 from worktide.plans import monitoring as mo
 from worktide.queries.registry import query
@@ -265,6 +266,22 @@ def kpi_weekly(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last_day", F.date_format("last_day", "yyyy-MM-dd"))
 
 
+@query(
+    "kpi_periods",
+    """
+with u as (select unnest(['week', 'month']) as unit)
+select unit, strftime(date_trunc(unit, ts), '%Y-%m-%d') as period, event_type as kind,
+       count(distinct user_id) as users
+from events, u group by all""",
+)
+def kpi_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Users per week and per month from the table of days alone."""
+    days = stage(mo.daily_users(events(spark, d).withColumnRenamed("event_type", "kind")))
+    parts = [mo.period_users(days, unit).withColumn("unit", F.lit(unit)) for unit in ("week", "month")]
+    out = parts[0].unionByName(parts[1]).drop("exact")
+    return out.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+
+
 @query(
     "kpi_answers",
     f"""
