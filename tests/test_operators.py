@@ -238,7 +238,7 @@ def test_users_of_longer_periods_from_days(spark):
 
     from worktide.plans import monitoring as mo
 
-    rows = [(datetime(2024, 1, 1) + timedelta(days=d, minutes=u), u + 500 * (d % 3), k)
+    rows = [(datetime(2024, 1, 1) + timedelta(days=d, seconds=u), u + 500 * (d % 3), k)
             for d in range(40) for u, k in [*((u, "big") for u in range(0, 3000, 3)), *((u, "small") for u in range(20))]]
     df = spark.createDataFrame([*rows, *rows[:100], (datetime(2024, 1, 1), None, "small")], "ts timestamp, user_id bigint, kind string")
     days = mo.daily_users(df, few=100).cache()
