@@ -7,12 +7,13 @@ import __spark_entry__ as entry
 from tests.llm.texts import edge_texts, prose
 
 SMALL = "/root/testdata/sf0.001"
-TWINS = ("op1_url_filters", "op3_decontamination", "op5_secret_scans", "op7_warc", "op10_quality_rules")
+TWINS = ("op1_url_filters", "op3_decontamination", "op5_secret_scans", "op7_warc", "op10_quality_rules",
+         "op13_hard_negatives")
 
 
 def same(spark, name, folder, pattern):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"create view {table} as select * from '{folder}/{table}.parquet{pattern}'")
     got = entry.queries()[name](spark, folder)
     want = con.sql(entry.oracle_sql()[name])
@@ -52,6 +53,9 @@ def test_hard_cases(spark, folder, name):
                    (10, "A, b: C!"), (11, prose(99, 30))],
         pages=[(i, u, f"<p>{u}</p>") for i, u in enumerate(urls)]
         + [(100, "u", None), (101, "u", ""), (102, None, "<p>é</p>"), (103, "v\r\nw", "<p>é</p>"), (None, "n", "<p>é</p>")],
+        embeddings=[(i, [i % 5 / 8, i % 3 / -8, 0.1 * (i % 11)], i % 3) for i in range(0, 400, 5)]
+        + [(1, None, 1), (2, [0.1, None], 1), (3, [float("nan")], 1), (200, [0.1, 0.2, 0.3], None), (300, [0.5], 1),
+           (300, [0.5], 1), (7, [], 2), (None, [0.1, 0.1, 0.1], 1)],
     )
     assert same(spark, name, where, "/*.parquet") > 0
 
