@@ -147,3 +147,51 @@ def test_dedup_keeps_one_of_each_group(spark, documents):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids) == sorted([*want, 5, 7])
+
+
+def test_forest_of_nearest_links_joins_what_all_links_join():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 120, (2, 900))
+    a, b = a[a != b], b[a != b]
+    d = rng.integers(0, 40, len(a))
+    forest = s.Nearest(hold=100)
+    for i in range(0, len(a), 37):
+        forest.add(a[i : i + 37], b[i : i + 37], d[i : i + 37])
+    x, y, near = forest.links()
+    assert len(x) < 120
+    for limit in (0, 3, 10, 40):
+        want, got = (s._roots(120, p[q <= limit], r[q <= limit]) for p, r, q in ((a, b, d), (x, y, near)))
+        assert (want == got).all()
+
+
+def similar(a: str, b: str, words: int = 5) -> float:
+    def shingles(text):
+        found = text.split()
+        return {tuple(found[i : i + words]) for i in range(len(found) - words + 1)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("lane_tile", [10**6, 40])
+def test_dedup_against_exact_similarity(spark, documents, monkeypatch, lane_tile):
+    """Pairs of all similarities around the limit: none below it goes, nine of ten above do."""
+    monkeypatch.setattr(s, "TILE", lane_tile)
+    rng = random.Random(11)
+    rows = []
+    for g in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([120, 300, 600]))]
+        copy = list(words)
+        for _ in range(rng.randrange(1, max(2, len(words) // 24))):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    text = dict(rows)
+    share = [similar(text[2 * g], text[2 * g + 1]) for g in range(400)]
+    near = {g for g in range(400) if share[g] >= 0.8}
+    assert 100 < len(near) < 350
+    kept = {r.doc_id for r in s.dedup(documents(rows)).collect()}
+    dropped = set(text) - kept
+    assert dropped <= {2 * g + 1 for g in near}
+    assert len(dropped) >= s.DEDUP_RECALL * len(near)
+    surely = {2 * g + 1 for g in near if share[g] >= 0.9}
+    assert len(surely & dropped) >= 0.98 * len(surely)

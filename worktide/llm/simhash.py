@@ -16,6 +16,10 @@ the radius are abandoned between steps. A task returns only the links of a spann
 all pairs. A key with very many nodes is cut into tiles; each pair of tiles is a group of its own,
 so no task holds an unbounded group.
 
+The filter ``dedup`` takes a radius some deviations beyond the distance it looks for, lets tasks
+return spanning forests of the nearest links, and confirms every such link by the texts' sets of
+shingles before it counts.
+
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked
 like any other; with fewer words than a shingle the whole sequence is the one shingle; repeated
 rows have equal fingerprints; an empty table gives an empty result.
@@ -134,19 +138,23 @@ def bit_agreement(similarity: float) -> float:
     return 1 - math.acos(shared) / math.pi
 
 
-def sampled_keys(rows: int, bits: int, similarity: float, recall: float, seed: int = SEED) -> list[list[int]]:
-    """Random bit positions of each key.
+def sampled_keys(size: int, bits: int, similarity: float, recall: float, seed: int = SEED) -> list[list[int]]:
+    """Random bit positions of each key, ``size`` of them.
 
-    A key is as long as lets unrelated rows meet about four at a time, whatever the table's size;
-    there are as many keys as give ``recall`` at this similarity.
+    There are as many keys as give ``recall`` at this similarity, whatever the table's size.
     """
-    size = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
     chance = bit_agreement(similarity) ** size
     count = math.ceil(math.log(1 - recall) / math.log(1 - chance))
     rng = np.random.default_rng(seed)
     return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(count)]
 
 
+def wide_radius(bits: int, similarity: float, deviations: float) -> int:
+    """The distance expected at this similarity and some standard deviations more."""
+    differs = 1 - bit_agreement(similarity)
+    return math.ceil(bits * differs + deviations * math.sqrt(bits * differs * (1 - differs)))
+
+
 def _keyed(lanes: int, keys: list[list[int]]) -> Callable:
     """Each fingerprint once per key, as a number made of the key's bits and its place."""
 
@@ -274,12 +282,11 @@ def small_groups(flat: np.ndarray, left: np.ndarray, radius: int) -> Iterator[tu
             yield rows, rows + lag
 
 
-def large_group(flat: np.ndarray, radius: int, step: int = 64) -> np.ndarray:
-    """Labels of the near rows of one group: equal labels are connected."""
+def near_rows(flat: np.ndarray, radius: int, step: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of one group with the near rows among itself, its block and those after."""
     planes = planes_of(flat, 0)
     n = len(flat)
     bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-    label = np.arange(n)
     for start in range(0, n, step):
         asks = bits[start : start + step]
         # Rows before this block were compared when it was their turn.
@@ -302,20 +309,24 @@ def large_group(flat: np.ndarray, radius: int, step: int = 64) -> np.ndarray:
                 continue
             rows = np.unpackbits(alive[i, word].astype("<u8").view(np.uint8), bitorder="little")
             rows = (at[word][:, None] * 64 + np.arange(64)).reshape(-1)[rows.astype(bool)]
-            rows = rows[rows < n]
-            found = label[rows]
-            own = label[start + i]
-            if (found != own).any():
-                all_found = np.unique(np.append(found, own))
-                label[np.isin(label, all_found)] = all_found[0]
+            yield start + i, rows[rows < n]
+
+
+def large_group(flat: np.ndarray, radius: int, step: int = 64) -> np.ndarray:
+    """Labels of the near rows of one group: equal labels are connected."""
+    label = np.arange(len(flat))
+    for row, near in near_rows(flat, radius, step):
+        found = label[near]
+        own = label[row]
+        if (found != own).any():
+            all_found = np.unique(np.append(found, own))
+            label[np.isin(label, all_found)] = all_found[0]
     return label
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The node of each row of a connected set with its least node."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of the connected nodes, for each of ``n`` nodes."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[x], label[y])
         before = label.copy()
@@ -323,25 +334,100 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(label, y, low)
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node of each row of a connected set with its least node."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _roots(len(nodes), flat[: len(a)], flat[len(a) :])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
 
-def _linker(radius: int, lanes: int) -> Callable:
-    """Rows (key, node, prints), sorted by key, to links (a, b)."""
+class Nearest:
+    """Spanning forest of the nearest links, kept while links come in.
 
-    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    Of all links across any cut of the nodes the forest holds a nearest one. So the links within
+    any distance join the same nodes as those links of the forest do.
+    """
+
+    def __init__(self, hold: int = 1 << 20):
+        self.hold = hold
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        self.parts.append((np.minimum(a, b), np.maximum(a, b), distance))
+        self.n += len(a)
+        if self.n > self.hold:
+            kept = self.links()
+            self.parts, self.n = [kept], len(kept[0])
+            self.hold = max(self.hold, 2 * self.n)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, distance = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        # Ties by the nodes, so that keys that bring the same nodes together give the same links.
+        order = np.lexsort((b, a, distance))
+        a, b, distance = a[order], b[order], distance[order]
+        nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = flat[: len(a)], flat[len(a) :]
+        label, alive, chosen = np.arange(len(nodes)), np.arange(len(a)), np.zeros(len(a), bool)
+        while True:
+            alive = alive[label[x[alive]] != label[y[alive]]]
+            if not len(alive):
+                return a[chosen], b[chosen], distance[chosen]
+            # Links are in order, so the least place is the nearest link of a set of nodes.
+            best = np.full(len(nodes), len(a))
+            np.minimum.at(best, label[x[alive]], alive)
+            np.minimum.at(best, label[y[alive]], alive)
+            chosen[best[best < len(a)]] = True
+            label = _roots(len(nodes), x[chosen], y[chosen])
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _linker(radius: int, lanes: int, nearest: bool) -> Callable:
+    """Rows (key, node, prints), sorted by key, to links (a, b), the ``nearest`` ones if asked."""
+
+    def groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of all small groups and their number of followers."""
+        small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+        if small.any():
+            left = np.repeat(starts + sizes, sizes) - np.arange(len(small)) - 1
+            yield np.flatnonzero(small), left[small]
+
+    def nearest_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, flat, starts, sizes = read(rows)
+        forest = Nearest()
+        for at, left in groups(starts, sizes):
+            own, prints = node[at], flat[at]
+            for x, y in small_groups(prints, left, radius):
+                forest.add(own[x], own[y], _distance(prints[x], prints[y]))
+        for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            own, prints = node[start : start + size], flat[start : start + size]
+            for row, near in near_rows(prints, radius):
+                near = near[near > row]
+                if len(near):
+                    forest.add(np.full(len(near), own[row]), own[near], _distance(prints[row], prints[near]))
+        if forest.n:
+            a, b, _ = forest.links()
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(a)], ["a", "b"])
+
+    def read(rows: pa.Table) -> tuple[np.ndarray, ...]:
         key = rows.column("key").to_numpy()
         node = rows.column("node").to_numpy()
         flat = rows.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
+        return node, flat, starts, np.diff(np.append(starts, len(key)))
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, flat, starts, sizes = read(rows)
         a, b = [], []
-        small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-        if small.any():
-            left = (np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1)[small]
-            own, prints = node[small], flat[small]
+        for at, left in groups(starts, sizes):
+            own, prints = node[at], flat[at]
             for x, y in small_groups(prints, left, radius):
                 a.append(own[x])
                 b.append(own[y])
@@ -355,6 +441,8 @@ def _linker(radius: int, lanes: int) -> Callable:
             a, b = _forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    linked = nearest_links if nearest else links
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for part in parts:
@@ -368,17 +456,19 @@ def _linker(radius: int, lanes: int) -> Callable:
             cut = int(np.searchsorted(key, key[-1], "left"))
             # The last key may go on in the next batch.
             if cut:
-                yield from links(table.slice(0, cut))
+                yield from linked(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield from links(pa.Table.from_batches(held))
+            yield from linked(pa.Table.from_batches(held))
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int = 1) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int = 1,
+               nearest: bool = False) -> DataFrame:
     """Links (a, b) that connect all nodes whose fingerprints share a key and differ in at most
-    ``radius`` bits. ``nodes``: distinct (node bigint, prints array)."""
+    ``radius`` bits; with ``nearest`` those of a forest of nearest links. ``nodes``: distinct
+    (node bigint, prints array)."""
     keyed = nodes.select(
         "node", "prints", F.explode(F.arrow_udf(_keyed(lanes, keys), "array<bigint>")("prints")).alias("key")
     )
@@ -400,7 +490,7 @@ def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int
         .select(F.xxhash64("key", "pair").alias("key"), "node", "prints")
     )
     grouped = dealt.repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(_linker(radius, lanes), "a bigint, b bigint")
+    return grouped.mapInArrow(_linker(radius, lanes, nearest), "a bigint, b bigint")
 
 
 def marked(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", lanes: int = 1) -> DataFrame:
@@ -408,21 +498,28 @@ def marked(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text",
     return stage(docs.select(key, fingerprints(F.col(text), words, lanes).alias("prints")))
 
 
+def node_of(prints: str, lanes: int) -> Column:
+    return F.col(prints)[0] if lanes == 1 else F.xxhash64(prints)
+
+
 def classes(marked: DataFrame, key: str, radius: int, keys: list[list[int]] | None = None,
-            prints: str = "prints", lanes: int = 1, out: str = "component_id") -> DataFrame:
+            prints: str = "prints", lanes: int = 1, out: str = "component_id",
+            confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of ``marked`` (a written table) with the least ``key`` of their class.
 
     Texts are in a class if a chain of fingerprints, each within ``radius`` of the next, joins
-    them. ``keys`` defaults to those that lose no link.
+    them. ``keys`` defaults to those that lose no link. With ``confirm`` only the nearest links
+    that it returns count.
     """
-    node = F.col(prints)[0] if lanes == 1 else F.xxhash64(prints)
-    rows = marked.withColumn("__node", node)
+    rows = marked.withColumn("__node", node_of(prints, lanes))
     nodes = rows.groupBy(F.col("__node").alias("node")).agg(
         F.min(key).alias("least"), F.first(prints).alias("prints")
     )
     nodes = stage(nodes)
-    links = near_links(nodes.select("node", "prints"), radius, keys or exact_keys(radius), lanes)
-    roots = components(links)
+    links = near_links(
+        nodes.select("node", "prints"), radius, keys or exact_keys(radius), lanes, confirm is not None
+    )
+    roots = components(confirm(links) if confirm else links)
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
@@ -432,22 +529,75 @@ def classes(marked: DataFrame, key: str, radius: int, keys: list[list[int]] | No
     return rows.drop(out).join(named, "__node").drop("__node")
 
 
+# Confirmation
+
+
+def _shingle_sets(words: int) -> Callable:
+    kind = pa.list_(pa.int32())
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in parts:
+            out = []
+            for part in batches.slices(text):
+                rows = []
+                for x in batches.raw(part):
+                    hashes = [h.astype(np.uint32) for h in shingle_hashes(x, words)]
+                    rows.append(np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint32))
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int32))).cast(kind))
+            yield batches.joined(out, kind)
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
+
+
+def shingle_set(text: str | Column, words: int) -> Column:
+    """Distinct 32-bit hashes of a text's shingles."""
+    return F.arrow_udf(_shingle_sets(words), "array<int>")(text)
+
+
+def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose texts share at least ``similarity`` of the shingles of both.
+
+    ``texts``: a written table (node, row, text); of a node's rows, whose fingerprints are equal,
+    the first stands for all. Only texts with a link are read into sets.
+    """
+    links = stage(links.distinct())
+    linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    first = stage(texts.groupBy("node").agg(F.min("row").alias("row")).join(linked, "node", "left_semi"))
+    sets = stage(
+        texts.drop("node").join(first, "row").select("node", shingle_set(F.col("text"), words).alias("shingles"))
+    )
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    n_a, n_b = F.size("of_a"), F.size("of_b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    # Sets of too different sizes need no comparison.
+    near = (F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)) & (shared >= similarity * (n_a + n_b - shared))
+    return links.join(of_a, "a").join(of_b, "b").where(near).select("a", "b")
+
+
 # Production settings of the filter: five-word shingles, texts that share 0.8 of them or more.
 DEDUP_WORDS = 5
 DEDUP_LANES = 4
 DEDUP_SIMILARITY = 0.8
 DEDUP_RECALL = 0.9
+DEDUP_KEY_BITS = 18
+DEDUP_DEVIATIONS = 3.0
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
           similarity: float = DEDUP_SIMILARITY, words: int = DEDUP_WORDS,
-          lanes: int = DEDUP_LANES, recall: float = DEDUP_RECALL) -> DataFrame:
+          lanes: int = DEDUP_LANES, recall: float = DEDUP_RECALL,
+          key_bits: int = DEDUP_KEY_BITS, deviations: float = DEDUP_DEVIATIONS) -> DataFrame:
     """Rows of ``docs`` without those that have a near-duplicate with a smaller key.
 
-    Long fingerprints estimate the share of common shingles; the radius is the expected distance
-    at ``similarity``. ``recall`` is the chance that a pair just at this similarity meets in a
-    key; more similar pairs meet almost surely. Of repeated rows and of rows with equal keys one
-    stays.
+    Long fingerprints bring texts together that may be near; the radius is the distance expected
+    at ``similarity`` and ``deviations`` more. Of each key the forest of the nearest links is
+    taken, and those count whose texts share ``similarity`` of their shingles. ``recall`` is the
+    chance that a pair just at this similarity meets in one of the keys of ``key_bits`` bits; more
+    similar pairs meet almost surely. Keys and radius do not depend on the table. Of repeated rows
+    and of rows with equal keys one stays.
     """
     columns = docs.columns
     marked = stage(
@@ -456,13 +606,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
         )
     )
     bits = 64 * lanes
-    radius = round(bits * (1 - bit_agreement(similarity)))
-    rows = marked.count()
     narrow = marked.select(
         F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("__row").alias("row")).alias("__order"),
         F.col("__prints").alias("prints"),
     )
-    keys = sampled_keys(rows, bits, similarity, recall)
-    classed = classes(narrow, "__order", radius, keys, lanes=lanes, out="__first")
+    texts = marked.select(
+        node_of("__prints", lanes).alias("node"), F.col("__row").alias("row"), F.col(text).alias("text")
+    )
+    classed = classes(
+        narrow, "__order", wide_radius(bits, similarity, deviations),
+        sampled_keys(key_bits, bits, similarity, recall), lanes=lanes, out="__first",
+        confirm=lambda links: confirmed(links, texts, words, similarity),
+    )
     kept = classed.where("__order = __first").select(F.col("__order.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*columns)
