@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -182,3 +183,36 @@ def test_linked_groups_of_an_article_stay(spark, shell):
     # A page of nothing else has its list.
     rows.append((9, "http://r.com/9", page(9, f"<ol>{references}</ol>", shell)))
     assert texts(spark, rows) == {i: want for i in range(4)} | {9: want[want.index("Reference"):]}
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 50000 + "end", "<a " * 300000, '<a ">" x ' * 100000, "<x-y>" * 50000 + "end", "<p id='" * 100000,
+     "<li><div>" + "<x>" * 30000 + "<li>a</li>" * 30000],
+    ids=["nested", "unclosed tags", "quotes", "unknown tags", "unclosed quotes", "items"],
+)
+def test_hard_pages_take_linear_time(page):
+    own = x.page_wrapper(x.tree(page))
+    both = x.merged(own, x.page_wrapper(x.tree(page)))
+    assert x.written(x.read(x.written(both))) == x.written(both)
+    start = time.monotonic()
+    assert x.main_text(page, x.decide(both, 2)).strip()
+    assert time.monotonic() - start < 30
+
+
+def test_deep_page_beside_others(spark, tmp_path):
+    deep = "<html><body>" + "<div>" * 3000 + "<p>inmost</p>"
+    rows = [(1, "http://a.com/1", deep), (2, "http://a.com/2", "<body><article><p>one</p></article></body>"), (3, None, deep)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in x.extract(pages).collect()} == {1: "inmost", 2: "one", 3: "inmost"}
+
+
+@pytest.mark.parametrize("name", ["post-comments", "social-share-box", "comment-list", "left_sidebar", "user-comments-wrapper"])
+def test_side_parts_under_longer_names(name):
+    page = f"<article><p>text</p><div class='{name}'><p>side</p></div><p class='no-comments'>more</p></article>"
+    assert x.main_text(page, x.decide(x.page_wrapper(x.tree(page)), 1)) == "text\nmore"
+
+
+def test_element_without_end_is_text():
+    assert x.main_text("<p>a <b and c", x.decide(x.page_wrapper(x.tree("")), 1)) == "a <b and c"
+    assert x.main_text("<p title='a > b'>c</p>", x.decide(x.page_wrapper(x.tree("")), 1)) == "c"

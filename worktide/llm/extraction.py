@@ -11,7 +11,7 @@ Roots of the main text are found per page: its article elements; without one, it
 without one, the element that holds most of the text outside links on the host's pages of this
 kind, if it holds half of this page's; else the deepest element that holds most of this page's.
 Below the root, elements are left out that are menus, headers, footers, sidebars, notices, adverts,
-forms, comments or code by tag or by a whole name (forms and names only where they do not hold most
+forms, comments or code by tag or by name (forms and names only where they do not hold most
 of the host's text, or all of a page's), and, outside article and main elements, repeated groups that the wrapper shows to be mostly links.
 Without an article or main element, text that is the same on all of at least three pages that differ
 in their text is part of the template and left out as well, unless nothing else is on the page.
@@ -30,9 +30,11 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from typing import Any
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,9 @@ from worktide.llm import batches
 from worktide.llm.urls import host_and_path
 from worktide.operators.staging import stage
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>",
-    re.S,
-)
+# Comments, declarations and the beginnings of elements; where an element ends, Ends tells.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
+QUOTED = re.compile("[>\"']")
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Kinds of elements (fixed values of the language).
@@ -64,6 +64,12 @@ NAMES_LEFT_OUT = frozenset(
     "notices notification pagination popup promo promoted related reply share sharing sidebar signup social "
     "sponsor sponsored subscribe tags toolbar widget".split()
 )
+# Left out as the last part of a longer name too, names of boxes behind it aside.
+NAME_ENDS_LEFT_OUT = frozenset(
+    "ad ads advert adverts advertisement comment comments cookie cookies consent disqus newsletter promo share "
+    "sharing sidebar social sponsor sponsored".split()
+)
+BOXES = frozenset("area block box container list panel section thread wrap wrapper".split())
 # Never left out by name.
 NAMED_AT_WILL = frozenset("html body main article".split())
 ENDS_WITH = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -79,8 +85,6 @@ HOSTS = 2000
 PAGES_FOR_CONSTANT = 3
 # Before the signature of an element that is left out unless it holds most of the text.
 DOUBTFUL = "!"
-# Between the steps of a path; names hold no white space.
-SEP = "\n"
 NO_ROOT = ("p", "li", "td")
 
 
@@ -103,8 +107,16 @@ class Node:
 
 
 def _listed(name: str) -> bool:
-    """The whole name, or all of its hyphen parts, are in the list."""
-    return name in NAMES_LEFT_OUT or all(part in NAMES_LEFT_OUT for part in re.split("[-_]+", name.strip("-_")))
+    """The whole name, or all of its hyphen parts, are in the list, or it ends in what is never part
+    of an article (``post-comments``, ``social-share-box``)."""
+    if name in NAMES_LEFT_OUT:
+        return True
+    parts = re.split("[-_]+", name.strip("-_"))
+    if all(part in NAMES_LEFT_OUT for part in parts):
+        return True
+    while len(parts) > 1 and parts[-1] in BOXES:
+        parts.pop()
+    return parts[-1] in NAME_ENDS_LEFT_OUT and parts[0] not in ("has", "no", "with")
 
 
 def _names(attributes: str) -> list[str]:
@@ -114,22 +126,86 @@ def _names(attributes: str) -> list[str]:
     return [re.sub(r"\d+", "", n) for n in found.lower().split()]
 
 
+class Ends:
+    """Where elements end: at the first ``>`` outside quotes, or, where the quotes do not close, at
+    the first one. What was searched in vain is remembered, so a page is read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.vain: set[int] = set()
+        self.next = -1
+
+    def after(self, at: int) -> int:
+        """Place of the ``>`` that ends the element whose name ends at ``at``; -1 without one."""
+        if at > self.last:
+            return -1
+        if self.next < at:
+            self.next = QUOTED.search(self.page, at).start()
+        found, tried = self.next, []
+        while found not in self.vain:
+            if self.page[found] == ">":
+                return found
+            tried.append(found)
+            close = self.page.find(self.page[found], found + 1)
+            later = QUOTED.search(self.page, close + 1) if close >= 0 else None
+            if later is None:
+                break
+            found = later.start()
+        self.vain.update(tried)
+        return self.page.find(">", at)
+
+
+class Open:
+    """Elements open at a place, and where those of a tag are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.keeps = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in KEEPS:
+            self.keeps.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """End the element at ``depth`` and all inside it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in KEEPS:
+                self.keeps.pop()
+
+    def deepest(self, tags: set[str] | tuple) -> int:
+        """Place of the innermost open element of these tags; 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def tree(page: str) -> Node:
     """Block elements and texts of a page; inline elements only tell whether a text is a link."""
     root = Node("#page", [])
-    stack, links, at, end = [root], 0, 0, len(page)
+    opened, ends = Open(root), Ends(page)
+    stack, links, at, end, text = opened.stack, 0, 0, len(page), 0
     while at < end:
         m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            stack[-1].kids.append((page[at:stop], links > 0))
+        stop = -1
+        if m and m[2]:
+            stop = ends.after(m.end())
+            if stop < 0:
+                # No element after all: it is read on as text.
+                at = m.end()
+                continue
+        upto = m.start() if m else end
+        if upto > text:
+            stack[-1].kids.append((page[text:upto], links > 0))
         if not m:
+            text = end
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at = text = m.end() if stop < 0 else stop + 1
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing = m[1] or m[4]
+        attributes = page[m.end() : stop]
+        closing = m[1]
         if tag == "br":
             stack[-1].kids.append((" ", links > 0))
         elif tag == "a":
@@ -137,15 +213,14 @@ def tree(page: str) -> Node:
         elif closing:
             if tag in INLINE:
                 if stack[-1].tag == tag:
-                    stack.pop()
+                    opened.close(len(stack) - 1)
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    links = 0
-                    break
+            depth = opened.deepest((tag,))
+            if depth:
+                opened.close(depth)
+                links = 0
         else:
-            names = _names(m[3] or m[6] or "")
+            names = _names(attributes)
             node = Node(tag, names)
             if tag in INLINE and not (node.left_out or node.doubtful):
                 continue
@@ -153,18 +228,17 @@ def tree(page: str) -> Node:
                 links = 0
                 # A new block ends inline elements and what it cannot stand in.
                 ended = ENDS_WITH.get(tag, {"p"} if tag not in VOID else ())
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in ended:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in KEEPS:
-                        break
+                depth = opened.deepest(ended)
+                if depth and depth >= opened.keeps[-1]:
+                    opened.close(depth)
             stack[-1].kids.append(node)
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-                stack.append(node)
+                close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                at = text = page.find(">", close.end()) + 1 or end if close else end
+            elif tag not in VOID and not attributes.endswith("/"):
+                opened.push(node)
+    if end > text:
+        stack[-1].kids.append((page[text:], links > 0))
     return root
 
 
@@ -176,11 +250,31 @@ def _digest(text: str) -> str:
     return hashlib.sha1(text.encode()).hexdigest()
 
 
+Steps = Generator["Steps", Any, Any]
+
+
+def _run(steps: Steps) -> Any:
+    """Result of a recursion whose calls are yielded; pages may nest deeper than Python does."""
+    work, result = [steps], None
+    while work:
+        try:
+            work.append(work[-1].send(result))
+            result = None
+        except StopIteration as done:
+            work.pop()
+            result = done.value
+    return result
+
+
 def page_wrapper(node: Node) -> list:
+    return _run(_page_wrapper(node))
+
+
+def _page_wrapper(node: Node) -> Steps:
     parts, chars, linked, text = [], 0, 0, []
     for kid in node.kids:
         if isinstance(kid, Node):
-            parts.append([kid.sig, 1, 1, [], None] if kid.left_out else page_wrapper(kid))
+            parts.append([kid.sig, 1, 1, [], None] if kid.left_out else (yield _page_wrapper(kid)))
         else:
             squeezed = " ".join(kid[0].split())
             if squeezed:
@@ -188,7 +282,7 @@ def page_wrapper(node: Node) -> list:
                 chars += len(squeezed)
                 linked += len(squeezed) if kid[1] else 0
     slot = [1, chars, linked, _digest(" ".join(text))] if chars else None
-    return [node.sig, 1, 1, fold(parts), slot]
+    return [node.sig, 1, 1, (yield _fold(parts)) if len(parts) > 1 else parts, slot]
 
 
 def text_digest(top: Node) -> str:
@@ -203,7 +297,7 @@ def text_digest(top: Node) -> str:
     return _digest(" ".join(texts))
 
 
-def fold(parts: list) -> list:
+def _fold(parts: list) -> Steps:
     """Adjacent equal runs as repeated groups; a long level as one group of optional elements."""
     for width in (1, 2, 3):
         out: list = []
@@ -213,38 +307,42 @@ def fold(parts: list) -> list:
                 first, second = out[-2 * width : -width], out[-width:]
                 if [x[0] for x in first] == [x[0] for x in second]:
                     del out[-2 * width :]
-                    both = [merged(a, b) for a, b in zip(first, second, strict=True)]
+                    both = []
+                    for a, b in zip(first, second, strict=True):
+                        both.append((yield _merged(a, b)))
                     out += [repeated(both[0])] if width == 1 else [group(both)]
             if width > 1 and len(out) > width and out[-width - 1][0] == group_name(out[-width:]):
                 run = out[-width:]
                 del out[-width:]
-                out[-1] = repeated(merged(out[-1], group(run)))
+                out[-1] = repeated((yield _merged(out[-1], group(run))))
         parts = out
     if len(parts) > LEVEL:
         known: dict[str, list] = {}
         for own in _elements(parts):
-            known[own[0]] = merged(known[own[0]], own) if own[0] in known else own
-        parts = [by_tag(parts) if len(known) > 2 * LEVEL else group(list(known.values()))]
+            known[own[0]] = (yield _merged(known[own[0]], own)) if own[0] in known else own
+        parts = [(yield _by_tag(parts)) if len(known) > 2 * LEVEL else group(list(known.values()))]
     return parts
 
 
 def _elements(parts: list) -> Iterator[list]:
     """Elements of a level and of its groups, as optional ones."""
-    for part in parts:
+    work = [(part, 1) for part in reversed(parts)]
+    while work:
+        part, most = work.pop()
+        most = max(most, part[2])
         if part[0].startswith("("):
-            for own in _elements(part[3]):
-                yield [own[0], 0, max(own[2], part[2]), *own[3:]]
+            work.extend((own, most) for own in reversed(part[3]))
         else:
-            yield [part[0], 0, *part[2:]]
+            yield [part[0], 0, most, *part[3:]]
 
 
-def by_tag(parts: list) -> list:
+def _by_tag(parts: list) -> Steps:
     """A level of very many signatures as one group of tags."""
     out: dict[str, list] = {}
     for part in _elements(parts):
         tag = bare(part[0])
         part = [tag, *part[1:]]
-        out[tag] = merged(out[tag], part) if tag in out else part
+        out[tag] = (yield _merged(out[tag], part)) if tag in out else part
     return [BY_TAG, 1, 2, [out[tag] for tag in sorted(out)], None]
 
 
@@ -273,21 +371,29 @@ def _text(a: list | None, b: list | None) -> list | None:
 
 def merged(a: list, b: list) -> list:
     """The wrapper of both; their signatures are equal."""
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), aligned(a[3], b[3]), _text(a[4], b[4])]
+    return _run(_merged(a, b))
+
+
+def _merged(a: list, b: list) -> Steps:
+    parts = (yield _aligned(a[3], b[3])) if a[3] or b[3] else []
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), parts, _text(a[4], b[4])]
 
 
 def _optional(part: list) -> list:
     return [part[0], 0, *part[2:]]
 
 
-def aligned(a: list, b: list) -> list:
+def _aligned(a: list, b: list) -> Steps:
     """Longest common subsequence by signature; the rest is optional."""
     names_a, names_b = [x[0] for x in a], [x[0] for x in b]
     # Once a level goes by tags, it does whatever is aligned with it.
     if BY_TAG in names_a or BY_TAG in names_b:
-        return [by_tag([*a, *b])]
+        return [(yield _by_tag([*a, *b]))]
     if names_a == names_b:
-        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+        out = []
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _merged(x, y)))
+        return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -297,7 +403,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if names_a[i] == names_b[j]:
-            out.append(merged(a[i], b[j]))
+            out.append((yield _merged(a[i], b[j])))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(_optional(a[i]))
@@ -306,50 +412,80 @@ def aligned(a: list, b: list) -> list:
             out.append(_optional(b[j]))
             j += 1
     out += [_optional(x) for x in a[i:]] + [_optional(x) for x in b[j:]]
-    return fold(out)
+    return (yield _fold(out))
 
 
 def expression(wrapper: list) -> str:
     """The wrapper as text, for people."""
+    return _run(_expression(wrapper))
+
+
+def _expression(wrapper: list) -> Steps:
     name, least, most, parts, text = wrapper
-    inner = "".join(expression(p) for p in parts)
+    inner = ""
+    for part in parts:
+        inner += yield _expression(part)
     slot = "" if text is None else ("#text" if text[3] is None else "'...'")
     body = f"({inner})" if name.startswith("(") else f"<{name}>{slot}{inner}</>"
     return body + {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[least, most]
 
 
+def written(wrapper: list) -> str:
+    """A wrapper as JSON: its elements one after another, each with the number of its parts."""
+    rows, work = [], [wrapper]
+    while work:
+        name, least, most, parts, text = work.pop()
+        rows.append([name, least, most, len(parts), text])
+        work.extend(reversed(parts))
+    return json.dumps(rows)
+
+
+def read(text: str) -> list:
+    done: list = []
+    # From the end, the parts of an element are the last ones done.
+    for name, least, most, n, slot in reversed(json.loads(text)):
+        parts = done[len(done) - n :][::-1]
+        del done[len(done) - n :]
+        done.append([name, least, most, parts, slot])
+    return done[0]
+
+
 # Decisions
 
 
 def step(path: str, sig: str, tags: set[str]) -> str:
-    """Path of an element below ``path``; ``tags``: paths below which elements go by tag."""
-    sig = bare(sig) if path in tags else sig
-    return f"{path}{SEP}{sig}" if path else sig
+    """Path of an element below ``path``, of one length however deep the element is; ``tags``:
+    paths below which elements go by tag."""
+    return xxhash.xxh3_128_hexdigest(f"{path} {bare(sig) if path in tags else sig}")
 
 
-def _walk(wrapper: list, path: str, many: bool, tags: set[str], out: dict) -> None:
-    name, _, most, parts, text = wrapper
-    if name.startswith("("):
-        if name == BY_TAG:
-            tags.add(path)
-        for part in parts:
-            _walk(part, path, many or most > 1, tags, out)
-        return
-    path = step(path, name, tags)
-    own = out.setdefault(path, {"text": None, "many": False})
-    own["text"] = _text(own["text"], text)
-    own["many"] |= many or most > 1
-    for part in parts:
-        _walk(part, path, False, tags, out)
+def _walk(wrapper: list, tags: set[str], out: dict) -> None:
+    """Every path of a wrapper, parents first, with its text."""
+    work = [(wrapper, "", False, 0)]
+    while work:
+        (name, _, most, parts, text), up, many, depth = work.pop()
+        if name.startswith("("):
+            if name == BY_TAG:
+                tags.add(up)
+            work.extend((part, up, many or most > 1, depth) for part in reversed(parts))
+            continue
+        path = step(up, name, tags)
+        own = out.setdefault(
+            path, {"text": None, "many": False, "up": up, "depth": depth, "tag": bare(name).removeprefix(DOUBTFUL),
+                   "doubtful": name.startswith(DOUBTFUL)}
+        )
+        own["text"] = _text(own["text"], text)
+        own["many"] |= many or most > 1
+        work.extend((part, path, False, depth + 1) for part in reversed(parts))
 
 
-def _within(path: str, some: set[str]) -> bool:
-    """Whether the path or one above it is among ``some``."""
-    while path:
-        if path in some:
-            return True
-        path = path.rpartition(SEP)[0]
-    return False
+def _within(paths: dict, some: set[str]) -> set[str]:
+    """Paths that are among ``some`` or below one of them."""
+    found: set[str] = set()
+    for path, own in paths.items():
+        if path in some or own["up"] in found:
+            found.add(path)
+    return found
 
 
 def decide(wrapper: list, pages: int, different: int | None = None) -> dict:
@@ -363,48 +499,42 @@ def decide(wrapper: list, pages: int, different: int | None = None) -> dict:
     while True:
         paths: dict[str, dict] = {}
         before = len(tags)
-        _walk(wrapper, "", False, tags, paths)
+        _walk(wrapper, tags, paths)
         if len(tags) == before:
             break
 
-    def tag(path: str) -> str:
-        return bare(path.rpartition(SEP)[2]).removeprefix(DOUBTFUL)
-
     def sums(own: dict[str, int]) -> dict[str, int]:
-        out = dict.fromkeys(paths, 0)
-        for path, n in own.items():
-            while n and path:
-                out[path] += n
-                path = path.rpartition(SEP)[0]
+        out = dict(own)
+        for path in reversed(paths):
+            if paths[path]["up"]:
+                out[paths[path]["up"]] += out[path]
         return out
 
     unlinked = {p: x["text"][1] - x["text"][2] if x["text"] else 0 for p, x in paths.items()}
     total, inside = sum(unlinked.values()), sums(unlinked)
-    doubtful = {p for p in paths if p.rpartition(SEP)[2].startswith(DOUBTFUL)}
+    doubtful = {p for p, x in paths.items() if x["doubtful"]}
     kept = {p for p in doubtful if total and 10 * inside[p] >= 7 * total}
-    doubtful -= kept
-    for p, x in paths.items():
-        if _within(p, doubtful):
-            x["text"] = None
+    for p in _within(paths, doubtful - kept):
+        paths[p]["text"] = None
     chars = sums({p: x["text"][1] if x["text"] else 0 for p, x in paths.items()})
     links = sums({p: x["text"][2] if x["text"] else 0 for p, x in paths.items()})
     menus = {
         p for p, x in paths.items()
-        if x["many"] and chars[p] and 10 * links[p] > 8 * chars[p] and tag(p) not in ("p", "body", "html")
+        if x["many"] and chars[p] and 10 * links[p] > 8 * chars[p] and x["tag"] not in ("p", "body", "html")
     }
     # Pages with an article or main element need no inferred root.
-    others = menus | {p for p in paths if tag(p) in ("article", "main")}
-    own = {p: x["text"][1] - x["text"][2] if x["text"] and not _within(p, others) else 0 for p, x in paths.items()}
+    others = _within(paths, menus | {p for p, x in paths.items() if x["tag"] in ("article", "main")})
+    own = {p: x["text"][1] - x["text"][2] if x["text"] and p not in others else 0 for p, x in paths.items()}
     total, inside = sum(own.values()), sums(own)
-    most = [p for p in paths if total and 10 * inside[p] >= 7 * total and tag(p) not in NO_ROOT]
+    most = [p for p, x in paths.items() if total and 10 * inside[p] >= 7 * total and x["tag"] not in NO_ROOT]
     constant = [
         p for p, x in paths.items()
         if different >= PAGES_FOR_CONSTANT and x["text"] and x["text"][0] == pages and x["text"][3] is not None
     ]
     return {
-        "roots": [max(most, key=lambda p: p.count(SEP))] if most else [],
+        "roots": [max(most, key=lambda p: paths[p]["depth"])] if most else [],
         "menus": sorted(menus),
-        "constant": constant,
+        "constant": sorted(constant),
         "tags": sorted(tags),
         "kept": sorted(kept),
     }
@@ -557,7 +687,7 @@ def _folder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple[int, list[str], list]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, n, seen, json.dumps(w)) for h, (n, seen, w) in known.items()]
+        rows = [(h, n, seen, written(w)) for h, (n, seen, w) in known.items()]
         known.clear()
         hosts, pages, digests, wrappers = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
@@ -592,7 +722,7 @@ def _refolder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([host], pa.string()), pa.array([n], pa.int64()),
-                pa.array([seen], pa.list_(pa.string())), pa.array([json.dumps(wrapper)], pa.string()),
+                pa.array([seen], pa.list_(pa.string())), pa.array([written(wrapper)], pa.string()),
             ],
             ["host", "pages", "different", "wrapper"],
         )
@@ -600,7 +730,7 @@ def _refolder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         columns = [batch.column(c).to_pylist() for c in ("host", "pages", "different", "wrapper")]
         for host, n, seen, text in zip(*columns, strict=True):
-            wrapper = json.loads(text)
+            wrapper = read(text)
             if held and held[0] == host:
                 held = (host, held[1] + n, _different(held[2], seen), merged(held[3], wrapper))
             else:
@@ -635,7 +765,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 def _decider(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
         rows = zip(*(c.to_pylist() for c in part), strict=True)
-        yield pa.array([json.dumps(decide(json.loads(w), n, d)) for w, n, d in rows], pa.string())
+        yield pa.array([json.dumps(decide(read(w), n, d)) for w, n, d in rows], pa.string())
 
 
 _decider.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
