@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -70,3 +71,55 @@ def test_placeholders_take_only_themselves_out(spark, documents):
         assert s.MASK in got[i] and key not in got[i] and letters not in got[i]
         assert not any(given[i][k : k + 20] in got[i] for k in range(len(given[i]) - 40, len(given[i]) - 19))
     assert [got[i] for i in range(5, len(given))] == given[5:]
+
+
+def test_long_run_equals_its_windows(spark):
+    """A run over several pieces, with the first and the last window that counts at any place."""
+    rng = __import__("random").Random(3)
+    plain, key = "z1" * 6000, "aB3dE5gH7jK9mN1pQ2rS4tU6vW8x"
+    given = [plain]
+    for _ in range(12):
+        run = plain
+        for at in rng.choices([*range(4060, 4130), *range(8160, 8220), 0, 11970], k=2):
+            run = run[:at] + key + run[at + len(key) :]
+        given.append(run)
+    limit = next(k for k in s.CLASSES if k.name == "token").bits
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")
+    for r in s.scan(rows).collect():
+        text = given[r.doc_id]
+        ends = [
+            i for i in range(s.WINDOW, len(text) + 1) if entropy(text[i - s.WINDOW : i]) >= limit - 1e-9
+        ]
+        assert [tuple(x) for x in r.spans] == ([(ends[0] - s.WINDOW, 3, ends[-1])] if ends else [])
+
+
+def test_covered_spans_and_masking_over_pieces(spark):
+    """Against plain Python: many spans, with gaps and spans longer than a piece."""
+    rng = __import__("random").Random(4)
+    key = "qR7tZ2mK9xW4cV8bN3jL6hG1fD5sP0aYuE7iT2oM"
+    parts = [key, "0a1b2c3d" * 4, "secret=" + "k9" * 2500, "é😀 ", "wörd " * 1000, "password: hunter22 ", "x "]
+    given = ["".join(rng.choice(parts) + rng.choice([" ", "\n", ""]) for _ in range(40)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")
+    for r in s.scan(rows).collect():
+        base = {tuple(x) for x in r.base}
+        assert base <= {tuple(x) for x in r.spans} and sorted(r.spans) == r.spans
+        added = [x for x in r.spans if x.kind == 3]
+        assert not any(a <= x.start and x.end <= e for x in added for a, _, e in base)
+    found = {r.doc_id: r.spans for r in s.scan(rows, whole=True).collect()}
+    for r in s.redact(rows).collect():
+        text, out, at = given[r.doc_id], [], 0
+        for x in found[r.doc_id]:
+            if x.start >= at:
+                out += [text[at : x.start], s.MASK]
+            at = max(at, x.end)
+        assert r.text == "".join(out) + text[at:]
+
+
+def test_very_long_run_and_very_many_matches(spark):
+    """Time follows the length: a run of a million characters, 20,000 matches in one text."""
+    run = "".join(__import__("random").Random(1).choices("abcdefghijKLMNOPQRST0123456789+/", k=1_000_000))
+    rows = [(1, f"data {run} end"), (2, "0a1b2c3d9e8f7a6b5c4d3e2f " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    masked = {r.doc_id: r.text for r in s.redact(docs).collect()}
+    assert re.fullmatch(r"data .{0,20}\[SECRET\].{0,20} end", masked[1])
+    assert masked[2] == f"{s.MASK} " * 20_000

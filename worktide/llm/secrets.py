@@ -15,6 +15,7 @@ code points.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,46 +82,129 @@ def term(count: int) -> int:
 
 TERMS = [term(c) for c in range(WINDOW + 1)]
 
+# Elements that are appended one by one; longer arrays are made of such blocks.
+BLOCK = 64
+# Characters by which long runs and texts are cut.
+PIECE = 4096
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(
+    items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str
+) -> Column:
+    """Array of what ``step(carry, item)``, which gives the next carry, an int, and a value of the SQL
+    type ``out``, says of each item.
+
+    A fold copies its state at each step, so only the carries between blocks of items are gathered
+    first; each block then gathers its own values from its carry.
+    """
+
+    def nothing(of: str) -> Column:
+        return F.expr(f"cast(array() as array<{of}>)").alias("out")
+
+    def one(state: Column, item: Column) -> Column:
+        carry, value = step(state["carry"], item)
+        return F.struct(carry.alias("carry"), F.concat(state["out"], F.array(value)).alias("out"))
+
+    def past(state: Column, part: Column) -> Column:
+        return F.struct(
+            F.aggregate(part, state["carry"], lambda carry, item: step(carry, item)[0]).alias("carry"),
+            F.concat(state["out"], F.array(state["carry"])).alias("out"),
+        )
+
+    def from_carries(parts: Column) -> Column:
+        carries = F.aggregate(
+            parts, F.struct(zero.alias("carry"), nothing("int")), past, lambda state: state["out"]
+        )
+        return let(carries, lambda at: F.flatten(F.transform(parts, lambda part, i: F.aggregate(
+            part, F.struct(F.get(at, i).alias("carry"), nothing(out)), one, lambda state: state["out"],
+        ))))
+
+    def blocks(array: Column) -> Column:
+        parts = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(array) / BLOCK).cast("int")),
+            lambda i: F.slice(array, i * BLOCK + 1, BLOCK),
+        )
+        return let(parts, from_carries)
+
+    return let(items, blocks)
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+FOUND = "struct<start:int,kind:int,end:int,text:string>"
+
 
 def places(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, kind, end, text) of the leftmost matches that do not overlap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(
-        found, F.slice(between, 1, F.size(found)),
-        lambda m, gap: F.struct(m.alias("text"), F.length(gap).alias("gap")),
+        found, between, lambda m, gap: F.struct(m.alias("text"), F.length(gap).alias("gap"))
     )
     rank = F.lit(KINDS.index(kind))
-    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,text:string>>)")
 
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + m["gap"]
         end = start + F.length(m["text"])
-        span = F.struct(start.alias("start"), rank.alias("kind"), end.alias("end"), m["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return end, F.struct(start.alias("start"), rank.alias("kind"), end.alias("end"), m["text"].alias("text"))
+
+    # The piece after the last match has no match of its own.
+    matches = F.filter(pairs, lambda m: m["text"].isNotNull())
+    nothing = F.expr(f"cast(array() as array<{FOUND}>)")
+    return F.when(text.rlike(pattern), running(matches, F.lit(0), step, FOUND)).otherwise(nothing)
+
 
-    zero = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
-    folded = F.aggregate(pairs, zero, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(nothing)
+# Cells of the counts of a window, one character each: the first is that of "+", the last that of "z".
+FIRST_CELL, CELLS = ord("+"), ord("z") - ord("+") + 1
+NO_COUNT = ord("A")
 
 
-def _changes(s: str) -> str:
-    """SQL of the change of the sum of terms when each character enters its window."""
-    terms = "array(" + ",".join(f"{t}L" for t in TERMS) + ")"
-    before = f"substring({s}, greatest(i - {WINDOW}, 1), least(i - 1, {WINDOW}))"
-    after = f"substring({s}, greatest(i - {WINDOW - 1}, 1), least(i - 1, {WINDOW - 1}))"
-    gone = f"substring({s}, i - {WINDOW}, 1)"
-    new = f"substring({s}, i, 1)"
+def _window_ends(text: str, limit: str) -> str:
+    """SQL of (first, last), the ends of the first and the last window of a run whose sum of terms is
+    within the limit; zero if none is.
 
-    def count(window: str, char: str) -> str:
-        return f"(length({window}) - length(replace({window}, {char}, '')))"
+    A long run is cut into pieces that share all but one character of a window, so each window lies
+    in one piece. The counts of the window's characters are cells of a string; of the character that
+    enters and the one that leaves, the cells and the terms of the sum are changed. A window is judged
+    when the next character comes, so that its sum is computed once.
+    """
+    up = "array(" + ",".join(f"{TERMS[c + 1] - TERMS[c]}L" for c in range(WINDOW)) + ")"
+    down = "array(0L," + ",".join(f"{TERMS[c - 1] - TERMS[c]}L" for c in range(1, WINDOW + 1)) + ")"
+    pieces = f"regexp_extract_all({text}, '(?=(.{{{WINDOW},{PIECE + WINDOW - 1}}})).{{1,{PIECE}}}', 1)"
+    gone = f"get(chars, a.i - {WINDOW})"
 
-    leave = (
-        f"case when i > {WINDOW} then "
-        f"{terms}[{count(before, gone)} - 1] - {terms}[{count(before, gone)}] else 0L end"
+    def cell(char: str) -> str:
+        return f"(ascii({char}) - {FIRST_CELL - 1})"
+
+    def count(char: str) -> str:
+        return f"(ascii(substring(a.cells, {cell(char)}, 1)) - {NO_COUNT})"
+
+    def changed(cells: str, char: str, by: int) -> str:
+        return f"overlay({cells} placing chr({count(char)} + {NO_COUNT + by}) from {cell(char)} for 1)"
+
+    leaves = f"a.i >= {WINDOW}"
+    total = f"a.sum + {up}[{count('x')}] + if({leaves}, {down}[{count(gone)}], 0L)"
+    entered = changed("a.cells", "x", 1)
+    cells = f"if({leaves}, {changed(entered, gone, -1)}, {entered})"
+    counts = f"a.i >= {WINDOW} and a.sum <= {limit}"
+    first, last = f"if(a.first = 0 and {counts}, a.i, a.first)", f"if({counts}, a.i, a.last)"
+    folded = (
+        "aggregate(chars, named_struct('sum', 0L, 'i', 0, 'cells', "
+        f"repeat('{chr(NO_COUNT)}', {CELLS}), 'first', 0, 'last', 0), "
+        f"(a, x) -> named_struct('sum', if(x <=> {gone}, a.sum, {total}), 'i', a.i + 1, "
+        f"'cells', if(x <=> {gone}, a.cells, {cells}), 'first', {first}, 'last', {last}), "
+        f"a -> named_struct('first', {first}, 'last', {last}))"
+    )
+    ends = f"transform({pieces}, p -> transform(array(split(p, '')), chars -> {folded})[0])"
+    return (
+        f"aggregate({ends}, named_struct('at', 0, 'first', 0, 'last', 0), (a, e) -> named_struct("
+        f"'at', a.at + {PIECE}, 'first', if(a.first = 0 and e.first > 0, a.at + e.first, a.first), "
+        "'last', if(e.last > 0, a.at + e.last, a.last)))"
     )
-    enter = f"{terms}[{count(after, new)} + 1] - {terms}[{count(after, new)}]"
-    return f"transform(sequence(1, length({s})), i -> {leave} + {enter})"
 
 
 def _blanked(s: str) -> str:
@@ -140,13 +224,9 @@ def entropy_spans(candidates: str, whole: bool = False) -> Column:
         f"when rlike(c.text, '{k.pattern}') then {-1 if math.isinf(k.bits) else k.limit}L" for k in kinds
     ) + " end"
     folded = (
-        f"aggregate({_changes('c.text')}, "
-        "named_struct('sum', 0L, 'i', 0, 'first', 0, 'last', 0), "
-        "(a, d) -> named_struct('sum', a.sum + d, 'i', a.i + 1, "
-        f"'first', if(a.first = 0 and a.i + 1 >= {WINDOW} and a.sum + d <= c.limit, a.i + 1, a.first), "
-        f"'last', if(a.i + 1 >= {WINDOW} and a.sum + d <= c.limit, a.i + 1, a.last)), "
-        f"a -> named_struct('start', c.start + a.first - {WINDOW}, 'kind', {KINDS.index('entropy')}, "
-        "'end', if(a.first = 0, -1, c.start + a.last)))"
+        f"transform(array({_window_ends('c.text', 'c.limit')}), e -> named_struct("
+        f"'start', c.start + e.first - {WINDOW}, 'kind', {KINDS.index('entropy')}, "
+        "'end', if(e.first = 0, -1, c.start + e.last)))[0]"
     )
     limited = (
         f"transform({candidates}, c -> named_struct('start', c.start, 'text', c.text, 'limit', {limit}))"
@@ -181,13 +261,25 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "
         ))),
     )
     rows = rows.withColumn("__entropy", entropy_spans("__candidates", whole))
-    added = F.expr(
-        "filter(__entropy, e -> not exists(__base, b -> b.start <= e.start and b.end >= e.end))"
+    entropy = KINDS.index("entropy")
+
+    def covered(reach: Column, s: Column) -> tuple[Column, Column]:
+        # By start and kind, all fixed spans that may cover a span come before it.
+        fixed = s["kind"] != entropy
+        return (
+            F.when(fixed, F.greatest(reach, s["end"])).otherwise(reach),
+            F.struct(s["start"], s["kind"], s["end"], (fixed | (reach < s["end"])).alias("stays")),
+        )
+
+    all_spans = F.array_sort(F.concat("__base", "__entropy"))
+    judged = running(all_spans, F.lit(-1), covered, SPAN[:-1] + ",stays:boolean>")
+    standing = F.transform(
+        F.filter(judged, lambda s: s["stays"]), lambda s: F.struct(s["start"], s["kind"], s["end"])
     )
     return rows.select(
         *[F.col(c) for c in docs.columns if c not in (base, spans) or c == text],
         *([] if base == text else [F.col("__base").alias(base)]),
-        F.array_sort(F.concat("__base", added)).alias(spans),
+        F.when(F.size("__entropy") > 0, standing).otherwise(F.col("__base")).alias(spans),
     )
 
 
@@ -216,20 +308,36 @@ def redact(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
     columns = docs.columns
     rows = scan(docs, text, "__fixed", "__spans", whole=True)
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.struct(at.alias("start"), s["start"].alias("end"))
+        return F.greatest(at, s["end"]), gap
+
+    def masked_text(pieces: Column) -> Column:
+        def between(gap: Column) -> Column:
+            # The end lies in the piece of the gap's last character, so that no gap needs a piece more.
+            first, last = (F.floor(p / PIECE).cast("int") for p in (gap["start"], gap["end"] - 1))
+            head = F.substring(F.get(pieces, first), gap["start"] % PIECE + 1, F.lit(PIECE))
+            inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            tail = F.substring(F.get(pieces, last), F.lit(1), gap["end"] - last * PIECE)
+            within = F.substring(
+                F.get(pieces, first), gap["start"] % PIECE + 1, gap["end"] - gap["start"]
+            )
+            return (
+                F.when(gap["end"] == gap["start"], "")
+                .when(first == last, within).otherwise(F.concat(head, inner, tail))
+            )
+
+        gaps = F.filter(
+            running(F.col("__spans"), F.lit(0), step, "struct<start:int,end:int>"),
+            lambda gap: gap["start"] <= gap["end"],
         )
+        rest = F.struct(
+            F.array_max(F.transform("__spans", lambda s: s["end"])).alias("start"),
+            F.length(F.col(text)).alias("end"),
+        )
+        return F.array_join(F.transform(F.concat(gaps, F.array(rest)), between), mask)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        F.col("__spans"), zero, step,
-        lambda state: F.concat(
-            state["out"], F.substring(F.col(text), state["at"] + 1, F.length(F.col(text)))
-        ),
-    )
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    masked = let(pieces, masked_text)
     changed = F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))
     return rows.withColumn(text, changed).select(*columns)
