@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +189,31 @@ def test_knn_of_many_small_groups_and_a_hot_one(spark):
     assert "Join Cross" not in plan
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_a_full_tile_holds_few_distances_at_once(equal):
+    """The matrix of all distances of a full tile has 16 million numbers (134 MB)."""
+    rnd = np.random.default_rng(4)
+
+    def side(key, n):
+        rows = np.ones((n, 8)) if equal else rnd.normal(size=(n, 8))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 8), pa.array(rows.ravel()))
+        return pa.table({key: np.arange(n), "vector": vectors, "__group": [""] * n})
+
+    out = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64())])
+    queries, corpus = side("query_id", 2048), side("chunk_id", 8192)
+    tracemalloc.start()
+    found = rt._block_top_k(3, out)(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 3 * 2048 and peak < 120e6
+    if equal:
+        assert found["chunk_id"].to_pylist()[:6] == [0, 1, 2, 0, 1, 2]
+        return
+    a, b = rt._matrix(queries["vector"])[:50], rt._matrix(corpus["vector"])
+    want = [sorted(range(8192), key=lambda j: (round(1 - a[i] @ b[j], 9), j))[:3] for i in range(50)]
+    assert found["chunk_id"].to_pylist()[:150] == sum(want, [])
+
+
 def test_merge_never_repeats_or_exceeds(spark):
     def ranked(ids):
         return spark.createDataFrame([("q", c, p) for p, c in enumerate(ids)], "query_id string, chunk_id int, place int")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from worktide.operators.ordered import top_k
 from worktide.operators.staging import stage
 
 DIGITS = 9
+# Numbers of a product that are held at once (8 MB).
+CELLS = 1 << 20
 
 
 # ---- chunking -----------------------------------------------------------
@@ -189,13 +192,49 @@ def nearest(corpus: DataFrame, query: Sequence[float], k: int, vector: str = "ve
     )
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1.0, norms)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of a fixed-length list column, scaled to unit length."""
     flat = column.combine_chunks()
     values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    rows = values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms == 0, 1.0, norms)
+    return unit(values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1))
+
+
+def top_places(
+    queries: np.ndarray, corpus: np.ndarray, k: int, limit: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, rounded distance) of the k nearest corpus rows of each query, ties to the
+    lower place; rows farther than the query's ``limit`` are left out.
+
+    Queries go in slices, so that no more than about ``CELLS`` distances are held at once, however
+    large the blocks are and however many rows are equally near.
+    """
+    keep = min(k, len(corpus))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, CELLS // max(1, len(corpus)))
+    for start in range(0, len(queries) if keep else 0, step):
+        table = 1.0 - queries[start : start + step] @ corpus.T
+        if limit is not None and np.isfinite(own := limit[start : start + step]).all():
+            # Limits are rounded; a distance may round down to one.
+            rows, cols = np.nonzero(table <= own[:, None] + 10.0**-DIGITS)
+            distance = np.round(table[rows, cols], DIGITS)
+            near = distance <= own[rows]
+            rows, cols, distance = rows[near], cols[near], distance[near]
+        else:
+            table = np.round(table, DIGITS)
+            bound = np.partition(table, keep - 1, axis=1)[:, keep - 1 : keep]
+            rows, cols = np.nonzero(table <= bound)
+            distance = table[rows, cols]
+        order = np.lexsort((cols, distance, rows))
+        rows, cols, distance = rows[order], cols[order], distance[order]
+        inside = np.arange(len(rows)) - np.searchsorted(rows, rows) < keep
+        found.append((rows[inside] + start, cols[inside], distance[inside]))
+    rows, cols, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows, cols, distance
 
 
 def _by_group(rows: pa.Table) -> dict[str, pa.Table]:
@@ -212,20 +251,12 @@ def _block_top_k(k: int, out: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Ta
 
     def product(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         corpus = corpus.sort_by("chunk_id")
-        table = np.round(1.0 - _matrix(queries["vector"]) @ _matrix(corpus["vector"]).T, DIGITS)
-        keep = min(k, table.shape[1])
-        bound = np.partition(table, keep - 1, axis=1)[:, keep - 1 : keep]
-        rows, cols = np.nonzero(table <= bound)
-        order = np.lexsort((cols, table[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.searchsorted(rows, np.arange(table.shape[0]))
-        inside = np.arange(len(rows)) - starts[rows] < keep
-        rows, cols = rows[inside], cols[inside]
+        rows, cols, distance = top_places(_matrix(queries["vector"]), _matrix(corpus["vector"]), k)
         return pa.table(
             [
                 queries["query_id"].combine_chunks().take(pa.array(rows)),
                 corpus["chunk_id"].combine_chunks().take(pa.array(cols)),
-                pa.array(table[rows, cols], pa.float64()),
+                pa.array(distance, pa.float64()),
             ],
             names=out.names,
         ).cast(out)
