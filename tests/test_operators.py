@@ -173,6 +173,31 @@ def test_knn_equals_brute_force_on_a_hot_group(spark):
     assert [r.chunk_id for r in one] == sorted(range(90), key=lambda i: (round(1 - unit[0] @ unit[i], 9), i))[:3]
 
 
+def test_knn_of_all_rows_in_many_packs(spark):
+    """Packs of four queries and seven chunks, with copies across packs and repeated ids."""
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(120, 8)).round(2)
+    base[40:60] = base[40]
+    corpus = spark.createDataFrame(
+        [(i % 110, base[i].tolist()) for i in range(120)], "chunk_id int, vector array<float>"
+    ).repartition(3)
+    asked = spark.createDataFrame(
+        [("q%d" % i, base[i].tolist()) for i in range(0, 120, 3)], "query_id string, vector array<float>"
+    ).repartition(2)
+    got = defaultdict(list)
+    found = rt.knn(asked, corpus, 5, query_bytes=4 * 32, corpus_bytes=7 * 32)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.chunk_id)
+    data = np.asarray(base, dtype=np.float32).astype(float)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    for q in range(0, 120, 3):
+        want = sorted((round(1 - unit[q] @ unit[i], 9), i % 110) for i in range(120))[:5]
+        assert got["q%d" % q] == [i for _, i in want]
+    # A vector is shuffled once, to make packs even; pairs of packs are read from their tables.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "explode" not in plan
+
+
 def test_knn_of_many_small_groups_and_a_hot_one(spark):
     """Ten thousand groups of one chunk share tiles; a group with a third of all rows is cut."""
     rows = spark.range(15000).select(

@@ -280,6 +280,179 @@ def _blocks(rows: DataFrame, on: Sequence[str], block_bytes: int, names: tuple[s
     )
 
 
+def _packer(size: int, out: pa.Schema, by: str | None) -> Callable:
+    """Rows to packs of about ``size`` bytes of vectors; equal ``by`` that follow each other stay together
+    up to four times that."""
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        columns = []
+        for field in out:
+            column = pa.concat_arrays(rows[field.name].chunks)
+            if field.name == "vector":
+                if column.null_count:
+                    raise ValueError("a row has no vector")
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+                columns.append(pa.array([flat.tobytes()], pa.binary()))
+            else:
+                ends = pa.array([0, len(column)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, column).cast(field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=out)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            held.append(part)
+            width = max(1, len(held[0]["vector"].flatten()) // held[0].num_rows)
+            count = max(1, size // (4 * width))
+            if sum(p.num_rows for p in held) < count:
+                continue
+            rows = pa.Table.from_batches(held)
+            while rows.num_rows >= count:
+                cut = count
+                if by:
+                    names = rows[by].slice(0, 4 * count).to_numpy()
+                    later = np.flatnonzero(names[count:] != names[count - 1 : -1])
+                    if not len(later) and len(names) < 4 * count:
+                        break
+                    cut = count + int(later[0]) if len(later) else count
+                yield pack(rows.slice(0, cut))
+                rows = rows.slice(cut)
+            held = rows.to_batches()
+        if held:
+            yield pack(pa.Table.from_batches(held))
+
+    return run
+
+
+def packed(rows: DataFrame, size: int, by: str | None = None) -> DataFrame:
+    """A written table with a row per pack of rows: a list per column, the vectors as bytes."""
+    fields = [
+        T.StructField(f.name, T.BinaryType() if f.name == "vector" else T.ArrayType(f.dataType))
+        for f in rows.schema
+    ]
+    schema = T.StructType(fields)
+    packs = rows.mapInArrow(_packer(size, to_arrow_schema(schema), by), schema)
+    # A pack is large, so a few of them make a task.
+    spread = rows.sparkSession.sparkContext.defaultParallelism
+    return stage(packs.repartition(spread))
+
+
+class Asked:
+    """A pack of queries with the nearest rows found so far."""
+
+    def __init__(self, columns: dict[str, pa.Array], rows: np.ndarray, k: int):
+        self.columns, self.rows, self.k = columns, rows, k
+        given = columns.get("limit")
+        limit = np.full(len(rows), np.inf)
+        if given is not None:
+            limit = np.asarray(given.fill_null(np.inf), np.float64).copy()
+        # No farther row can be among the nearest.
+        self.limit = limit
+        self.best: pa.Table | None = None
+        self.seen = 0
+
+    def add(self, rows: np.ndarray, ids: pa.Array, distance: np.ndarray) -> None:
+        best = pa.table([pa.array(rows), ids, pa.array(distance)], names=["row", "chunk_id", "distance"])
+        if self.best is not None:
+            best = pa.concat_tables([self.best, best])
+        order = pc.sort_indices(
+            best, sort_keys=[(c, "ascending") for c in ("row", "distance", "chunk_id")], null_placement="at_start"
+        )
+        best = best.take(order)
+        at, distance = best["row"].to_numpy(), best["distance"].to_numpy()
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        self.best = best.filter(pa.array(place < self.k))
+        last = place == self.k - 1
+        self.limit[at[last]] = np.minimum(self.limit[at[last]], distance[last])
+
+
+Search = Callable[[Asked, dict[str, pa.Array], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def nearest_of_all(asked: Asked, columns: dict[str, pa.Array], rows: np.ndarray):
+    """Every query meets every row of the pack."""
+    asked.seen += len(asked.rows)
+    return top_places(asked.rows, rows, asked.k, asked.limit)
+
+
+def _pair_top_k(k: int, search: Search, out: pa.Schema) -> Callable:
+    """Pairs of packs to the k nearest rows of each query; queries of a few packs are held."""
+
+    def columns(part: pa.RecordBatch, at: int, side: str) -> tuple[dict[str, pa.Array], np.ndarray]:
+        own = {n.removeprefix(side): part[n] for n in part.schema.names if n.startswith(side)}
+        flat = np.frombuffer(own.pop("vector")[at].as_py(), "<f4").astype(np.float64)
+        lists = {n: column[at].values for n, column in own.items() if n != "pack"}
+        count = len(next(iter(lists.values())))
+        return lists, unit(flat.reshape(count, -1))
+
+    def results(held: dict[int, Asked]) -> Iterator[pa.RecordBatch]:
+        for asked in held.values():
+            none = [None]
+            if asked.best is not None:
+                best = asked.best.combine_chunks()
+                ids = asked.columns["query_id"].take(pa.concat_arrays(best["row"].chunks or [pa.array([], pa.int64())]))
+                yield from pa.table(
+                    [ids, best["chunk_id"], best["distance"], pa.nulls(best.num_rows, pa.int64())], names=out.names
+                ).cast(out).to_batches()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(none, f.type) for f in list(out)[:3]] + [pa.array([asked.seen], pa.int64())], schema=out
+            )
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Asked] = {}
+        for part in parts:
+            for at in range(part.num_rows):
+                pack = part["q_pack"][at].as_py()
+                if pack not in held:
+                    if sum(len(x.rows) for x in held.values()) >= 1 << 14:
+                        yield from results(held)
+                        held = {}
+                    held[pack] = Asked(*columns(part, at, "q_"), k)
+                asked = held[pack]
+                lists, rows = columns(part, at, "c_")
+                if "block" not in lists:
+                    # Ties go to the lower id.
+                    order = pc.array_sort_indices(lists["chunk_id"], null_placement="at_start")
+                    lists = {n: x.take(order) for n, x in lists.items()}
+                    rows = rows[order.to_numpy()]
+                found, places, distance = search(asked, lists, rows)
+                if len(found):
+                    asked.add(found, lists["chunk_id"].take(pa.array(places)), distance)
+        yield from results(held)
+
+    return run
+
+
+def pairs_top_k(queries: DataFrame, corpus: DataFrame, k: int, search: Search = nearest_of_all) -> DataFrame:
+    """k nearest rows (query_id, chunk_id, distance) per query and task, from tables of packs; rows without
+    distance hold in ``seen`` how many places the queries of a pack were compared with.
+
+    Every pack of queries meets every pack of the corpus in some task. Packs are read from their
+    written tables, so of all pairs nothing is shuffled but results; a task holds a few packs.
+    """
+    spark = queries.sparkSession
+    n = queries.count()
+    total = corpus.agg(F.count("*").alias("n"), F.sum(F.length("vector")).alias("bytes")).first()
+    # Results are k rows per query and part of the corpus: as few parts as memory and tasks allow.
+    parts = max(-(-(total.bytes or 0) // (1 << 26)), -(-2 * spark.sparkContext.defaultParallelism // max(1, n)))
+    left = queries.withColumn("pack", F.monotonically_increasing_id())
+    left = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
+    right = corpus.select(*[F.col(c).alias(f"c_{c}") for c in corpus.columns])
+    kinds = [queries.schema["query_id"].dataType.elementType, corpus.schema["chunk_id"].dataType.elementType]
+    schema = T.StructType(
+        [
+            T.StructField("query_id", kinds[0]),
+            T.StructField("chunk_id", kinds[1]),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("seen", T.LongType()),
+        ]
+    )
+    pairs = left.crossJoin(right.coalesce(max(1, min(parts, total.n))))
+    return pairs.mapInArrow(_pair_top_k(k, search, to_arrow_schema(schema)), schema)
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -294,8 +467,9 @@ def knn(
     and ``on``. Both sides are cut into blocks of bounded size, however large a
     group is; a task multiplies one query block with one corpus block and
     returns k rows per query, so pairs never leave a task. Groups of one block
-    share a tile with others of their kind. Vectors travel as single floats.
-    Ties go to the lower chunk id.
+    share a tile with others of their kind. Without ``on`` blocks are read from
+    written tables instead of copied through a shuffle. Vectors travel as single
+    floats. Ties go to the lower chunk id.
     """
     on = list(on)
     # Fresh columns on one side: both may come from the same table.
@@ -303,8 +477,9 @@ def knn(
     queries = queries.select("query_id", single, *on)
     corpus = corpus.select(F.col("chunk_id").alias("chunk_id"), single, *[F.col(c).alias(c) for c in on])
     if not on:
-        queries, corpus = (x.withColumn("__all", F.lit(0)) for x in (queries, corpus))
-        on = ["__all"]
+        found = pairs_top_k(packed(queries, query_bytes), packed(corpus, corpus_bytes), k)
+        found = found.where("distance is not null").drop("seen")
+        return top_k(found, ["query_id"], nearest_order(), k)
     sizes = _blocks(queries, on, query_bytes, ("__nq", "__qs")).join(
         _blocks(corpus, on, corpus_bytes, ("__nc", "__cs")), on
     )
