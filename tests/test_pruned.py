@@ -49,3 +49,19 @@ def test_small_and_empty_tables(spark):
     assert [r.distance for r in pruned.knn(queries, pruned.Index(zeros), 5)[0].collect()] == [1.0]
     assert pruned.knn(queries, pruned.Index(corpus.limit(0)), 5)[0].count() == 0
     assert pruned.knn(queries.limit(0), pruned.Index(corpus), 5)[0].count() == 0
+
+
+def test_many_packs_and_repeated_queries(spark):
+    """Several packs on both sides; of repeated queries each row counts, as in the flat search."""
+    rows = clustered(3, 1500, groups=6, spread=0.5)
+    corpus = frame(spark, rows, "chunk_id").repartition(3)
+    queries = frame(spark, rows[::40], "query_id")
+    queries = queries.unionByName(queries.limit(5))
+    index = pruned.Index(corpus, count=8, block_bytes=1024)
+    packs = index.packs(4096)
+    of = [set(r.block) for r in packs.collect()]
+    assert len(of) > 10 and sum(map(len, of)) == index.blocks.count() == len(set().union(*of))
+    best, visits = pruned.knn(queries, index, 4, query_bytes=640)
+    assert answers(best) == answers(rt.knn(queries, corpus, 4))
+    seen = visits.first()
+    assert seen.visited <= seen.all_pairs == 43 * index.blocks.count()
