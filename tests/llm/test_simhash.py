@@ -195,3 +195,28 @@ def test_dedup_against_exact_similarity(spark, documents, monkeypatch, lane_tile
     assert len(dropped) >= s.DEDUP_RECALL * len(near)
     surely = {2 * g + 1 for g in near if share[g] >= 0.9}
     assert len(surely & dropped) >= 0.98 * len(surely)
+
+
+def test_dedup_joins_all_that_true_pairs_join(spark, documents, monkeypatch):
+    """Copies on both sides of the limit: a nearer link that proves false stands for no true one."""
+    # With 15 keys, groups of 30 go by key and groups of 12 by pairs of tiles.
+    monkeypatch.setattr(s, "SET_TILE", 1, raising=False)
+    rng = random.Random(5)
+    rows, group = [], []
+    for size in (30, 30, 12, 12, 12, 12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(size):
+            copy = list(words)
+            for _ in range(rng.randrange(2, 8)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            group.append(words[0])
+            rows.append((len(rows), " ".join(copy)))
+    label = list(range(len(rows)))
+    for i, a in rows:
+        for j, b in rows[i + 1 :]:
+            if group[i] == group[j] and similar(a, b) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 6 < len(set(label)) < 100
+    kept = s.dedup(documents(rows), key_bits=6, recall=0.999)
+    assert {r.doc_id for r in kept.collect()} == set(label)

@@ -18,7 +18,8 @@ so no task holds an unbounded group.
 
 The filter ``dedup`` takes a radius some deviations beyond the distance it looks for, lets tasks
 return spanning forests of the nearest links, and confirms every such link by the texts' sets of
-shingles before it counts.
+shingles before it counts. What the forests join and the confirmed links do not is then compared
+pair by pair, so a false link never stands for a true one.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked
 like any other; with fewer words than a shingle the whole sequence is the one shingle; repeated
@@ -46,6 +47,8 @@ SEED = 42
 TILE = 2048
 # Up to this size groups are compared together, by their distance in the sorted order.
 SMALL = 64
+# Nodes with their sets of shingles in one tile.
+SET_TILE = 512
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -469,12 +472,21 @@ def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int
     """Links (a, b) that connect all nodes whose fingerprints share a key and differ in at most
     ``radius`` bits; with ``nearest`` those of a forest of nearest links. ``nodes``: distinct
     (node bigint, prints array)."""
-    keyed = nodes.select(
-        "node", "prints", F.explode(F.arrow_udf(_keyed(lanes, keys), "array<bigint>")("prints")).alias("key")
-    )
+    keyed = nodes.select("node", "prints", F.explode(key_values("prints", keys, lanes)).alias("key"))
+    return _dealt(keyed, TILE).mapInArrow(_linker(radius, lanes, nearest), "a bigint, b bigint")
+
+
+def key_values(prints: str | Column, keys: list[list[int]], lanes: int) -> Column:
+    return F.arrow_udf(_keyed(lanes, keys), "array<bigint>")(prints)
+
+
+def _dealt(keyed: DataFrame, size: int) -> DataFrame:
+    """Rows (key, node, ...) in tasks by key; a key with more than ``size`` rows is cut into tiles,
+    and each pair of tiles has a key of its own."""
+    rest = [c for c in keyed.columns if c != "key"]
     # Only keys with several tiles are looked up, so fingerprints are shuffled once.
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-    tiles = stage(crowded.select("key", F.ceil(F.col("n") / TILE).cast("bigint").alias("tiles")))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > size)
+    tiles = stage(crowded.select("key", F.ceil(F.col("n") / size).cast("bigint").alias("tiles")))
     rows = keyed.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     # With several tiles, each pair of them is a group; with one tile the key is the group.
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles"))
@@ -486,11 +498,10 @@ def near_links(nodes: DataFrame, radius: int, keys: list[list[int]], lanes: int
     )
     dealt = (
         rows.withColumn("tile", tile)
-        .select("key", "node", "prints", F.explode(pairs).alias("pair"))
-        .select(F.xxhash64("key", "pair").alias("key"), "node", "prints")
+        .select("key", *rest, F.explode(pairs).alias("pair"))
+        .select(F.xxhash64("key", "pair").alias("key"), *rest)
     )
-    grouped = dealt.repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(_linker(radius, lanes, nearest), "a bigint, b bigint")
+    return dealt.repartition("key").sortWithinPartitions("key")
 
 
 def marked(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", lanes: int = 1) -> DataFrame:
@@ -504,12 +515,12 @@ def node_of(prints: str, lanes: int) -> Column:
 
 def classes(marked: DataFrame, key: str, radius: int, keys: list[list[int]] | None = None,
             prints: str = "prints", lanes: int = 1, out: str = "component_id",
-            confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            confirm: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of ``marked`` (a written table) with the least ``key`` of their class.
 
     Texts are in a class if a chain of fingerprints, each within ``radius`` of the next, joins
-    them. ``keys`` defaults to those that lose no link. With ``confirm`` only the nearest links
-    that it returns count.
+    them. ``keys`` defaults to those that lose no link. With ``confirm`` only the links count that
+    it returns for the nearest links and the nodes.
     """
     rows = marked.withColumn("__node", node_of(prints, lanes))
     nodes = rows.groupBy(F.col("__node").alias("node")).agg(
@@ -519,7 +530,7 @@ def classes(marked: DataFrame, key: str, radius: int, keys: list[list[int]] | No
     links = near_links(
         nodes.select("node", "prints"), radius, keys or exact_keys(radius), lanes, confirm is not None
     )
-    roots = components(confirm(links) if confirm else links)
+    roots = components(confirm(links, nodes.select("node", "prints")) if confirm else links)
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
@@ -556,11 +567,91 @@ def shingle_set(text: str | Column, words: int) -> Column:
     return F.arrow_udf(_shingle_sets(words), "array<int>")(text)
 
 
-def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) whose texts share at least ``similarity`` of the shingles of both.
+def _set_linker(radius: int, lanes: int, similarity: float) -> Callable:
+    """Rows (key, node, label, prints, shingles), sorted by key, to links (a, b) that join labels.
 
-    ``texts``: a written table (node, row, text); of a node's rows, whose fingerprints are equal,
-    the first stands for all. Only texts with a link are read into sets.
+    Rows of one key with different labels, at most ``radius`` apart, are compared by their shingles;
+    labels that a link has joined are one from then on.
+    """
+
+    def group(rows: pa.Table) -> tuple[list, list]:
+        node = rows.column("node").to_numpy()
+        label = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+        a, b = [], []
+        if not label.any():
+            return a, b
+        flat = rows.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+        sets = rows.column("shingles").combine_chunks()
+        ends = np.append(0, np.cumsum(sets.value_lengths().to_numpy().astype(np.int64)))
+        number = np.diff(ends)
+        words, place = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        own = np.zeros(len(words), bool)
+        for row in range(len(node) - 1):
+            others = np.flatnonzero(label[row + 1 :] != label[row]) + row + 1
+            n = np.maximum(number[others], number[row])
+            others = others[np.minimum(number[others], number[row]) >= similarity * n]
+            others = others[_distance(flat[others], flat[row]) <= radius]
+            if not len(others):
+                continue
+            held = place[ends[row] : ends[row + 1]]
+            own[held] = True
+            hits = own[np.concatenate([place[ends[i] : ends[i + 1]] for i in others])]
+            own[held] = False
+            upto = np.append(0, np.cumsum(hits))
+            stops = np.cumsum(number[others])
+            shared = upto[stops] - upto[stops - number[others]]
+            others = others[shared >= similarity * (number[others] + number[row] - shared)]
+            joined, first = np.unique(label[others], return_index=True)
+            a += [node[row]] * len(first)
+            b += node[others[first]].tolist()
+            label[np.isin(label, joined)] = label[row]
+        return a, b
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = rows.column("key").to_numpy()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for start, size in zip(starts, np.diff(np.append(starts, len(key))), strict=True):
+            a, b = group(rows.slice(start, size))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            key = part.column("key").to_numpy()
+            # Whole keys go as soon as another begins, since sets are long.
+            if held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield from links(pa.Table.from_batches(held))
+                held = []
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield from links(pa.Table.from_batches([*held, part.slice(0, cut)]))
+                held = []
+            held.append(part.slice(cut))
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    return run
+
+
+def _labelled(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """Nodes with the root of their star, their own where they have none."""
+    roots = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return nodes.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float, prints: DataFrame,
+              radius: int, keys: list[list[int]], lanes: int = 1) -> DataFrame:
+    """Links (a, b) that join the nodes whose texts share at least ``similarity`` of the shingles of both.
+
+    ``links`` join all nodes that may be near, of ``prints`` (node, prints). Those that prove true
+    are taken. Where they leave apart what ``links`` join, every pair of nodes left apart that
+    shares one of ``keys`` and lies within ``radius`` is compared too, so that the result, stars and
+    links between them, joins all nodes that true pairs join. ``texts``: a written table (node, row, text); of a node's rows,
+    whose fingerprints are equal, the first stands for all. Only texts with a link are read into
+    sets.
     """
     links = stage(links.distinct())
     linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
@@ -574,7 +665,30 @@ def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     # Sets of too different sizes need no comparison.
     near = (F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b)) & (shared >= similarity * (n_a + n_b - shared))
-    return links.join(of_a, "a").join(of_b, "b").where(near).select("a", "b")
+    true = stage(links.join(of_a, "a").join(of_b, "b").where(near).select("a", "b"))
+    # A label is a node that true links join, or a star of them.
+    stars = stage(components(true).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    label = stage(_labelled(first.select("node"), stars))
+    false = links.join(true, ["a", "b"], "left_anti")
+    label_a, label_b = (label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    between = false.join(label_a, "a").join(label_b, "b").where("of_a <> of_b")
+    roots = components(between.select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b")))
+    # A root has no row of its own.
+    root = stage(roots.union(roots.select("root", "root").distinct()).withColumnRenamed("node", "label"))
+    placed = stage(label.join(root, "label"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+    left = placed.join(sizes, "root").join(prints, "node").join(sets, "node")
+    # All pairs of a set of nodes cover those that share a key; only for very large ones are there
+    # fewer copies of a node by key than by pairs of tiles.
+    by_key = F.transform(key_values("prints", keys, lanes), lambda k: F.xxhash64("root", k))
+    columns = ("node", "label", "prints", "shingles")
+    large = F.col("n") > len(keys) * SET_TILE
+    keyed = left.where(~large).select(F.col("root").alias("key"), *columns).union(
+        left.where(large).select(F.explode(by_key).alias("key"), *columns)
+    )
+    # Written, since it is counted and then dealt.
+    more = _dealt(stage(keyed), SET_TILE).mapInArrow(_set_linker(radius, lanes, similarity), "a bigint, b bigint")
+    return stars.union(more)
 
 
 # Production settings of the filter: five-word shingles, texts that share 0.8 of them or more.
@@ -593,8 +707,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """Rows of ``docs`` without those that have a near-duplicate with a smaller key.
 
     Long fingerprints bring texts together that may be near; the radius is the distance expected
-    at ``similarity`` and ``deviations`` more. Of each key the forest of the nearest links is
-    taken, and those count whose texts share ``similarity`` of their shingles. ``recall`` is the
+    at ``similarity`` and ``deviations`` more. Links count between texts that share ``similarity``
+    of their shingles: of each key the forest of the nearest links is looked at, then all pairs
+    that the true ones of these leave apart. ``recall`` is the
     chance that a pair just at this similarity meets in one of the keys of ``key_bits`` bits; more
     similar pairs meet almost surely. Keys and radius do not depend on the table. Of repeated rows
     and of rows with equal keys one stays.
@@ -613,10 +728,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = marked.select(
         node_of("__prints", lanes).alias("node"), F.col("__row").alias("row"), F.col(text).alias("text")
     )
-    classed = classes(
-        narrow, "__order", wide_radius(bits, similarity, deviations),
-        sampled_keys(key_bits, bits, similarity, recall), lanes=lanes, out="__first",
-        confirm=lambda links: confirmed(links, texts, words, similarity),
-    )
+    radius, keys = wide_radius(bits, similarity, deviations), sampled_keys(key_bits, bits, similarity, recall)
+
+    def confirm(links: DataFrame, nodes: DataFrame) -> DataFrame:
+        return confirmed(links, texts, words, similarity, nodes, radius, keys, lanes)
+
+    classed = classes(narrow, "__order", radius, keys, lanes=lanes, out="__first", confirm=confirm)
     kept = classed.where("__order = __first").select(F.col("__order.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*columns)
