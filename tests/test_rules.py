@@ -173,3 +173,14 @@ def test_routing(spark, row, source):
     got = an.route(df).first()
     assert got.response_source == source
     assert got.event == lx.ANSWER_EVENTS[source]
+
+
+def test_visit_update_parses_and_writes_each_value_once(spark):
+    """Several conditions look at the counters and at both sides of a change."""
+    sides = spark.createDataFrame([("{}", "{}")], "old string, new string")
+    docs = sides.select(*[rq.fields(sides[c]).alias(c) for c in ("old", "new")])
+    verdict = docs.select(rq.visit_update_verdict(docs["old"], docs["new"]).alias("verdict"))
+    plan = verdict._jdf.queryExecution().analyzed().toString()
+    # Both sides and the counters are parsed; both sides and the counters are written.
+    assert (plan.count("from_json("), plan.count("to_json(")) == (3, 3)
+    assert verdict.first()[0] == "bad_counters"

@@ -55,13 +55,16 @@ def request_verdict(
 
 
 def _counters_valid(actions: Column, counters: Sequence[str]) -> Column:
-    inner = fields(F.to_json(actions))
-    return (
-        inner.isNotNull()
-        & (F.size(F.array_except(F.map_keys(inner), _names(counters))) == 0)
-        & (F.size(F.array_except(_names(counters), F.map_keys(inner))) == 0)
-        & F.forall(F.map_values(inner), lambda v: _type(v).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
-    )
+    def valid(inner: Column) -> Column:
+        return (
+            inner.isNotNull()
+            & (F.size(F.array_except(F.map_keys(inner), _names(counters))) == 0)
+            & (F.size(F.array_except(_names(counters), F.map_keys(inner))) == 0)
+            & F.forall(F.map_values(inner), lambda v: _type(v).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
+        )
+
+    # Four conditions look at the counters; they are parsed once.
+    return tx.let(fields(F.to_json(actions)), valid)
 
 
 def visit_verdict(
@@ -104,9 +107,13 @@ def changed_fields(old: Column, new: Column) -> Column:
     def entries(doc: Column) -> Column:
         return F.map_entries(F.transform_values(doc, lambda k, v: F.to_json(v)))
 
-    before, after = entries(old), entries(new)
-    differing = F.concat(F.array_except(before, after), F.array_except(after, before))
-    return F.array_distinct(F.transform(differing, lambda e: e["key"]))
+    def names(sides: Column) -> Column:
+        before, after = sides["before"], sides["after"]
+        differing = F.concat(F.array_except(before, after), F.array_except(after, before))
+        return F.array_distinct(F.transform(differing, lambda e: e["key"]))
+
+    # Both directions look at both sides; each value is written as JSON once.
+    return tx.let(F.struct(entries(old).alias("before"), entries(new).alias("after")), names)
 
 
 def visit_update_verdict(
