@@ -105,3 +105,32 @@ def test_validity_needs_both_years(values):
         t, F.lit("x"), F.lit("y"), F.lit(2018), F.lit(None).cast("int")
     )["vigencia"]
     assert values(make, ["t"]) == [ex.lx.NOT_FOUND]
+
+
+def test_spellings_of_patterns():
+    assert ex.spellings("jornada (?:anual|laboral)") == ["jornada anual", "jornada laboral"]
+    assert set(ex.spellings("c[oó]mputo|pluse?s")) == {"cómputo", "computo", "pluses", "pluss"}
+    assert ex.spellings("a+") is None and ex.spellings("a.c") is None and ex.spellings("[a-z]x") is None
+
+
+def test_fragments_equal_plain_patterns(values):
+    """Letters that only lower to plain ones, marks, wide characters, nulls; hits by the old patterns."""
+    import re
+
+    texts = ["x \U0001f600 JORNADA ANUAL de", "\u0130\u0130 festivo\u017f y F\u0131estas retribuidas", "CÓMPUTO anual",
+             "d\u0130as festivos", "", None, "plus jornada laboral \u212a", "sin nada"]
+    starts = ("festivos", "fiestas retribuidas", "jornada (?:anual|laboral)", "c[oó]mputo anual", "ks|\u212a")
+    got = values(lambda t: ex.first_fragment(t, starts, 12), texts)
+    plain = lambda t: "".join({"\u0130": "i", "\u0131": "i", "\u017f": "s"}.get(c, c) for c in t or "").lower()
+    hits = [next((m.start() for p in starts if (m := re.search(p.replace("\u212a", "k"), plain(t)))), None) for t in texts]
+    assert got == ["" if h is None else (t or "")[h : h + 12].strip() for t, h in zip(texts, hits, strict=True)]
+    odd = values(lambda t: ex.first_fragment(t, ("jor.ada",), 12), texts)
+    assert odd == ["JORNADA ANUA", "", "", "", "", "", "jornada labo", ""]
+
+
+def test_each_field_searches_the_text_once(spark):
+    """No hit is computed ahead of the branches that may not need it."""
+    from worktide.queries import registry
+
+    plan = registry.load()[0]["content_fields"](spark, "/root/testdata/sf0.001")
+    assert "_common_expr" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from worktide import lexicon as lx
 from worktide.functions import extract as ex
 from worktide.functions import rules
+from worktide.operators.computed import computed
 from worktide.plans import requests as rq
 from worktide.plans import worktime as wt
 from worktide.queries import intents as it
@@ -48,9 +49,11 @@ def content_fields(spark: SparkSession, d: str) -> DataFrame:
         clause(key % 5 == 0, "Nocturnidad con un ", 20 + key % 7, " %más."),
     )
     year = F.when(key % 2 == 1, 2020), F.when(key % 2 == 1, 2024)
-    found = ex.content(text, F.lit("Limpieza"), F.lit("malaga"), *year)
+    found = ex.content(F.col("full"), F.lit("Limpieza"), F.lit("malaga"), *year, F.col("low"))
     fields = ("vigencia", "jornada_anual", "vacaciones", "nocturnidad")
-    rows = table(spark, d, "documents").select("doc_id", found.alias("c"))
+    texts = table(spark, d, "documents").select("doc_id", text.alias("full"))
+    # Each field looks at the folded text; it is made once.
+    rows = computed(texts, {"low": ex.folded(F.col("full"))}).select("doc_id", found.alias("c"))
     return rows.select("doc_id", *[F.col(f"c.{f}").alias(f) for f in fields])
 
 
