@@ -144,3 +144,37 @@ def test_owned_rows_are_filtered_at_the_scan(spark, tmp_path):
     rows = rq.owned(spark.read.parquet(str(tmp_path / "t")), "owner", "a")
     assert [r.v for r in rows.collect()] == [1]
     assert "EqualTo(owner,a)" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def lookup_rows(spark):
+    """Events by (ts, event_id); some name no id, one came twice, one has no time."""
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [
+        (at(1), 1, "s1", "c1", None), (at(3), 2, "s1", "c1", None), (at(3), 2, "s1", "c1", None),
+        (at(4), 3, "", "c1", None), (at(4), 4, "", "", None), (at(5), 5, None, None, None),
+        (None, 6, "s1", "c1", None), (at(6), 7, "s9", "c1", None), (at(7), 8, "s1", "c1", "own"),
+    ]
+    schema = "ts timestamp, event_id bigint, subscription_id string, customer_id string, user_id string"
+    links = [(0, "s1", at(2), 0, "by-sub"), (1, "c1", at(0), 0, "by-customer")]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(links, ac.LINK)
+
+
+def test_users_by_links_as_of_the_event(spark):
+    got = ac.resolve_by_links(*lookup_rows(spark)).collect()
+    assert {(r.event_id, r.user_id) for r in got} == {
+        (1, "by-customer"), (2, "by-sub"), (3, "by-customer"), (4, None), (5, None), (6, None),
+        (7, "by-customer"), (8, "own"),
+    }
+    assert len(got) == 8
+
+
+def test_events_stay_out_of_the_lookup(spark):
+    """Ids and times alone are sorted and carried; whole events are shuffled once."""
+    plan = ac.resolve_by_links(*lookup_rows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = [
+        inner for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("Window")
+        for inner in lines[i + 1 :] if depth(inner) > depth(line)
+    ]
+    assert below and not [line for line in below if " event#" in line or "AS event#" in line]

@@ -233,22 +233,27 @@ def asked_keys(direct: DataFrame) -> DataFrame:
 
 
 def resolve_by_links(direct: DataFrame, links: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Finds the user of the other events: by subscription, else by customer, as of the event."""
+    """Finds the user of the other events: by subscription, else by customer, as of the event.
+
+    Only ids and times go through the lookup; the events are shuffled once, to meet their hits.
+    """
     at = ["ts", "event_id"]
     rest = [c for c in direct.columns if c not in ("user_id", *at)]
-    open_ = direct.where("user_id is null").select(
-        *at, F.struct(*rest).alias("event"), F.inline_outer(keys_of())
-    )
-    timeline = open_.withColumn("linked", F.lit(None).cast("string")).unionByName(
-        links, allowMissingColumns=True
+    open_ = direct.where("user_id is null")
+    asked = open_.select(*at, F.inline(keys_of())).withColumn("linked", F.lit(None).cast("string"))
+    timeline = asked.withColumn("asks", F.lit(True)).unionByName(links.withColumn("asks", F.lit(False)))
+    hits = (
+        carry_last(timeline, ["kind", "key"], at, F.date_trunc(bucket, "ts"), "linked", "hit")
+        .where(F.col("asks") & F.col("hit").isNotNull())
+        .select(*at, "kind", "hit")
     )
     found = (
-        carry_last(timeline, ["kind", "key"], at, F.date_trunc(bucket, "ts"), "linked", "hit")
-        .where("event is not null")
+        open_.select(*at, F.struct(*rest).alias("event"))
+        .unionByName(hits, allowMissingColumns=True)
         .groupBy(*at)
         .agg(
-            F.any_value("event").alias("event"),
-            F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("kind"))).alias("user_id"),
+            F.any_value("event", True).alias("event"),
+            F.min_by("hit", "kind").alias("user_id"),
         )
         .select(*at, "event.*", "user_id")
     )

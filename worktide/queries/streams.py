@@ -34,10 +34,11 @@ def stream_billing(spark: SparkSession, d: str) -> DataFrame:
     users, provider = qa.accounts_table(spark, d), qa.provider_tables(spark, d)
     for stream in slices_of(qa.billing_events(events(spark, d)), SLICES):
         decided = jobs.billing(stream, path, users, *provider, qa.PRICES, qa.PRODUCTS, checkpoint)
-    decided.write.parquet(f"{path}/current")
-    stream = spark.readStream.schema(decided.schema).parquet(f"{path}/current")
-    changes = ac.applied(stream)
-    return qa.shown_accounts(jobs.final_accounts(drain_to_table(jobs.account_updates(changes), "update")))
+    # What changes no account stays in the decision log alone.
+    changes = ac.applied(decided)
+    changes.write.parquet(f"{path}/current")
+    stream = spark.readStream.schema(changes.schema).parquet(f"{path}/current")
+    return qa.shown_accounts(jobs.final_accounts(drain_to_table(jobs.account_updates(stream), "update")))
 
 
 @query(

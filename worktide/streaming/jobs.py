@@ -377,7 +377,7 @@ def billing(
             named = stored.select("event_id", "ts", F.inline(ac.keys_of()))
             touched = named.join(first, ["kind", "key"]).where("ts >= since").select("event_id").distinct()
             tables["corrected"] = resolved(stage(stored.join(touched, "event_id", "left_semi")))
-        newest = batch.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        newest = direct.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
         store.commit(run, batch_id, tables, {"until": max(filter(None, (newest, until)), default=None)})
 
     drain(events, each, checkpoint=checkpoint)
