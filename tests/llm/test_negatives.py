@@ -100,3 +100,35 @@ def test_large_components_stay_exact():
     anchor = np.array([2**20 + 1, -(2**21) + 3])
     best, scores, _ = block.search(anchor, np.ones(50, bool), np.array([-(2**62)]), np.array([2**62]), 50)
     assert scores[best[0]].tolist() == sorted((int(a) * int(anchor[0]) + int(b) * int(anchor[1]) for a, b in matrix), reverse=True)
+
+
+def test_tiles_are_not_broadcast(spark, monkeypatch):
+    # Copies of the anchors for every block of rows look small to the planner, but grow with the square of the table.
+    seen = []
+
+    def broadcast(df):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+                yield "\n".join(lines[at:below])
+
+    def staged(df):
+        seen.extend(broadcast(df))
+        return stage(df)
+
+    stage = negatives.stage
+    monkeypatch.setattr(negatives, "stage", staged)
+    df = spark.createDataFrame(vectors(6, 200), SCHEMA)
+    found = negatives.mine(prepared(df), F.col("id") % 10 == 0, block_rows=8, anchor_rows=4)
+    seen.extend(broadcast(found))
+    assert seen, "the small sides of the result's joins"
+    assert not [plan for plan in seen if "vectors" in plan]
+
+
+def test_anchors_of_several_tasks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "HELD", 2)
+    data = vectors(7, 300)
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    assert mined(df, block_rows=40, anchor_rows=3) == plain(data)

@@ -38,6 +38,8 @@ NEGATIVES = 5
 LOWEST, HIGHEST = 80, 100
 BLOCK_ROWS = 1 << 13
 ANCHOR_ROWS = 256
+# Blocks of anchors that a task holds while it reads blocks of rows.
+HELD = 8
 # Depth of the first round on the sorted lists; later rounds go twice as deep.
 DEPTH = 16
 
@@ -174,11 +176,16 @@ class Lists:
 QUERY = ("width", "uids", "ids", "labels", "vectors")
 
 
-def _tiles(queries: DataFrame, corpus: DataFrame, numbers: int, *more: str) -> DataFrame:
-    """Every block of anchors with every block of rows."""
+def _tiles(queries: DataFrame, corpus: DataFrame, homes: int, *more: str) -> DataFrame:
+    """Every block of anchors with every block of rows.
+
+    A task reads blocks of rows where they are written and meets them with ``HELD`` of the ``homes``
+    blocks of anchors. No pair is shuffled, and none goes through the driver: copies of the anchors per
+    block of rows look as small to the planner as the anchors, which it would broadcast.
+    """
     wide = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*QUERY, *more)])
-    every = F.explode(F.sequence(F.lit(0), F.lit(numbers - 1)))
-    return wide.withColumn("block", every).join(corpus, "block")
+    held = wide.repartition(-(-homes // HELD))
+    return corpus.crossJoin(held.hint("shuffle_replicate_nl"))
 
 
 FOUND_DDL = "anchor_uid bigint, anchor_id bigint, slot int, uid bigint, id bigint, score bigint"
@@ -252,9 +259,9 @@ def mine(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score for the
     ``prepared`` rows; ``anchor`` says of a row whether it is one."""
     rows = stage(rows)
-    corpus, numbers = blocks(rows, block_rows)
+    corpus, _ = blocks(rows, block_rows)
     queries, homes = blocks(rows.where(anchor & F.col("id").isNotNull()), anchor_rows)
-    met = _tiles(queries, corpus, numbers).mapInArrow(_positives(positives), FOUND_DDL)
+    met = _tiles(queries, corpus, homes).mapInArrow(_positives(positives), FOUND_DDL)
     best = _best(met, positives)
     # The rank of a positive, then its window, is a slot of its anchor.
     chosen = stage(best.select("anchor_uid", F.col("rank").alias("slot"), "id", "score"))
@@ -264,7 +271,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives:
         F.collect_list(window).alias("windows")
     )
     told = queries.join(windows, "block")
-    near = _tiles(told, corpus, numbers, "windows").mapInArrow(
+    near = _tiles(told, corpus, homes, "windows").mapInArrow(
         _negatives(negatives, lowest, highest), FOUND_DDL
     )
     positive = chosen.select(
